@@ -34,6 +34,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import neardup
+    from tallyloom.llm.common import row_key
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = neardup.near_duplicates(docs).drop("first")
+    return docs.select("doc_id", *row_key()).join(found, ["_id", "_th"]).drop("_id", "_th")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import toxicity
 
@@ -79,4 +88,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substrings, op3_line_dedup, op5_toxicity, op6_bpe, op7_quality, op8_lm, op9_topk, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substrings, op3_line_dedup, op4_near_copies, op5_toxicity, op6_bpe, op7_quality, op8_lm, op9_topk, op10_packing)}

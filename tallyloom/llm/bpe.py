@@ -11,7 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_arrow, text_of
+from tallyloom.llm.common import forget, map_arrow, text_of
 
 #: Entries that a worker's memory of already encoded pieces may hold; it is emptied when full, which costs time only.
 MEMORY_ENTRIES = 300_000
@@ -112,8 +112,7 @@ class Encoder:
         """A space between two other non-spaces always starts a pre-token, so a text is cut there and pieces are remembered."""
         if not text:
             return b""
-        if len(self.memory) > MEMORY_ENTRIES:
-            self.memory.clear()
+        forget(self.memory, MEMORY_ENTRIES)
         if _AWKWARD.search(text) or text[0] == " " or text[-1] == " ":
             return self.plain(text)
         first, *rest = text.split(" ")

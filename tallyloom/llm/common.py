@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow slice that Python code handles at a time; bounds the memory of a worker.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,15 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(memory: dict, most: int) -> None:
+    """Empty a worker's memory of words when it is full, but for short words: these are the frequent ones of any language."""
+    if len(memory) > most:
+        short = {k: v for k, v in memory.items() if len(k) <= 7}
+        memory.clear()
+        if len(short) < most // 2:
+            memory.update(short)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_arrow, slices, staged, text_of
+from tallyloom.llm.common import forget, map_arrow, slices, staged, text_of
 
 #: Pieces of text that a worker remembers the ids of; its memory is emptied when full.
 MEMORY_ENTRIES = 300_000
@@ -32,15 +32,29 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.memory: dict[str, bytes] = {}
+        self.opens = None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces, each with a space before it, many in one call: a token that opens with a space opens a piece, and no other does."""
+        import numpy as np
+
+        if self.opens is None:
+            size = self.library.get_vocab_size()
+            self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        out: list[bytes] = []
+        for at in range(0, len(new), 4096):
+            ids = np.array(self.library.encode(" " + " ".join(new[at : at + 4096]), add_special_tokens=False).ids, "<u4")
+            data, edges = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            out += [data[s:e] for s, e in zip(edges, [*edges[1:], len(data)], strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memory) > MEMORY_ENTRIES:
-            self.memory.clear()
+        forget(self.memory, MEMORY_ENTRIES)
         cut = [None if not t or t[0] == " " or t[-1] == " " or _AWKWARD.search(t) else t.split(" ") for t in texts]
         missing: set[str] = set()
         for pieces in cut:
@@ -49,7 +63,7 @@ class Tokens:
         missing.difference_update(self.memory)
         if missing:
             new = list(missing)
-            self.memory.update(zip(new, self.whole([" " + p for p in new]), strict=True))
+            self.memory.update(zip(new, self.pieces(new), strict=True))
         heads = self.whole([t if pieces is None else pieces[0] for t, pieces in zip(texts, cut, strict=True)])
         get = self.memory.__getitem__
         return [h + b"".join(map(get, pieces[1:])) if pieces else h for h, pieces in zip(heads, cut, strict=True)]

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_arrow, text_of
+from tallyloom.llm.common import forget, map_arrow, text_of
 
 #: Letters of the language model: a-z, then the word's edge and any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -210,8 +210,7 @@ def _odds(docs: DataFrame, text_column: str, label: str, trigrams) -> DataFrame:
                         held[token] = f = [x for w in words_of(token, trigrams) for x in features(w)]
                     mine.update(f)
                 found[y].update(mine)
-                if len(held) > 300_000:
-                    held.clear()
+                forget(held, 300_000)
         for y, counts in found.items():
             items = list(counts.items())
             for at in range(0, len(items), 50_000):
@@ -284,8 +283,7 @@ def evidence(docs: DataFrame, model: Model, keep: list[str], text_column: str =
 
     class Weights(dict):
         def __missing__(self, token):
-            if len(self) > 300_000:
-                self.clear()
+            forget(self, 300_000)
             self[token] = w = max((lexicon.get(f, 0.0) for word in words_of(token, trigrams) for f in features(word)), default=0.0)
             return w
 

@@ -296,7 +296,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         sized = likely.join(likely.groupBy("label").agg(F.count("*").alias("n_key")), "label").withColumnRenamed("u", "node")
         sized = sized.select("node", "n_key", F.xxhash64("label").alias("group"), F.col("node._id").alias("_id"), F.col("node._th").alias("_th"))
         keyed = docs.select(*row_key(id_column, text_column), text_of(text_column).alias("text"))
-        texts = keyed.join(sized, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+        # always a merge join: a side that is broadcast while it is small would hide what the texts cost once it is not
+        texts = keyed.join(sized.hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th"])
         dealt = _chunked(texts, "group", GROUP).select("group", "i", "j", "chunk", "_id", "_th", "text")
         found = staged(exact_links(dealt, words, threshold), "links")
         links = found.where("c IS NULL").groupBy(F.struct(F.col("a").alias("_id"), F.col("b").alias("_th")).alias("node")).agg(F.sum("n").alias("n_links"))

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import forget, map_arrow, text_of
+from tallyloom.llm.common import forget, map_arrow, staged, text_of
 
 #: Letters of the language model: a-z, then the word's edge and any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -37,6 +37,9 @@ BUCKETS, MOST_FEATURES = 1 << 18, 8192
 LEAST_DOCUMENTS, LEAST_ODDS = 4, 2.5
 #: Steps of 1/20 in which calibration counts sums of evidence; the last bin takes the rest.
 BINS = 400
+#: Labels to learn from, about: more are sampled by a hash of the id. The bound makes the labels fit to broadcast, so that no
+#: text is shuffled to its label. It bounds the fit only; every text is scored, and the letters are counted in all of them.
+MOST_LABELS = 500_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 #: A word is disguised if a sign or digit stands beside letters inside it, or if a letter comes three times or more.
@@ -221,15 +224,18 @@ def _odds(docs: DataFrame, text_column: str, label: str, trigrams) -> DataFrame:
     return counted.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic", most_labels: int = MOST_LABELS) -> Model:
     """Fit on the labelled rows where learn is true; the letters' language model counts all docs.
 
-    Feature counts are taken from one half of the rows and the calibration from the other (by the id's hash), both over
-    every row of their half. What reaches the driver is bounded: SIZE ** 3 letter counts, MOST_FEATURES features, 2 * BINS
-    calibration counts.
+    At most about most_labels labelled ids are learned from, drawn by a hash of the id if there are more. Feature counts are
+    taken from one half of the rows and the calibration from the other (by the id's hash), both over every row of their
+    half. An id labelled twice has the greater label; null ids and labels are not learned from. What reaches the driver is
+    bounded: SIZE ** 3 letter counts, MOST_FEATURES features, 2 * BINS calibration counts; so are the labels broadcast.
     """
     counts = letter_counts(docs, text_column)
-    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label).cast("int").alias("_y"))
+    every = staged(labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label).cast("int").alias("_y")), "labels")
+    share = min(1.0, most_labels / max(1, every.count()))
+    known = F.broadcast(every.where(F.pmod(F.xxhash64(id_column, F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))))
     rows = docs.where(learn).select(id_column, text_of(text_column).alias("text")).join(known, id_column).select(F.xxhash64(id_column).bitwiseAND(F.lit(1)).alias("_half"), "text", F.when(F.col("_y") > 0, 1).otherwise(0).alias("_y"))
     plain = smoothed(counts)
     first = rows.where("_half = 0")

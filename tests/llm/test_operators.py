@@ -174,6 +174,8 @@ def test_toxicity(spark, none):
     model = toxicity.train(df.drop("y"), df.select("doc_id", F.col("y").alias("toxic")), F.col("doc_id") % 3 != 1)
     got = toxicity.score(df, model, ["doc_id", "y"]).where("doc_id % 3 = 1").collect()
     assert sum(r["predicted"] == r["y"] for r in got) >= 0.95 * len(got) and all(0 <= r["score"] <= 1 for r in got)
+    fewer = toxicity.train(df.drop("y"), df.select("doc_id", F.col("y").alias("toxic")), F.col("doc_id") % 3 != 1, most_labels=120)
+    assert 0 < len(fewer.lexicon) and sum(r["predicted"] == r["y"] for r in toxicity.score(df, fewer, ["doc_id", "y"]).collect()) >= 0.9 * len(rows)
     hidden = spark.createDataFrame([(1, sentence(2, 30) + " you 1d10t, m0r0n and st*pid l0ser"), (2, sentence(2, 30)), (3, None), (4, "")], "doc_id long, text string")
     assert {r["doc_id"]: r["predicted"] for r in toxicity.score(hidden, model, ["doc_id"]).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
     assert toxicity.restore("an i d i o t and a stuuupid", model.trigrams) == "an idiot and a stupid"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,12 +15,64 @@ from tallyloom.llm.common import forget, map_arrow, slices, staged, text_of
 #: Pieces of text that a worker remembers the ids of; its memory is emptied when full.
 MEMORY_ENTRIES = 300_000
 _AWKWARD = re.compile(r" \s|\s ")
+#: Texts of these characters alone: what kind each is (letter, digit, blank, other) has not changed over versions of Unicode.
+_SETTLED = re.compile(r"[\n\x20-\x7e\u00c0-\u024f]*")
+#: Runs of blanks too long for a regular expression that backtracks.
+_WIDE = re.compile(r"[ \n]{4096}")
+
+
+def same_merges(path: str):
+    """A tiktoken encoding with the same ids as a tokenizers file, for texts of settled characters; None if that can't be shown.
+
+    Both split at the byte-level pattern. Both then merge by rank, but tiktoken joins any two neighbours whose bytes are a
+    token, while the file lists which pairs may. Two neighbours that make token t were made within t's own bytes, so they are
+    the pair that stands in the file if merging t's bytes alone gives t; this is checked for every token.
+    """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    with open(path, encoding="utf-8") as file:
+        written = json.load(file)
+    model, splits = written["model"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    before = written.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or not plain or written.get("normalizer") or any(before.get(k) != v for k, v in splits.items()):
+        return None
+    spelled = {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+    spelled = {c: bytes([b]) for b, c in spelled.items() if len(c) == 1}
+    for first in range(0xC2, 0xF5):  # every byte beyond ASCII, from characters that hold it
+        for last in range(0x80, 0xC0):
+            raw = bytes([first, last]) if first < 0xE0 else bytes([first, 0xA0 if first == 0xE0 else 0x80, last]) if first < 0xF0 else bytes([first, 0x90 if first == 0xF0 else 0x80, 0x80, last])
+            signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(raw.decode(errors="replace"))[0][0]
+            if len(signs) == len(raw):
+                spelled[signs[0]], spelled[signs[-1]] = raw[:1], raw[-1:]
+    added = {t["content"] for t in written.get("added_tokens", ())}
+    library, ranks = Tokenizer.from_file(path).model, {}
+    for token, number in model["vocab"].items():
+        if token in added:
+            continue
+        if any(c not in spelled for c in token):
+            if len(token) > 1:
+                return None
+            continue  # a byte that no text holds
+        if [t.id for t in library.tokenize(token)] != [number]:
+            return None
+        ranks[b"".join(map(spelled.__getitem__, token))] = number
+    merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        return None
+    for b in range(256):  # the library wants all bytes; these are in no text
+        ranks.setdefault(bytes([b]), len(model["vocab"]) + b)
+    return tiktoken.Encoding("same merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Tokens:
     """Ids of texts by a tokenizers file, as little-endian unsigned 32-bit integers.
 
-    The byte-level pre-tokenizer starts a new pre-token at every space between two non-spaces, and merges never cross
+    Texts of settled characters go to the faster library with the same merges, if there is one. For other texts: the byte-level pre-tokenizer starts a new pre-token at every space between two non-spaces, and merges never cross
     pre-tokens; so the library encodes each distinct piece between such spaces once, and texts are joined from these.
     """
 
@@ -33,6 +86,7 @@ class Tokens:
         self.library.encode_special_tokens = True
         self.memory: dict[str, bytes] = {}
         self.opens = None
+        self.same = same_merges(path)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -47,13 +101,22 @@ class Tokens:
             size = self.library.get_vocab_size()
             self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         out: list[bytes] = []
-        for at in range(0, len(new), 4096):
-            ids = np.array(self.library.encode(" " + " ".join(new[at : at + 4096]), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(new), 64):
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(new[at : at + 64])], add_special_tokens=False)[0].ids, "<u4")
             data, edges = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * 4).tolist()
             out += [data[s:e] for s, e in zip(edges, [*edges[1:], len(data)], strict=True)]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        if self.same is None:
+            return self.remembered(texts)
+        quick = [bool(_SETTLED.fullmatch(t)) and not (len(t) > 4096 and _WIDE.search(t)) for t in texts]
+        others = iter(self.remembered([t for t, q in zip(texts, quick, strict=True) if not q]))
+        return [np.array(self.same.encode_ordinary(t), "<u4").tobytes() if q else next(others) for t, q in zip(texts, quick, strict=True)]
+
+    def remembered(self, texts: list[str]) -> list[bytes]:
         forget(self.memory, MEMORY_ENTRIES)
         cut = [None if not t or t[0] == " " or t[-1] == " " or _AWKWARD.search(t) else t.split(" ") for t in texts]
         missing: set[str] = set()
@@ -69,6 +132,11 @@ class Tokens:
         return [h + b"".join(map(get, pieces[1:])) if pieces else h for h, pieces in zip(heads, cut, strict=True)]
 
 
+@cache
+def tokens_of(path: str) -> Tokens:
+    return Tokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_column: str, text_column: str, keep_ids: bool) -> DataFrame:
     """Token pieces of every text, with the writing task (_task) and the piece's number among the task's pieces of its length (_nth)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -82,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, seen, tokens, last = TaskContext.get().partitionId(), Counter(), Tokens(tokenizer_path), end_id.to_bytes(4, "little")
+        task, seen, tokens, last = TaskContext.get().partitionId(), Counter(), tokens_of(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in slices(batches):
             out: list[list] = [[] for _ in arrow]
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):

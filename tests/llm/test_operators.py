@@ -297,6 +297,22 @@ def test_packing(docs, none):
     assert packing.pack(none, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_both_libraries_give_the_same_ids(tmp_path):
+    import json
+
+    from tallyloom.llm import packing
+
+    path = P.path("byte_bpe_50k.json")
+    tokens = packing.Tokens(path)
+    latin = [chr(c) for c in (10, *range(0x20, 0x7F), *range(0xC0, 0x250))]
+    texts = [t or "" for t in TEXTS] + [a + b + c for a in latin for b in " '\n1x\u00e9" for c in " sx\n"] + ["a" * 5000, " " * 9000 + "x", "it's we'LL \u00d7\u00f7 1\u0149a"]
+    assert tokens.same is not None and tokens.encode(texts) == tokens.whole(texts) == tokens.remembered(texts)
+    changed = json.load(open(path))
+    changed["model"]["merges"][5:7] = changed["model"]["merges"][6:4:-1]
+    (tmp_path / "other.json").write_text(json.dumps(changed))
+    assert packing.same_merges(str(tmp_path / "other.json")) is None
+
+
 def test_fullest_is_the_best_subset():
     from itertools import product
 

@@ -6,7 +6,6 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyloom.llm.common import map_arrow, text_of
 
@@ -125,31 +124,32 @@ def base_failed(d: Doc, min_words: int = 50, repeat_percent: int = 50) -> bool:
 def plan(docs: DataFrame, text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[dict]:
     """Measure each rule's cost and selectivity on a bounded sample and order the rules by rejections per second.
 
-    Independent rules are cheapest in this order. An empty table gives the written order.
+    Independent rules are cheapest in this order. An empty table gives the written order. Texts are measured where they
+    lie, and the limit takes their measurements: partitions are read one by one until there are enough, nothing is
+    shuffled, and the driver gets two small arrays for each row of the sample.
     """
-    sample = docs.select(text_of(text_column).alias("text")).limit(sample_rows)
 
     def make():
-        def step(batch):
-            found = [d for t in batch.column(0).to_pylist() if not base_failed(d := base(t))]
-            names, tried, rejected, cost = [], [], [], []
-            for name, rule in RULES.items():
+        def measured(d):
+            rejected, seconds = [], []
+            for rule in RULES.values():
                 began = time.perf_counter()
-                rejected.append(sum(map(rule, found)))
-                cost.append(time.perf_counter() - began)
-                names.append(name)
-                tried.append(len(found))
-            return names, tried, rejected, cost
+                rejected.append(rule(d))
+                seconds.append(time.perf_counter() - began)
+            return rejected, seconds
+
+        def step(batch):
+            found = [None if base_failed(d := base(t)) else measured(d) for t in batch.column(0).to_pylist()]
+            return [m and m[0] for m in found], [m and m[1] for m in found]
 
         return step
 
-    measured = map_arrow(sample, make, "rule string, tried bigint, rejected bigint, seconds double", 0)
-    rows = {r["rule"]: r for r in measured.groupBy("rule").agg(F.sum("tried").alias("tried"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()}
-    out = []
+    texts = docs.select(text_of(text_column).alias("text"))
+    rows = [r for r in map_arrow(texts, make, "rejected array<boolean>, seconds array<double>", 0).limit(sample_rows).collect() if r["rejected"]]
+    tried, out = len(rows), []
     for at, name in enumerate(RULES):
-        r = rows.get(name)
-        tried = (r and r["tried"]) or 0
-        share, cost = ((r["rejected"] + 0.5) / (tried + 1), r["seconds"] / tried + 1e-9) if tried else (0.0, 1.0)
+        rejected, seconds = sum(r["rejected"][at] for r in rows), sum(r["seconds"][at] for r in rows)
+        share, cost = ((rejected + 0.5) / (tried + 1), seconds / tried + 1e-9) if tried else (0.0, 1.0)
         out.append({"rule": name, "selectivity": share, "cost": cost, "per_cost": share / cost, "at": at})
     return sorted(out, key=lambda r: (-r["per_cost"], r["at"]))
 

@@ -150,7 +150,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     found = staged(map_arrow(keyed, suspects, "_id bigint, _th bigint, key binary, at array<int>", 2), "lines")
     least = F.min(F.struct("_id", "_th", F.col("at")[0].alias("line"))).alias("first")
     frequent = found.groupBy("key").agg(F.count("*").alias("n"), *([least] if keep_first else [])).where(F.col("n") >= in_documents).drop("n")
-    hits = found.join(frequent, "key")
+    # written, so that both sides of the join come from a table and adaptive execution can split a line that very many documents have
+    hits = found.hint("merge").join(staged(frequent, "frequent"), "key")
     if keep_first:
         own = (F.col("first._id") == F.col("_id")) & (F.col("first._th") == F.col("_th"))
         hits = hits.withColumn("at", F.when(own, F.filter("at", lambda i: i != F.col("first.line"))).otherwise(F.col("at")))

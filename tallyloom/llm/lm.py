@@ -12,6 +12,8 @@ ADDED = 0.1
 #: Weight of the lower order: a context seen c times trusts its own followers by c / (c + TRUST).
 TRUST = 4.0
 END, START = 0, 1  # symbols that no word has
+#: Bytes of text that a block should hold at most, as a task holds a whole block (a longer text cannot be cut).
+BLOCK_BYTES = 32 << 20
 
 
 class BackoffAutomaton:
@@ -174,6 +176,12 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket", "kind").applyInArrow(add, "block int, kind int, bucket int, sums binary, tokens bigint, distinct_tokens bigint")
 
 
+def blocks_for(docs: DataFrame, text_column: str = "text") -> int:
+    """Enough blocks for BLOCK_BYTES of text each, by the size of all texts."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text_column))), F.lit(0))).first()[0]
+    return max(partitions_for(docs.sparkSession), -(-int(size) // BLOCK_BYTES))
+
+
 def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", added: float = ADDED, trust: float = TRUST) -> DataFrame:
     """log10 probabilities of every text under a model learned from the rows where train is true (null: false).
 
@@ -181,11 +189,11 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     the words (runs of other than ASCII white space, A-Z lower-cased) and an end; a null or empty text has the end
     alone. base_score: single tokens with added counts. score: pairs, smoothed by the single tokens as a Dirichlet
     prior of weight trust, which is a backoff automaton: a pair seen in training is an arc, any other takes the failure
-    arc. Documents are dealt to as many blocks as spark.sql.shuffle.partitions says by a hash of id and text, so a block
-    (a few tens of MB of text at a fitting setting) is what a task holds. N-grams are told apart by 64-bit hashes.
+    arc. Documents are dealt by a hash of id and text to blocks of about BLOCK_BYTES of text at most, and to no fewer blocks
+    than spark.sql.shuffle.partitions says; a block is what a task holds, whatever that setting is. N-grams are told apart by 64-bit hashes.
     Repeated rows are scored alike and each counts; without training rows every count is 0.
     """
-    n = partitions_for(docs.sparkSession)
+    n = blocks_for(docs, text_column)
     keys = row_key(id_column, text_column)
     blocks = docs.select(F.col(id_column), F.coalesce(train, F.lit(False)).alias("train"), text_of(text_column).alias("text"), F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int").alias("block"))
     sums = staged(count(blocks, n), "ngrams")

@@ -1,3 +1,56 @@
-"""DuckDB SQL for the operators that SQL can express over whole tables."""
+"""DuckDB SQL for the operators that SQL can express over whole tables.
 
-ORACLES: dict[str, str] = {}
+The others have none: learned models (op1, op5), sums of logarithms whose last digits depend on the order (op8), byte
+windows and tokenizers that SQL cannot reach (op2, op6, op10), candidates by hashing with linked classes (op4).
+"""
+
+ORACLES: dict[str, str] = {
+    # keys of at least one code point in ten documents or more lose all their lines
+    "op3_line_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT r, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+frequent AS (SELECT k AS f FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent ON k = f GROUP BY r""",
+    # measures, base verdict and the conjunction of all rules, which no order of the cascade changes
+    "op7_quality": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+           len(string_split(coalesce(text, ''), chr(10))) AS all_lines FROM documents),
+words AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS pos FROM docs),
+windows AS (SELECT r, pos, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY r ORDER BY pos)),
+twice AS (SELECT r, pos, z IS NOT NULL AND count(*) OVER (PARTITION BY r, x, y, z) > 1 AS again FROM windows),
+marked AS (SELECT r, again OR coalesce(lag(again) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS hit FROM twice WINDOW o AS (PARTITION BY r ORDER BY pos)),
+repeats AS (SELECT r, count_if(hit) AS n FROM marked GROUP BY r),
+top AS (SELECT r, max(n) AS n FROM (SELECT r, x, count(*) AS n FROM words GROUP BY r, x) GROUP BY r),
+measured AS (
+    SELECT r, doc_id, t, w, lines, all_lines, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+           coalesce(repeats.n, 0) AS n_repeat_words, coalesce(top.n, 0) AS most FROM docs LEFT JOIN repeats USING (r) LEFT JOIN top USING (r)),
+judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           10 * len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) > 5 * n_words
+           OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words
+           OR 2 * n_symbols > n_words
+           OR n_dup_lines > 4 AND 2 * n_dup_lines > all_lines
+           OR len(lines) >= 4 AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•|]'))) > 9 * len(lines)
+           OR len(lines) >= 4 AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines)
+           OR n_words >= 50 AND 10 * most > 3 * n_words
+           OR n_words >= 50 AND 20 * len(list_distinct(w)) < least(n_words, 2000)
+           OR 20 * (length(t) - length(regexp_replace(t, '[{}]', '', 'g'))) > n_words
+           OR 50 * (length(t) - length(replace(t, chr(65533), ''))) > length(t) AS rejected FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged""",
+    # integer products are exact in doubles
+    "op9_topk": r"""
+WITH usable AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM usable q JOIN usable c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}

@@ -63,7 +63,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import quality
 
-    return quality.cascade(read_table(spark, sf_dir, "documents"))
+    return quality.cascade(read_table(spark, sf_dir, "documents")).drop("rejected_by")  # it follows the timings of the run
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

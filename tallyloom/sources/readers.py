@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,3 +115,20 @@ def framework(path: str, keys: set[str]) -> str:
     if {"results", "configs"} <= keys:
         return "lm_eval"
     return "helm" if path.endswith(("run_spec.json", "stats.json")) or "run_spec" in keys else "unknown"
+
+
+def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame], max_age: float, refresh: bool = False) -> DataFrame:
+    """The rows of make(), kept as Parquet below folder/key for max_age seconds.
+
+    Each fetch is a folder named by its time in milliseconds, so a reader never sees one that is being replaced; only
+    finished ones count (with their success marker). The folder can be in any store that Spark reads. Errors of make() are raised.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{key}")
+    store, now = top.getFileSystem(spark._jsc.hadoopConfiguration()), int(time.time() * 1000)
+    names = [f.getPath().getName() for f in store.listStatus(top)] if store.exists(top) else []
+    done = [n for n in names if n.isdigit() and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{n}/_SUCCESS"))]
+    newest = max(done, key=int, default=None)
+    if refresh or newest is None or now - int(newest) >= 1000 * max_age:
+        newest = str(now)
+        make().write.mode("overwrite").parquet(f"{top}/{newest}")
+    return spark.read.parquet(f"{top}/{newest}")

@@ -158,6 +158,19 @@ def test_files(spark, tmp_path):
     assert [(r["name"], r["score"]) for r in got[0]] == [("m", 8.9)] and len(got[1]) == 3
 
 
+def test_cached_rows(spark, tmp_path):
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return spark.createDataFrame([(len(calls),)], "n int")
+
+    get = lambda age, **how: readers.cached(spark, str(tmp_path), "board", fetch, age, **how).first()["n"]
+    assert [get(3600), get(3600)] == [1, 1]
+    (tmp_path / "board" / "99999999999999").mkdir()  # a fetch that was cut off
+    assert [get(3600), get(0), get(3600, refresh=True), get(3600)] == [1, 2, 3, 3]
+
+
 def test_sections():
     known = [Section("a", "A", None), Section("b", "B", None)]
     assert [s.key for s in select(known, ["b"])] == ["b"]

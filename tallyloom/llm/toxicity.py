@@ -29,8 +29,6 @@ DRAWN, SELDOM = frozenset("0123456789@$"), math.log(0.0002)
 BOOST = 200.0
 #: States that a step of decoding keeps.
 BEAM = 24
-#: Longest disguised word that is decoded, in signs; longer ones are no words.
-LONGEST = 40
 #: Hash buckets of word features; most features that make the lexicon.
 BUCKETS, MOST_FEATURES = 1 << 18, 8192
 #: Documents of the rarer label that must have a feature, and the least log-odds, before it speaks.
@@ -46,6 +44,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _SIGN = re.compile(r"[^\W\d_][0-9@$!|+*#%^?(\-_.~=]+[^\W_]|[0-9@$!|+*#%^][^\W\d_]|[^\W\d_][$*#%@!|+0-9]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _TAIL = re.compile(r"([^\w\s])\1\1+$")  # a decoration, not letters
+#: No word has a letter three times in a row; however often it is written, it stands for two at most.
+_MORE = re.compile(r"([^\W\d_])\1{2,}")
 #: Four single letters or more, set apart.
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\S)")
 
@@ -83,10 +83,18 @@ def features(word: str) -> list[int]:
     return [whole, *(crc32(word[:k].encode()) % BUCKETS for k in range(4, min(n, 6) + 1))]
 
 
-def viterbi(signs: str, trigrams) -> str:
-    """The likeliest letters behind signs. States are the last two letters; a sign may be a letter, repeat the last, or be nothing."""
+def viterbi(signs: str, trigrams, words: bool = False) -> str:
+    """The likeliest letters behind signs. States are the last two letters; a sign may be a letter, repeat the last, or be nothing.
+
+    words: signs are single letters set apart, and before each of them a word may end and another begin, which gives a blank.
+    The beam bounds the states, so the time is linear in the signs.
+    """
     best: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
     for c in signs.lower():
+        if words and c.isalnum():
+            p, path = max(((p + trigrams[a][b][EDGE], path) for (a, b), (p, path) in best.items() if b != EDGE), key=lambda x: x[0], default=(-math.inf, ()))
+            if path and ((EDGE, EDGE) not in best or best[EDGE, EDGE][0] < p):
+                best[EDGE, EDGE] = p, (path, EDGE)
         if c in LOOKALIKES:
             options = [(LETTERS.index(x), SIGN) for x in LOOKALIKES[c]]
             drop = 0.0 if not options else SELDOM if c in DRAWN else NOTHING
@@ -106,17 +114,17 @@ def viterbi(signs: str, trigrams) -> str:
             if drop is not None and ((a, b) not in after or after[a, b][0] < p + drop):
                 after[a, b] = p + drop, path
         best = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
-    _, path = max((p + trigrams[a][b][EDGE], path) for (a, b), (p, path) in best.items())
+    _, path = max(((p + trigrams[a][b][EDGE], path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])
     out = []
     while path:
         path, x = path
-        out.append(LETTERS[x] if x < 26 else "·")
+        out.append(LETTERS[x] if x < 26 else " " if x == EDGE else "·")
     return "".join(reversed(out))
 
 
-def decoded(signs: str, trigrams) -> str:
-    core = _TAIL.sub("", signs.strip(".,;:?\"')]}>("))
-    return viterbi(core, trigrams) if 2 < len(core) <= LONGEST and any(map(str.isalpha, core)) else ""
+def decoded(signs: str, trigrams, words: bool = False) -> str:
+    core = _MORE.sub(r"\1\1", _TAIL.sub("", signs.strip(".,;:?\"')]}>(")))
+    return viterbi(core, trigrams, words) if len(core) > 2 and any(map(str.isalpha, core)) else ""
 
 
 def words_of(token: str, trigrams) -> list[str]:
@@ -129,13 +137,13 @@ def words_of(token: str, trigrams) -> list[str]:
 
 
 def spaced(text: str, trigrams) -> list[str]:
-    """Words written letter by letter."""
-    return [w for m in _SPACED.findall(text) if (w := decoded(m, trigrams))]
+    """Words written letter by letter; a run may hold several."""
+    return [w for m in _SPACED.findall(text) for w in decoded(m, trigrams, True).split()]
 
 
 def restore(text: str, trigrams) -> str:
     """The text with its disguised words decoded."""
-    joined = _SPACED.sub(lambda m: decoded(m.group(), trigrams) or m.group(), text)
+    joined = _SPACED.sub(lambda m: decoded(m.group(), trigrams, True) or m.group(), text)
     return re.sub(r"\S+", lambda m: (words_of(m.group(), trigrams)[len(_WORDS.findall(m.group())) :] or [m.group()])[0], joined)
 
 

@@ -1,0 +1,32 @@
+"""Cases that an operator once left out: long runs, large counts, other spellings."""
+
+import pytest
+from pyspark.sql import functions as F
+
+SMALL = "you are such an good man go away now this that with from have they will what there which their about would people time like just know take".split()
+
+
+@pytest.fixture(scope="module")
+def insults(spark):
+    """A model that knows four insults in plain English, and its training rows."""
+    from tallyloom.llm import toxicity
+
+    bad = ["idiot", "moron", "stupid", "loser"]
+    text = lambda i: " ".join(SMALL[(i * 7 + j * j + j * (i % 5)) % len(SMALL)] for j in range(40))
+    rows = [(i, text(i) + (" you are a " + " ".join(bad[(i + j) % 4] for j in range(3)) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    return toxicity.train(df.drop("y"), df.select("doc_id", F.col("y").alias("toxic")), F.lit(True)), text
+
+
+def test_long_disguises_are_decoded(spark, insults):
+    from tallyloom.llm import toxicity
+
+    model, text = insults
+    assert toxicity.spaced("y o u a r e s u c h a n i d i o t g o a w a y", model.trigrams) == "you are such an idiot go away".split()
+    assert toxicity.restore("you are a m o r o n", model.trigrams) == "you are a moron"
+    assert "idiot" in toxicity.words_of("idi" + "o" * 200 + "t", model.trigrams) and "moron" in toxicity.words_of("m" + "0" * 60 + "ron", model.trigrams)
+    long = " ".join("you are such an idiot go away " * 3000).replace("   ", " ")
+    assert toxicity.spaced(long, model.trigrams).count("idiot") == 3000
+    runs = ["i d i o t m o r o n s t u p i d l o s e r y o u a r e", "y o u a r e a m o r o n a n d a n i d i o t a n d a l o s e r", "id" + "i" * 90 + "ot st" + "u" * 90 + "pid mor" + "o" * 90 + "n"]
+    df = spark.createDataFrame([(i, f"{text(i)} {r}") for i, r in enumerate(runs)] + [(9, text(9))], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model, ["doc_id"]).collect()} == {0: 1, 1: 1, 2: 1, 9: 0}

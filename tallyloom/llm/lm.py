@@ -14,6 +14,8 @@ TRUST = 4.0
 END, START = 0, 1  # symbols that no word has
 #: Bytes of text that a block should hold at most, as a task holds a whole block (a longer text cannot be cut).
 BLOCK_BYTES = 32 << 20
+#: Sums over all documents; a block's own counts fit 32 bits, as Arrow holds less than 2 ** 31 bytes of a text.
+SUMS = "<u8"
 
 
 class BackoffAutomaton:
@@ -134,6 +136,30 @@ def _block(block_rows):
     return block, words, np.bincount(block.pair_of[learned], minlength=len(block.pairs))
 
 
+def _add(table):
+    """The sums of a range over all blocks, and each block's own part of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys = [np.cumsum(unpack(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    counts = np.concatenate([unpack(c, "<u4") for c in table.column("counts").to_pylist()]).astype(np.int64)
+    sizes = [len(k) for k in keys]
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
+    back = sums[which]
+    ends = np.cumsum(sizes)
+    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+    own = sums.copy()
+    if kind == 0:
+        own[distinct == hashed([])[START]] = 0
+    total, known = (int(own.sum()), int((own > 0).sum())) if kind == 0 else (0, 0)
+    n = len(sizes)
+    return pa.Table.from_arrays(
+        [table.column("block").combine_chunks(), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array([pack(back[e - s : e].astype(SUMS)) for s, e in zip(sizes, ends, strict=True)], pa.binary()), pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([known] + [0] * (n - 1), pa.int64())],
+        ["block", "kind", "bucket", "sums", "tokens", "distinct_tokens"],
+    )
+
+
 def count(blocks: DataFrame, buckets: int) -> DataFrame:
     """Counts over all training documents of every word (kind 0) and pair (kind 1) that each block asks for.
 
@@ -150,30 +176,8 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
         rows = [(b, k, at, keys, counts) for k, (h, n) in enumerate(((block.words, words), (block.pairs, pairs))) for b, keys, counts in _chunks(h, n, buckets)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "block", "keys", "counts"])
 
-    def add(table):
-        import numpy as np
-        import pyarrow as pa
-
-        keys = [np.cumsum(unpack(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([unpack(c, "<u4") for c in table.column("counts").to_pylist()]).astype(np.int64)
-        sizes = [len(k) for k in keys]
-        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
-        back = sums[which]
-        ends = np.cumsum(sizes)
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        own = sums.copy()
-        if kind == 0:
-            own[distinct == hashed([])[START]] = 0
-        total, known = (int(own.sum()), int((own > 0).sum())) if kind == 0 else (0, 0)
-        n = len(sizes)
-        return pa.Table.from_arrays(
-            [table.column("block").combine_chunks(), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array([pack(back[e - s : e].astype("<u4")) for s, e in zip(sizes, ends, strict=True)], pa.binary()), pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([known] + [0] * (n - 1), pa.int64())],
-            ["block", "kind", "bucket", "sums", "tokens", "distinct_tokens"],
-        )
-
     sent = blocks.select("block", "train", "text").groupBy("block").applyInArrow(send, "bucket int, kind int, block int, keys binary, counts binary")
-    return sent.groupBy("bucket", "kind").applyInArrow(add, "block int, kind int, bucket int, sums binary, tokens bigint, distinct_tokens bigint")
+    return sent.groupBy("bucket", "kind").applyInArrow(_add, "block int, kind int, bucket int, sums binary, tokens bigint, distinct_tokens bigint")
 
 
 def blocks_for(docs: DataFrame, text_column: str = "text") -> int:
@@ -209,7 +213,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
         kinds, buckets, data = (found.column(c).to_pylist() for c in ("kind", "bucket", "sums"))
         got = []
         for kind, keys in ((0, block.words), (1, block.pairs)):
-            parts = [unpack(d, "<u4") for _, d in sorted((b, d) for k, b, d in zip(kinds, buckets, data, strict=True) if k == kind)]
+            parts = [unpack(d, SUMS) for _, d in sorted((b, d) for k, b, d in zip(kinds, buckets, data, strict=True) if k == kind)]
             counts = np.empty(len(keys), np.int64)
             counts[np.argsort(keys, kind="stable")] = np.concatenate(parts)
             got.append(counts)

@@ -30,3 +30,19 @@ def test_long_disguises_are_decoded(spark, insults):
     runs = ["i d i o t m o r o n s t u p i d l o s e r y o u a r e", "y o u a r e a m o r o n a n d a n i d i o t a n d a l o s e r", "id" + "i" * 90 + "ot st" + "u" * 90 + "pid mor" + "o" * 90 + "n"]
     df = spark.createDataFrame([(i, f"{text(i)} {r}") for i, r in enumerate(runs)] + [(9, text(9))], "doc_id long, text string")
     assert {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model, ["doc_id"]).collect()} == {0: 1, 1: 1, 2: 1, 9: 0}
+
+
+def test_sums_beyond_32_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyloom.llm import lm
+
+    keys, blocks = np.array([5, 9, 2**63], np.uint64), 3
+    packed = [lm.pack(np.diff(keys, prepend=np.uint64(0)).astype("<u8")), lm.pack(np.array([2**31, 2**32 - 1, 1], "<u4"))]
+    for kind in (0, 1):
+        table = pa.table({"bucket": pa.array([0] * blocks, pa.int32()), "kind": pa.array([kind] * blocks, pa.int32()), "block": pa.array(range(blocks), pa.int32()), "keys": [packed[0]] * blocks, "counts": [packed[1]] * blocks})
+        got = lm._add(table).to_pylist()
+        want = [blocks * 2**31, blocks * (2**32 - 1), blocks]
+        assert [lm.unpack(r["sums"], lm.SUMS).tolist() for r in got] == [want] * blocks
+        assert sum(r["tokens"] for r in got) == (sum(want) if kind == 0 else 0)

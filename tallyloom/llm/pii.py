@@ -21,7 +21,8 @@ BASE_KINDS = KINDS[:4]
 # Base patterns. Possessive quantifiers and the lookbehinds (or \G, the end of the match before) change no match; they keep
 # the engine from trying every suffix of a long run and from deep recursion.
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
-#: Of each kind: the pattern, then literal strings of which a text must hold one (none: a digit). They spare most texts the pattern.
+#: Of each kind: the pattern, then literal strings of which a text must hold one (none: a digit), then literals of which
+#: its lower-case form may hold one instead. They spare most texts the pattern and, as every match holds one, cost no match.
 BASE = {
     "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", ("@",)),
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ()),
@@ -38,7 +39,8 @@ LOOSE = {
     "ssn": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ()),
     "name": (
         r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?+\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?+|(?i:\bname\x20?(?:is|:)\x20?)\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}++",
-        ("Mr. ", "Mr ", "Mrs. ", "Mrs ", "Ms. ", "Ms ", "Dr. ", "Dr ", "Prof. ", "Prof ", "ame is ", "ame: ", "AME: ", "ame is", "ame:"),
+        ("Mr. ", "Mr ", "Mrs. ", "Mrs ", "Ms. ", "Ms ", "Dr. ", "Dr ", "Prof. ", "Prof "),
+        ("name is", "nameis", "name :", "name:"),
     ),
 }
 #: Words just before a span that speak for its kind, and words that speak for something else.
@@ -60,7 +62,7 @@ N = len(LABELERS)
 EM_STEPS, FIT_STEPS, RATE = 30, 300, 0.5
 
 
-def _found(text: Column, pattern: str, must: tuple[str, ...]) -> Column:
+def _found(text: Column, pattern: str, must: tuple[str, ...], lower: tuple[str, ...] = ()) -> Column:
     """(s, e, m) of leftmost non-overlapping matches, by code point: each match is taken with the gap before it."""
     both = rf"(?s)\G(.*?)({pattern})"  # \G: after the last match, no later start scans the rest again
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(both), 1).alias("g"), F.regexp_extract_all(text, F.lit(both), 2).alias("m"))
@@ -72,7 +74,8 @@ def _found(text: Column, pattern: str, must: tuple[str, ...]) -> Column:
         return F.struct(e.alias("at"), F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
     out = F.aggregate(pairs, start, step, lambda x: x["out"])
-    return F.when(functools.reduce(lambda a, b: a | b, (F.contains(text, F.lit(m)) for m in must)), out).otherwise(start["out"]) if must else out
+    holds = [F.contains(text, F.lit(m)) for m in must] + [F.contains(F.lower(text), F.lit(m)) for m in lower]
+    return F.when(functools.reduce(lambda a, b: a | b, holds), out).otherwise(start["out"]) if holds else out
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -106,15 +109,15 @@ def _candidates(text: Column) -> Column:
     """All spans as (s, k, e, base, v)."""
     shape = "struct<s:int,k:int,e:int,base:boolean,v:array<double>>"
 
-    def of(k: int, kind: str, pattern: str, must: str, strict: bool) -> Column:
-        spans = _found(text, pattern, must)
+    def of(k: int, kind: str, strict: bool, pattern: str, must: tuple[str, ...], lower: tuple[str, ...] = ()) -> Column:
+        spans = _found(text, pattern, must, lower)
         if strict:
             spans = F.filter(spans, lambda x: _valid(kind, x["m"]))
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.lit(strict).alias("base"), _votes(text, kind, x, strict).alias("v")).cast(shape))
 
-    sources = [(k, kind, *patterns[kind], strict) for k, kind in enumerate(KINDS) for patterns, strict in ((BASE, True), (LOOSE, False)) if kind in patterns]
-    numeric = F.concat(*(of(*x) for x in sources if not x[3]))
-    return F.concat(F.when(text.rlike("[0-9]"), numeric).otherwise(F.array().cast(f"array<{shape}>")), *(of(*x) for x in sources if x[3]))
+    sources = [(k, kind, strict, *patterns[kind]) for k, kind in enumerate(KINDS) for patterns, strict in ((BASE, True), (LOOSE, False)) if kind in patterns]
+    numeric = F.concat(*(of(*x) for x in sources if not x[4]))
+    return F.concat(F.when(text.rlike("[0-9]"), numeric).otherwise(F.array().cast(f"array<{shape}>")), *(of(*x) for x in sources if x[4]))
 
 
 def with_candidates(docs: DataFrame, text_column: str = "text") -> DataFrame:

@@ -46,3 +46,18 @@ def test_sums_beyond_32_bits():
         want = [blocks * 2**31, blocks * (2**32 - 1), blocks]
         assert [lm.unpack(r["sums"], lm.SUMS).tolist() for r in got] == [want] * blocks
         assert sum(r["tokens"] for r in got) == (sum(want) if kind == 0 else 0)
+
+
+def test_every_spelling_of_name_is_a_candidate(spark):
+    import re
+
+    from tallyloom.llm import pii
+
+    said = ["Name : John Smith", "NAME IS John Smith", "NAME:John Smith", "nAmE iS John Smith", "Name :John Smith", "name: John Smith", "nameis John Smith", "surname is John Smith", "Mr. John Smith", "NAME  : John Smith", "my name", "MR John Smith"]
+    pattern = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?|(?i:\bname ?(?:is|:) ?)[A-Z][a-z]+ [A-Z][a-z]+")
+    df = spark.createDataFrame([(i, f"Dear all, {t}, hello") for i, t in enumerate(said)], "doc_id long, text string")
+    rows = pii.with_candidates(df).orderBy("doc_id").collect()
+    want = [[m.span() for m in pattern.finditer(r["text"])] for r in rows]
+    assert [[(c["s"], c["e"]) for c in r["_c"] if c["k"] == pii.KINDS.index("name")] for r in rows] == want and sum(map(len, want)) == 8
+    model = {pii.KINDS.index("name"): [0.0] * pii.N + [1.0]}
+    assert [r["text"] for r in pii.redact(df.limit(3), model=model).orderBy("doc_id").collect()] == ["Dear all, [NAME], hello"] * 3

@@ -1,8 +1,7 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, every link verified exactly.
+"""N-gram Jaccard self-join by MinHash banding of fixed depth, every link verified exactly.
 
-A text's signature is cut into trees of a few labels each. In every tree signatures stand in prefix order, and texts whose
-first labels agree share a node. Prefixes are shortened from full depth until the expected recall at the threshold reaches
-the target. Nodes give edges between likely pairs only (their signatures agree enough), edges give candidate components,
+A text's signature is cut into trees of a few labels each, and texts whose first labels agree in a tree share a node. How
+many labels is computed once from the parameters (the most that give the target recall at the threshold), not from the data. Nodes give edges between likely pairs only (their signatures agree enough), edges give candidate components,
 and within these every pair's shingle sets are intersected exactly.
 """
 

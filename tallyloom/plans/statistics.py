@@ -74,7 +74,8 @@ def t04_f_sf(read):
 
 @query()
 def t05_chi2_sf(read):
-    return stats.friedman(means(read), "user_id", "event_type", "v", 3, ties=True).withColumn("p", stats.chi2_tail(F.col("statistic"), F.col("df")))
+    every = read("events").where(F.col("event_type").isNotNull()).groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
+    return stats.friedman(every, "user_id", "event_type", "v", read("events").agg(F.count_distinct("event_type")).first()[0], ties=True).withColumn("p", stats.chi2_tail(F.col("statistic"), F.col("df")))
 
 
 @query()

@@ -43,14 +43,14 @@ judged AS (
            OR 20 * (length(t) - length(regexp_replace(t, '[{}]', '', 'g'))) > n_words
            OR 50 * (length(t) - length(replace(t, chr(65533), ''))) > length(t) AS rejected FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged""",
-    # integer products are exact in doubles
+    # products in 128-bit integers, so that large components are exact too
     "op9_topk": r"""
 WITH usable AS (
-    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    SELECT row_number() OVER () AS r, vec_id, len(embedding) AS dim, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-    SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-    FROM usable q JOIN usable c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM usable q JOIN usable c ON q.r <> c.r AND q.dim = c.dim WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }

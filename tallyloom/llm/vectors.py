@@ -7,147 +7,213 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import partitions_for, staged
 
-#: Cells of each dimension; vectors of a candidate block and of a query block (a block is one row of packed bytes).
-CELLS, CANDIDATES, QUERIES = 32, 4096, 512
+#: Cells of each dimension; candidates whose cells are scanned at once; queries that scan together.
+CELLS, SCANNED, TOGETHER = 64, 4096, 512
+#: Components of a group of candidates, and the least vectors that make a group worth a task. A task holds one group at a time.
+GROUP_COMPONENTS, LEAST_GROUP = 1 << 22, 2048
 SCALE = 64
+#: Integers from here on are no longer told apart by doubles, or their products overflow: such vectors are multiplied as Python integers.
+EXACT, GIANT = float(1 << 53), float(1 << 300)
+LONGEST = (1 << 63) - 1
 
 
-def _integers(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE))
+def integers(values):
+    """floor(64 * x) as doubles (floors of doubles are doubles); infinite where the product leaves their range."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return np.floor(np.asarray(values, float) * SCALE)
+
+
+def exact_products(a, b) -> list[int]:
+    """Inner products of the rows of a with those of b, components taken as x for floor(64 * x), saturated to 64 bits."""
+    from math import floor
+
+    whole = lambda x: floor(x * SCALE) if abs(x) < EXACT else int(x) * SCALE
+    sums = (sum(whole(x) * whole(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True))
+    return [max(-LONGEST - 1, min(LONGEST, s)) for s in sums]
 
 
-class Cells:
-    """The approximation: a cell per dimension. low and high bound what the components of a cell can be."""
+class Group:
+    """Candidates of one dimension with their approximation: a grid of cells, made once, that every query scans.
 
-    def __init__(self, vectors, cells: int = CELLS):
+    Alike vectors score alike, so of more than k + 1 of them only those of the least ids can be among the k best of a
+    query (one may be its own row); the others are left out.
+    """
+
+    def __init__(self, raw, ids, rows, copies, k: int, cells: int = CELLS):
         import numpy as np
 
-        self.least = vectors.min(0) if len(vectors) else np.zeros(vectors.shape[1])
-        most = vectors.max(0) if len(vectors) else self.least
-        self.width = np.maximum(1, np.ceil((most - self.least + 1) / cells))
-        self.code = ((vectors - self.least) // self.width).astype(np.uint8)
+        again = np.repeat(np.arange(len(ids)), np.minimum(copies, k + 1))
+        raw, ids, rows = raw[again], ids[again], rows[again]
+        alike = np.unique(raw + 0.0, axis=0, return_inverse=True)[1].ravel() if len(raw) > k + 1 else np.zeros(0, np.int64)
+        if len(alike) and np.bincount(alike).max() > k + 1:
+            order = np.lexsort((ids, alike))
+            new = np.ones(len(order), bool)
+            new[1:] = alike[order[1:]] != alike[order[:-1]]
+            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            keep = np.sort(order[nth <= k])
+            raw, ids, rows = raw[keep], ids[keep], rows[keep]
+        self.raw, self.ids, self.rows, self.by_row = raw, ids, rows, np.argsort(rows, kind="stable")
+        self.vectors = integers(raw)
+        self.most = float(np.abs(self.vectors).max()) if self.vectors.size else 0.0
+        self.giant = self.most >= GIANT
+        if not self.giant:
+            self.least = self.vectors.min(0)
+            self.width = np.maximum(1, np.ceil((self.vectors.max(0) - self.least + 1) / cells))
+            self.code = np.minimum((self.vectors - self.least) // self.width, cells - 1).astype(np.uint8)
+            # in cells wider than doubles can tell integers apart, the far end is taken a little further
+            self.half = np.maximum(self.vectors.max(0) - self.least - (cells - 1) * self.width, self.width) / 2 * (1 + 1e-9) - 0.5 * (self.width < 2**40)
+            self.middle = self.least + (self.width - (self.width < 2**40)) / 2
+
+    def own(self, rows):
+        """Position of each query's own row (the first of its copies), or -1."""
+        import numpy as np
 
-    def bounds(self, queries):
-        """Upper and lower bounds of the inner products of queries with all vectors."""
+        sorted_ = self.rows[self.by_row]
+        at = np.searchsorted(sorted_, rows)
+        found = np.minimum(at, len(sorted_) - 1)
+        return np.where((at < len(sorted_)) & (sorted_[found] == rows), self.by_row[found], -1)
+
+    def scores(self, raw, queries, which, at):
+        """Exact scores of queries[which] with candidates at, 64-bit integers."""
         import numpy as np
 
-        half = (self.width - 1) / 2
-        centre = queries @ (self.least + half + self.code * self.width).T
-        slack = np.abs(queries) @ half
-        return centre + slack[:, None], centre - slack[:, None]
+        if np.abs(queries[which]).max(initial=0) * self.most * queries.shape[1] < EXACT:
+            return np.einsum("ij,ij->i", queries[which], self.vectors[at]).astype(np.int64)
+        return np.array(exact_products(raw[which], self.raw[at]), np.int64)
 
+    def nearest(self, raw, rows, k: int):
+        """(query, score, id), sorted, of the k best candidates of each query.
 
-def nearest(queries, own, vectors, ids, k: int):
-    """For each query the k best (score, id) of vectors, its own row (own: position or -1) left out; exact integers.
+        Cells are scanned some thousand candidates at a time. The kth best exact score so far (at first, the kth best
+        lower bound) tells which upper bounds can still matter; exact vectors of those are read from the highest bound on,
+        in runs, and the kth score of each run ends the reading or narrows what follows.
+        """
+        import numpy as np
 
-    The kth highest lower bound is a first threshold; exact vectors are read by upper bound, in runs, until the kth exact
-    score is above every bound that is left (a tie is read too, for its smaller id).
-    """
+        queries, own = integers(raw), self.own(rows)
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        kth = np.full(len(queries), -np.inf)
+        plain = not self.giant and np.abs(queries).max(initial=0) < GIANT
+        if plain:
+            scale = np.maximum(1.0, np.abs(queries).max(1, initial=0))[:, None] * self.width.max()
+            step = (queries * self.width / scale).astype(np.float32)
+            offset = queries @ self.middle
+            # what the middle of a cell can miss, and what 32- and 64-bit sums can lose
+            slack = np.abs(queries) @ self.half + (queries.shape[1] + 4) * (2.0**-22 * np.abs(queries * self.width).sum(1) * CELLS + 2.0**-51 * (np.abs(queries) @ np.abs(self.middle))) + 0.5
+        for start in range(0, len(self.ids), SCANNED):
+            stop = min(start + SCANNED, len(self.ids))
+            if plain:
+                middle = step @ self.code[start:stop].T.astype(np.float32)
+                mine = np.flatnonzero((own >= start) & (own < stop))
+                middle[mine, own[mine] - start] = -np.inf
+                least = kth
+                if stop - start > k and np.isinf(kth).any():
+                    low = np.partition(middle, stop - start - k, axis=1)[:, stop - start - k]
+                    least = np.minimum(np.maximum(kth, low * scale[:, 0] + offset - slack), 2.0**63)
+                    least[least <= -(2.0**63)] = -np.inf  # scores beyond 64 bits are alike
+                bar = (least - offset - slack) / scale[:, 0]
+                which, at = np.nonzero(middle >= (bar - np.abs(bar) * 2.0**-22)[:, None].astype(np.float32))
+                keep = middle[which, at] > -np.inf
+                which, at = which[keep], at[keep]
+                upper = middle[which, at].astype(float) * scale[which, 0] + offset[which] + slack[which]
+            else:
+                which, at = np.nonzero(np.ones((len(queries), stop - start), bool))
+                keep = at + start != own[which]
+                which, at = which[keep], at[keep]
+                upper = np.full(len(which), np.inf)
+            order = np.lexsort((-upper, which))
+            which, at, upper = which[order], at[order] + start, upper[order]
+            while len(which):
+                first = np.searchsorted(which, which, "left")
+                now = np.arange(len(which)) - first < max(4 * k, 64)
+                scores = self.scores(raw, queries, which[now], at[now])
+                best = top(*(np.concatenate(x) for x in zip(best, (which[now], scores, self.ids[at[now]]), strict=True)), k)
+                counts = np.bincount(best[0], minlength=len(queries))
+                full = counts >= k
+                worst = best[1][np.cumsum(counts)[full] - 1].astype(float)
+                kth[full] = np.where(worst <= -(2.0**63), -np.inf, worst - np.abs(worst) * 2.0**-50)
+                left = ~now & (upper >= kth[which])
+                which, at, upper = which[left], at[left], upper[left]
+        return best
+
+
+def top(which, scores, ids, k: int):
+    """The k best of each query: highest score, then least id."""
     import numpy as np
 
-    cells = Cells(vectors)
-    out = []
-    for at in range(0, len(queries), 128):
-        upper, lower = cells.bounds(queries[at : at + 128])
-        for j in range(len(upper)):
-            q, up, low, mine = queries[at + j], upper[j], lower[j], own[at + j]
-            if mine >= 0:
-                up[mine] = low[mine] = -np.inf
-            n = len(up) - (mine >= 0)
-            if n <= 0:
-                out.append((np.empty(0), np.empty(0, np.int64)))
-                continue
-            least = np.partition(low, -k)[-k] if n > k else -np.inf
-            likely = np.flatnonzero((up >= least) & (up > -np.inf))
-            likely = likely[np.argsort(-up[likely], kind="stable")]
-            scores, read, run = np.empty(0), 0, max(4 * k, 64)
-            while read < len(likely):
-                if read >= k and np.partition(scores, -k)[-k] > up[likely[read]]:
-                    break
-                scores = np.concatenate([scores, vectors[likely[read : read + run]] @ q])
-                read += run
-            found = likely[: len(scores)]
-            best = np.lexsort((ids[found], -scores))[:k]
-            out.append((scores[best], ids[found][best]))
-    return out
-
-
-def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+    order = np.lexsort((ids, ~scores, which))
+    which, scores, ids = which[order], scores[order], ids[order]
+    keep = np.arange(len(which)) - np.searchsorted(which, which, "left") < k
+    return which[keep], scores[keep], ids[keep]
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", components: int = GROUP_COMPONENTS, least_group: int = LEAST_GROUP) -> DataFrame:
     """Each query's k highest integer inner products over all other rows: query_id, rank (from 1), vec_id, score.
 
     A component x becomes floor(64 * x). Rows whose id or vector is null, or whose vector is empty or has a null or
     non-finite component, take no part; only vectors of a query's dimension are its candidates. Ties go to the smaller
-    id. Repeated rows are candidates each; alike query rows are one query, which leaves out one of them as its own; rows
-    of one id with different vectors are different queries, told apart by column _query.
-
-    Rows are packed into blocks by a hash, so a block is bounded; each block of queries meets every block of candidates,
-    dealt to as many tasks as there are partitions, and a task streams over its blocks with k results a query. Products
-    are exact in doubles below 2 ** 53; components beyond 2 ** 23 are taken as if they were 2 ** 23.
+    id. Repeated rows are candidates each, and queries each: every query row gets its own k results and leaves out itself
+    alone. An empty table, or one without queries, gives no rows; extra columns are ignored. Products are exact whatever
+    the components (in doubles where these hold them, else in Python integers); a score beyond 64 bits is the nearest
+    64-bit number and ranks as that. Ids that are not integers are numbered in their order first.
+
+    Alike rows are counted, not gathered. Candidates are dealt by a hash to groups of bounded size; a task holds one group and its
+    cells while all queries, a bounded batch at a time, pass by: so cells are made once, and queries, not candidates, are
+    copied. A group returns k results a query.
     """
     import numpy as np
 
     spark = rows.sparkSession
-    v = F.col(vector_column)
-    usable = rows.where(F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
-    ints = usable.select(F.col(id_column).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.transform(_integers(v), lambda x: F.least(F.greatest(x, F.lit(-(1 << 23))), F.lit(1 << 23)).cast("int")).alias("v"), F.size(v).alias("dim"))
-    sizes = ints.agg(F.count("*"), F.count_if("asks")).first()
-    n_blocks, q_blocks = max(1, -(-sizes[0] // candidates)), max(1, -(-sizes[1] // queries))
-    salts = max(1, min(n_blocks, -(-partitions_for(spark) // q_blocks)))
-
-    def gather(table):
-        import pyarrow as pa
-
-        dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
-        vectors = table.column("v").combine_chunks().flatten().to_numpy().astype("<i4")
-        return pa.Table.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int32()), pa.array([table.column("id").combine_chunks().to_numpy().astype("<i8").tobytes()]), pa.array([vectors.tobytes()])], ["dim", "block", "ids", "vectors"])
-
-    def packed(df: DataFrame, blocks: int) -> DataFrame:
-        dealt = df.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
-        return dealt.groupBy("dim", "block").applyInArrow(gather, "dim int, block int, ids binary, vectors binary")
-
-    asked = packed(ints.where("asks").select("id", "v", "dim").distinct(), q_blocks)
-    asked = asked.select(F.col("dim"), F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    stored = staged(packed(ints.select("id", "v", "dim"), n_blocks), "vectors")
-    stored = stored.select("dim", "ids", "vectors", F.pmod("block", F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
-    met = stored.join(asked, ["dim", "q", "salt"])
+    v, id_type = F.col(vector_column), rows.schema[id_column].dataType.simpleString()
+    usable = rows.where(F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf")))))
+    usable = usable.select(F.col(id_column).alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    names = None
+    if id_type not in ("tinyint", "smallint", "int", "bigint"):
+        names = staged(usable.select("id").distinct().orderBy("id").select(F.col("id").alias("name"), F.monotonically_increasing_id().alias("id")), "names")
+        usable = usable.withColumnRenamed("id", "name").join(names, "name").drop("name")
+    points = usable.groupBy(F.col("id").cast("long").alias("id"), "v").agg(F.count("*").alias("n"), F.count_if("asks").alias("asks"))
+    points = staged(points.withColumns({"row": F.monotonically_increasing_id(), "dim": F.size("v")}), "points")
+    sizes = points.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    parts = max(1, -(-int(sizes[1]) // components), min(partitions_for(spark), -(-sizes[0] // least_group)))
+    columns = ["dim", "part", "kind", "row", "id", "n", "v"]
+    held = points.withColumns({"part": F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int"), "kind": F.lit(0)}).select(columns)
+    asked = points.where("asks > 0").withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "kind": F.lit(1)}).select(columns)
+    met = held.unionByName(asked).repartition(max(parts, partitions_for(spark)), "dim", "part").sortWithinPartitions("dim", "part", "kind")
 
     def search(batches):
         import pyarrow as pa
 
-        held, best = None, []
-
-        def flush():
-            if held is None:
-                return
-            _, ids, vectors = held
-            rows = [(int(i), q.tobytes(), int(s), int(c)) for i, q, (scores, found) in zip(ids, vectors.astype("<i4"), best, strict=True) for s, c in zip(scores, found, strict=True)]
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["query_id", "_query", "score", "vec_id"])
-
+        key, group, waiting = None, None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                dim, q, salt, ids, vectors, q_ids, q_vectors = (batch.column(c)[i].as_py() for c in range(7))
-                if held is None or held[0] != (dim, q, salt):
-                    yield from flush()
-                    asking = np.frombuffer(q_vectors, "<i4").reshape(-1, dim).astype(float)
-                    held, best = ((dim, q, salt), np.frombuffer(q_ids, "<i8"), asking), [(np.empty(0), np.empty(0, np.int64))] * len(asking)
-                ids, vectors = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i4").reshape(-1, dim).astype(float)
-                order = np.argsort(ids, kind="stable")
-                at = np.searchsorted(ids, held[1], sorter=order)
-                own = np.full(len(held[1]), -1)
-                for j, (x, a) in enumerate(zip(held[1], at, strict=True)):
-                    while a < len(ids) and ids[order[a]] == x:
-                        if (vectors[order[a]] == held[2][j]).all():
-                            own[j] = order[a]
-                            break
-                        a += 1
-                for j, (scores, found) in enumerate(nearest(held[2], own, vectors, ids, k)):
-                    s, f = np.concatenate([best[j][0], scores]), np.concatenate([best[j][1], found])
-                    top = np.lexsort((f, -s))[:k]
-                    best[j] = s[top], f[top]
-        yield from flush()
-
-    partial = met.select("dim", "q", "salt", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(search, "query_id bigint, _query binary, score bigint, vec_id bigint")
-    window = Window.partitionBy("query_id", "_query").orderBy(F.desc("score"), "vec_id")
-    ranked = partial.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score", "_query")
+            dim, part, kind = (batch.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == stop:
+                    continue
+                if key != (dim[start], part[start]):
+                    key, group, waiting = (dim[start], part[start]), None, []
+                for at in range(start, stop, TOGETHER if kind[start] else stop - start):
+                    run = batch.slice(at, min(TOGETHER, stop - at) if kind[start] else stop - at)
+                    row, ids, n = (run.column(c).to_numpy() for c in (3, 4, 5))
+                    raw = run.column(6).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, key[0])
+                    if kind[start] == 0:
+                        waiting.append((raw, ids, row, n))
+                        continue
+                    if group is None and waiting:
+                        group, waiting = Group(*(np.concatenate(x) for x in zip(*waiting, strict=True)), k), []
+                    if group is not None:
+                        which, scores, found = group.nearest(raw, row, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(row[which]), pa.array(scores), pa.array(found)], ["row", "score", "vec_id"])
+
+    partial = met.mapInArrow(search, "row bigint, score bigint, vec_id bigint")
+    ranked = partial.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    about = points.where("asks > 0").select("row", F.col("id").alias("query_id"), "asks")
+    out = ranked.join(about, "row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("asks").cast("int"))))
+    if names is not None:
+        for c in ("query_id", "vec_id"):
+            out = out.withColumnRenamed(c, "id").join(names, "id").drop("id").withColumnRenamed("name", c)
+    else:
+        out = out.withColumns({c: F.col(c).cast(id_type) for c in ("query_id", "vec_id")})
+    return out.select("query_id", "rank", "vec_id", "score")

@@ -252,17 +252,23 @@ def test_lm(docs, none):
 def test_top_k(spark):
     from tallyloom.llm import vectors
 
-    vecs = [[math.sin(i * 3 + j * (i % 7 + 1)) for j in range(6)] for i in range(120)] + [[0.5] * 6] * 5
+    vecs = [[math.sin(i * 3 + j * (i % 7 + 1)) for j in range(6)] for i in range(120)] + [[0.5] * 6] * 35
     rows = [(i, v) for i, v in enumerate(vecs)] + [(200, None), (None, [1.0] * 6), (202, [float("nan")] * 6), (203, [float("inf")] + [0.0] * 5), (204, [None] + [0.0] * 5), (220, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    ints = {r["vec_id"]: [math.floor(64 * x) for x in r["embedding"]] for r in df.collect() if r["vec_id"] is not None and r["vec_id"] < 125}
-    got = defaultdict(list)
-    for r in vectors.top_k(df, F.col("vec_id") % 20 == 0, 7, candidates=32, queries=3).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    for q in range(0, 125, 20):
-        best = sorted(((sum(a * b for a, b in zip(ints[q], v, strict=True)), -i) for i, v in ints.items() if i != q), reverse=True)[:7]
-        assert got[q] == [(-i, s) for s, i in best]
-    assert 220 not in got
+    rows += [(0, vecs[0]), (20, vecs[3]), (7, vecs[7]), (140, vecs[140]), (160, [2.0**30] * 6), (161, [2.0**31, -1.0, 3.5, 2.0**24, 0.25, -(2.0**30)]), (180, [1e30, -1e30, 1.0, 0.0, 0.0, 0.5]), (181, [3e38] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
+    usable = [(r["vec_id"], [math.floor(64 * x) for x in r["embedding"]]) for r in df.collect() if r["vec_id"] is not None and r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    assert any(abs(x) > 2**90 for _, v in usable for x in v)
+    want = []
+    for at, (q, a) in enumerate(usable):
+        if q % 20 == 0 and len(a) == 6:
+            scored = [(max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), -i) for n, (i, b) in enumerate(usable) if n != at and len(b) == 6]
+            want += [(q, n, -i, s) for n, (s, i) in enumerate(sorted(scored, reverse=True)[:7], 1)]
+    for options in ({}, {"components": 200, "least_group": 1}):
+        got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.top_k(df, F.col("vec_id") % 20 == 0, 7, **options).collect()]
+        assert sorted(got) == sorted(want)
+    named = df.withColumn("vec_id", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 4, "0")))
+    got = [(int(r["query_id"][1:]), r["rank"], int(r["vec_id"][1:]), r["score"]) for r in vectors.top_k(named, F.substring("vec_id", 2, 9).cast("long") % 20 == 0, 7).collect()]
+    assert sorted(got) == sorted(want)
     assert vectors.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 

@@ -5,42 +5,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SLICE_BYTES, partitions_for, row_key, staged, text_of
+from tallyloom.llm.common import SLICE_BYTES, staged, text_of
 
+#: Longest n-gram.
+ORDER = 3
 #: Added to every count of the single-token distribution.
 ADDED = 0.1
 #: Weight of the lower order: a context seen c times trusts its own followers by c / (c + TRUST).
 TRUST = 4.0
+#: A context is a state of the automaton if it was seen so often; one seen once knows one text, often the very one that is scored.
+LEAST_CONTEXT = 2
 END, START = 0, 1  # symbols that no word has
-#: Bytes of text that a block should hold at most, as a task holds a whole block (a longer text cannot be cut).
-BLOCK_BYTES = 32 << 20
+#: Bytes of text from which a block is closed: what a task holds at once (a longer text cannot be cut).
+BLOCK_BYTES = 16 << 20
 #: Sums over all documents; a block's own counts fit 32 bits, as Arrow holds less than 2 ** 31 bytes of a text.
 SUMS = "<u8"
+#: Senders that meet in one node of the tree of sums, and the ranges of hashes into which a sender cuts its n-grams.
+FAN_BITS = 8
+#: Tokens of a lane: longer texts are walked by several lanes at once.
+LANE = 256
 
 
 class BackoffAutomaton:
-    """States are contexts; a state has arcs for the symbols seen after it and one failure arc to the state of the shorter context.
+    """States are contexts; a state has arcs for the symbols seen after it and one failure arc to its longest suffix that is a state.
 
-    root[s]: log10 probability of symbol s in the empty context. fail[q]: log10 weight of the failure arc of state q.
-    arcs: sorted keys state * symbols + symbol with their log10 probabilities. After symbol s the state is s if it has
-    arcs, and a symbol's own number names its state.
+    root, after_root: log10 probability of every symbol in the empty context (state 0), and the state it leads to.
+    fail, back: log10 weight and target of every state's failure arc. keys, weights, after: arcs, sorted by
+    state * symbols + symbol, with their log10 probabilities and targets. start: the state of a text's beginning.
     """
 
-    def __init__(self, root, fail, keys, weights):
-        self.root, self.fail, self.keys, self.weights = root, fail, keys, weights
+    def __init__(self, root, after_root, fail, back, keys, weights, after, start):
+        self.root, self.after_root, self.fail, self.back = root, after_root, fail, back
+        self.keys, self.weights, self.after, self.start = keys, weights, after, start
 
-    def walk(self, symbols, starts):
-        """log10 probabilities of symbols, read left to right; starts: where a text begins, from the state START."""
+    def step(self, state, symbols):
+        """log10 probabilities of one symbol after each state, and the states that follow: failure arcs until an arc takes the symbol."""
         import numpy as np
 
-        state = np.empty_like(symbols)
-        state[1:] = symbols[:-1]
-        state[starts] = START
-        key = state * len(self.root) + symbols
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        arc = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-        out = self.fail[state] + self.root[symbols]
-        out[arc] = self.weights[at[arc]]
+        p, follows = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        live, at = np.arange(len(state)), state
+        while live.size:
+            s = symbols[live]
+            empty = at == 0
+            done = live[empty]
+            p[done] += self.root[s[empty]]
+            follows[done] = self.after_root[s[empty]]
+            live, at, s = live[~empty], at[~empty], s[~empty]
+            if not live.size:
+                break
+            key = at * len(self.root) + s
+            arc = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            hit = self.keys[arc] == key if len(self.keys) else np.zeros(len(key), bool)
+            p[live[hit]] += self.weights[arc[hit]]
+            follows[live[hit]] = self.after[arc[hit]]
+            live, at = live[~hit], at[~hit]
+            p[live] += self.fail[at]
+            at = self.back[at]
+        return p, follows
+
+    def walk(self, symbols, starts, order: int, lane: int = LANE):
+        """log10 probabilities of symbols, each text read from left to right from the state of its START (at starts).
+
+        Lanes are read side by side and carry their state. A text of more than `lane` symbols is cut; a further lane starts
+        order - 1 symbols early in the empty context, as these decide the state and nothing before them does.
+        """
+        import numpy as np
+
+        ends = np.append(starts[1:], len(symbols))
+        lanes = -(-(ends - starts - 1) // lane)
+        text = np.repeat(np.arange(len(starts)), lanes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        warm = np.where(nth > 0, np.minimum(order - 1, lane), 0)
+        begin = starts[text] + 1 + nth * lane - warm
+        size = np.minimum(starts[text] + 1 + (nth + 1) * lane, ends[text]) - begin
+        by_size = np.argsort(-size, kind="stable")
+        begin, size, warm = begin[by_size], size[by_size], warm[by_size]
+        state = np.where(nth[by_size] > 0, 0, self.start)
+        out = np.zeros(len(symbols))
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t, "left"))
+            at = begin[:n] + t
+            p, state = self.step(state[:n], symbols[at])
+            heard = t >= warm[:n]
+            out[at[heard]] = p[heard]
         return out
 
 
@@ -59,10 +106,18 @@ def pair_hash(a, b):
     return (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
 
 
+class Grams:
+    """The distinct n-grams of one length in a block: ids (of the n-gram that ends at each position, or -1), the position of
+    an occurrence of each, their hashes, the n-grams without the last and without the first symbol, the last symbols."""
+
+    def __init__(self, ids, at, hashes, context=None, suffix=None, last=None):
+        self.ids, self.at, self.hashes, self.context, self.suffix, self.last = ids, at, hashes, context, suffix, last
+
+
 class Block:
-    """The tokens of some documents: symbols, the texts' lengths, hashes of the symbols and of the distinct pairs."""
+    """The tokens of some documents: symbols with a START before each text, where texts start, their lengths in tokens, n-grams by length."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order: int):
         import numpy as np
 
         numbers: dict[bytes, int] = {}
@@ -74,9 +129,10 @@ class Block:
             for t in held:
                 words = t.lower().split()
                 lengths.append(len(words) + 1)
+                flat.append(START)
                 flat += [n if (n := get(w)) is not None else add(w, len(numbers) + 2) for w in words]
                 flat.append(END)
-            parts.append(np.array(flat, np.int64))
+            parts.append(np.array(flat, np.int32))
             held.clear()
 
         get, add = numbers.get, numbers.setdefault
@@ -88,14 +144,65 @@ class Block:
                 size = 0
         take()
         self.symbols, self.lengths = np.concatenate(parts), np.array(lengths, np.int64)
-        self.words = hashed(list(numbers))
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        before = np.empty_like(self.symbols)
-        before[1:] = self.symbols[:-1]
-        before[self.starts] = START
-        codes, self.pair_of = np.unique(before * len(self.words) + self.symbols, return_inverse=True)
-        self.codes = codes
-        self.pairs = pair_hash(self.words[codes // len(self.words)], self.words[codes % len(self.words)])
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        words = hashed(list(numbers))
+        self.grams = [Grams(self.symbols, None, words)]
+        for n in range(2, order + 1):
+            lower = self.grams[-1]
+            ends = np.ones(len(self.symbols), bool)
+            ends[self.starts] = False
+            if n > 2:
+                ends[1:] &= lower.ids[:-1] >= 0
+            ends = np.flatnonzero(ends)
+            codes = lower.ids[ends - 1].astype(np.int64) * len(words) + self.symbols[ends]
+            codes, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+            ids = np.full(len(self.symbols), -1, np.int32)
+            ids[ends] = inverse
+            at = ends[first]
+            context, last = codes // len(words), codes % len(words)
+            self.grams.append(Grams(ids, at, pair_hash(lower.hashes[context], words[last]), context, lower.ids[at] if n > 2 else last, last))
+
+    def counts(self, train) -> list:
+        """Of each length, how often every n-gram occurs in the texts where train is true."""
+        import numpy as np
+
+        learned = np.repeat(train, self.lengths + 1)
+        return [np.bincount(g.ids[learned & (g.ids >= 0)], minlength=len(g.hashes)) for g in self.grams]
+
+    def automaton(self, sums: list, tokens: int, distinct: int, added: float, trust: float, least_context: int):
+        """The part of the automaton that the block's texts can reach, from the sums over all documents, and those of single tokens."""
+        import numpy as np
+
+        size, order = len(self.grams[0].hashes), len(self.grams)
+        single = sums[0].copy()
+        single[START] = 0  # how often the starting context occurs; not a token
+        probability = [(single + added) / (tokens + added * (distinct + 1))]
+        is_state = [s >= least_context for s in sums[:-1]] if order > 1 else []
+        first, states = [], 1
+        for s in is_state:
+            first.append(states)
+            states += len(s)
+        own = [np.where(s, f + np.arange(len(s)), 0) for s, f in zip(is_state, first, strict=True)]
+        reached = [own[0] if order > 1 else np.zeros(size, np.int64)]  # the longest suffix of each n-gram that is a state
+        fail, back = [np.zeros(1)], [np.zeros(1, np.int64)]
+        keys, weights, after = [], [], []
+        for n, g in enumerate(self.grams):
+            if n:
+                target = reached[n - 1][g.suffix]
+                reached.append(np.where(own[n] > 0, own[n], target) if n < order - 1 else target)
+                contexts = sums[n - 1][g.context]
+                probability.append((sums[n] + trust * probability[n - 1][g.suffix]) / (contexts + trust))
+                arc = np.flatnonzero((sums[n] > 0) & is_state[n - 1][g.context])
+                keys.append((first[n - 1] + g.context[arc]) * size + g.last[arc])
+                weights.append(np.log10(probability[n][arc]))
+                after.append(reached[n][arc])
+            if n < order - 1:
+                fail.append(np.log10(trust / (sums[n] + trust)))
+                back.append(reached[n - 1][g.suffix] if n else np.zeros(size, np.int64))
+        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+        keys, weights, after = join(keys, np.int64), join(weights, float), join(after, np.int64)
+        by_key = np.argsort(keys, kind="stable")
+        return BackoffAutomaton(np.log10(probability[0]), reached[0], np.concatenate(fail), np.concatenate(back), keys[by_key], weights[by_key], after[by_key], int(reached[0][START])), single
 
 
 def pack(values) -> bytes:
@@ -110,97 +217,169 @@ def unpack(data: bytes, kind: str):
     return np.frombuffer(data, "u1").reshape(width, -1).T.copy().view(kind).ravel() if data else np.empty(0, kind)
 
 
-def _chunks(keys, counts, buckets: int):
-    """(bucket, packed differences of sorted keys, packed counts) of each bucket, a range of hashes."""
+def _ranges(keys, values, shift: int):
+    """(bucket, packed differences of keys, packed values) of each range of sorted keys; a bucket is a key's bits from shift on."""
     import numpy as np
 
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype("<u4")
-    edges = np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)) if buckets > 1 else np.empty(0, np.int64)
-    at = [0, *edges.tolist(), len(keys)]
-    for b in range(buckets):
-        if at[b + 1] > at[b]:
-            own = keys[at[b] : at[b + 1]]
-            yield b, pack(np.diff(own, prepend=np.uint64(0)).astype("<u8")), pack(counts[at[b] : at[b + 1]])
+    buckets = keys >> np.uint64(shift) if shift < 64 else np.zeros(len(keys), np.uint64)
+    cuts = np.flatnonzero(np.diff(buckets)) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+        if start < stop:
+            yield int(buckets[start]), pack(np.diff(keys[start:stop], prepend=np.uint64(0)).astype("<u8")), pack(values[start:stop])
 
 
-def _block(block_rows):
+def _merged(table):
+    """The distinct keys of some senders' rows, which of them every sender's keys are, the sums, and how many keys each row has."""
     import numpy as np
 
-    texts, train = block_rows.column("text").to_pylist(), np.array(block_rows.column("train").to_pylist(), bool)
-    block = Block(texts)
-    learned = np.repeat(train, block.lengths)
-    n = len(block.words)
-    words = np.bincount(block.symbols[learned], minlength=n)
-    words[START] = int(train.sum())  # how often the starting context occurs; not a token
-    return block, words, np.bincount(block.pair_of[learned], minlength=len(block.pairs))
+    keys = [np.cumsum(unpack(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    values = np.concatenate([unpack(c, SUMS) for c in table.column("counts").to_pylist()]).astype(np.int64)
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, which, values)
+    return distinct, which, sums, [len(k) for k in keys]
+
 
+_SENT = "sender bigint, kind int, bucket bigint, keys binary, counts binary"
+_BACK = "sender bigint, kind int, bucket bigint, sums binary, tokens bigint, distinct_tokens bigint"
 
-def _add(table):
-    """The sums of a range over all blocks, and each block's own part of them."""
+
+def _replies(table, which, sums, sizes, totals):
     import numpy as np
     import pyarrow as pa
 
-    keys = [np.cumsum(unpack(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    counts = np.concatenate([unpack(c, "<u4") for c in table.column("counts").to_pylist()]).astype(np.int64)
-    sizes = [len(k) for k in keys]
-    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
-    back = sums[which]
-    ends = np.cumsum(sizes)
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    own = sums.copy()
-    if kind == 0:
-        own[distinct == hashed([])[START]] = 0
-    total, known = (int(own.sum()), int((own > 0).sum())) if kind == 0 else (0, 0)
-    n = len(sizes)
+    back, ends, n = sums[which].astype(SUMS), np.cumsum(sizes), len(sizes)
+    parts = [pack(back[e - s : e]) for s, e in zip(sizes, ends.tolist(), strict=True)]
     return pa.Table.from_arrays(
-        [table.column("block").combine_chunks(), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array([pack(back[e - s : e].astype(SUMS)) for s, e in zip(sizes, ends, strict=True)], pa.binary()), pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([known] + [0] * (n - 1), pa.int64())],
-        ["block", "kind", "bucket", "sums", "tokens", "distinct_tokens"],
+        [*(table.column(c).combine_chunks() for c in ("sender", "kind", "bucket")), pa.array(parts, pa.binary()), *(pa.array([x] + [0] * (n - 1), pa.int64()) for x in totals)],
+        ["sender", "kind", "bucket", "sums", "tokens", "distinct_tokens"],
     )
 
 
-def count(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Counts over all training documents of every word (kind 0) and pair (kind 1) that each block asks for.
+def exchanged(sent: DataFrame, senders: int, bits: int, shift: int, fan_bits: int = FAN_BITS) -> DataFrame:
+    """Each sender's counts summed over all senders, in the order it sent them (_SENT to _BACK).
 
-    Every block sends the sorted hashes of its distinct words and pairs with its own counts, cut into ranges; a range's
-    counts are summed over blocks, and each block gets back the sums in its own order. Rows: block, kind, bucket, packed
-    sums, and for kind 0 the range's training tokens and distinct training tokens. No table of n-grams meets in one place.
+    A tree: while there are more senders than a node takes, nodes of some senders merge a range's rows, cut the range
+    again and send as one; the sums come back by the same way. A node holds about as many keys as one block, and
+    the number of rows is that of senders times ranges at every level, so both follow the input.
     """
+    import pyarrow as pa
+
+    fan = 1 << fan_bits
+    if senders <= fan or shift <= 0:
+
+        def total(table):
+            distinct, which, sums, sizes = _merged(table)
+            known = 0, 0
+            if table.column("kind")[0].as_py() == 1:
+                own = sums[distinct != hashed([])[START]]
+                known = int(own.sum()), int((own > 0).sum())
+            return _replies(table, which, sums, sizes, known)
+
+        return sent.groupBy("kind", "bucket").applyInArrow(total, _BACK)
 
-    def send(table):
+    nodes = -(-senders // (fan // 2 or 1))
+    lower = max(0, shift - bits)
+    dealt = staged(sent.withColumn("node", F.pmod(F.xxhash64("sender"), F.lit(nodes)).cast("bigint")), "sent")
+
+    def merge(table):
+        distinct, _, sums, _ = _merged(table)
+        rows = list(_ranges(distinct, sums.astype(SUMS), lower))
+        n, kind = len(rows), table.column("kind")[0].as_py()
+        return pa.Table.from_arrays(
+            [pa.array([table.column("node")[0].as_py()] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([r[0] - (1 << 64) * (r[0] >> 63) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+            ["sender", "kind", "bucket", "keys", "counts"],
+        )
+
+    further = exchanged(dealt.groupBy("kind", "bucket", "node").applyInArrow(merge, _SENT), nodes, bits, lower, fan_bits)
+    unsigned = F.col("bucket") if lower + bits > shift else F.shiftrightunsigned("bucket", shift - lower)
+    further = further.withColumns({"of": F.col("bucket"), "bucket": unsigned, "node": F.col("sender")}).drop("sender")
+
+    def back(table, found):
+        import numpy as np
+
+        _, which, _, sizes = _merged(table)
+        order = np.argsort(found.column("of").to_numpy().view(np.uint64), kind="stable")
+        parts = found.column("sums").to_pylist()
+        sums = np.concatenate([unpack(parts[i], SUMS) for i in order.tolist()]).astype(np.int64)
+        return _replies(table, which, sums, sizes, (sum(found.column("tokens").to_pylist()), sum(found.column("distinct_tokens").to_pylist())))
+
+    return dealt.groupBy("kind", "bucket", "node").cogroup(further.groupBy("kind", "bucket", "node")).applyInArrow(back, _BACK)
+
+
+def blocked(docs: DataFrame, train: Column, id_column: str, text_column: str) -> DataFrame:
+    """Documents in blocks of about BLOCK_BYTES of text, as they lie: block, data (id, train and text, compressed). Written, so that blocks stay as they are."""
+
+    def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        from tallyloom.llm.common import slices
+
+        def close():
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for x in held:
+                    stream.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in x.columns], schema=x.schema))
+            return pa.RecordBatch.from_arrays([pa.array([task << 33 | nth], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
-        block, words, pairs = _block(table)
-        at = table.column("block")[0].as_py()
-        rows = [(b, k, at, keys, counts) for k, (h, n) in enumerate(((block.words, words), (block.pairs, pairs))) for b, keys, counts in _chunks(h, n, buckets)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "block", "keys", "counts"])
+        task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for piece in slices(batches, 2):
+            held.append(piece)
+            size += piece.column(2).nbytes
+            if size >= BLOCK_BYTES:
+                yield close()
+                nth, held, size = nth + 1, [], 0
+        if held:
+            yield close()
 
-    sent = blocks.select("block", "train", "text").groupBy("block").applyInArrow(send, "bucket int, kind int, block int, keys binary, counts binary")
-    return sent.groupBy("bucket", "kind").applyInArrow(_add, "block int, kind int, bucket int, sums binary, tokens bigint, distinct_tokens bigint")
+    chosen = docs.select(F.col(id_column).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), text_of(text_column).alias("text"))
+    return staged(chosen.mapInArrow(run, "block bigint, data binary"), "blocks")
 
 
-def blocks_for(docs: DataFrame, text_column: str = "text") -> int:
-    """Enough blocks for BLOCK_BYTES of text each, by the size of all texts."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text_column))), F.lit(0))).first()[0]
-    return max(partitions_for(docs.sparkSession), -(-int(size) // BLOCK_BYTES))
+def _opened(data: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(data).read_all()
 
 
-def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", added: float = ADDED, trust: float = TRUST) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER, added: float = ADDED, trust: float = TRUST, least_context: int = LEAST_CONTEXT, fan_bits: int = FAN_BITS) -> DataFrame:
     """log10 probabilities of every text under a model learned from the rows where train is true (null: false).
 
     Returns id_column, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row. Tokens are
     the words (runs of other than ASCII white space, A-Z lower-cased) and an end; a null or empty text has the end
-    alone. base_score: single tokens with added counts. score: pairs, smoothed by the single tokens as a Dirichlet
-    prior of weight trust, which is a backoff automaton: a pair seen in training is an arc, any other takes the failure
-    arc. Documents are dealt by a hash of id and text to blocks of about BLOCK_BYTES of text at most, and to no fewer blocks
-    than spark.sql.shuffle.partitions says; a block is what a task holds, whatever that setting is. N-grams are told apart by 64-bit hashes.
-    Repeated rows are scored alike and each counts; without training rows every count is 0.
+    alone. base_score: single tokens with added counts. score: n-grams up to order, each order a Dirichlet prior of weight
+    trust for the next; contexts seen less than least_context times have no followers of their own. As an automaton: an
+    n-gram seen in training is an arc of its context, any other symbol takes failure arcs from context to shorter context
+    until one has it. N-grams are told apart by 64-bit hashes. Ids of any type and null ids pass through, other columns
+    are ignored; repeated rows are scored alike and each counts; without training rows every count is 0; an empty
+    table gives no rows. Very long texts are read whole (a block then has more than BLOCK_BYTES).
+
+    Documents stay in blocks as they lie. Each block sends the sorted hashes of its distinct n-grams with its own counts,
+    cut into ranges; ranges are summed over blocks in a tree, and every block gets its own n-grams' sums back and builds
+    from them the part of the automaton that its texts reach. No table of all n-grams meets in one place.
     """
-    n = blocks_for(docs, text_column)
-    keys = row_key(id_column, text_column)
-    blocks = docs.select(F.col(id_column), F.coalesce(train, F.lit(False)).alias("train"), text_of(text_column).alias("text"), F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int").alias("block"))
-    sums = staged(count(blocks, n), "ngrams")
+    blocks = blocked(docs, train, id_column, text_column)
+    n = max(1, blocks.count())
+    bits = min(fan_bits, max(4, (n - 1).bit_length()))
+    columns = ["sender", "kind", "bucket", "keys", "counts"]
+
+    def send(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                table = _opened(batch.column(1)[i].as_py())
+                block = Block(table.column("text").to_pylist(), order)
+                counts = block.counts(np.array(table.column("train").to_pylist(), bool))
+                for kind, (g, c) in enumerate(zip(block.grams, counts, strict=True), 1):
+                    by_hash = np.argsort(g.hashes, kind="stable")
+                    rows = [(batch.column(0)[i].as_py(), kind, *r) for r in _ranges(g.hashes[by_hash], c[by_hash].astype(SUMS), 64 - bits)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], columns)
+
+    sums = staged(exchanged(blocks.mapInArrow(send, _SENT), n, bits, 64 - bits, fan_bits), "ngrams")
     totals = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_tokens"), F.lit(0))).first()
     tokens, distinct = int(totals[0]), int(totals[1])
     id_type = docs.schema[id_column].dataType.simpleString()
@@ -209,32 +388,28 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
         import numpy as np
         import pyarrow as pa
 
-        block = Block(table.column("text").to_pylist())
+        table = _opened(table.column("data")[0].as_py())
+        block = Block(table.column("text").to_pylist(), order)
         kinds, buckets, data = (found.column(c).to_pylist() for c in ("kind", "bucket", "sums"))
         got = []
-        for kind, keys in ((0, block.words), (1, block.pairs)):
+        for kind, g in enumerate(block.grams, 1):
             parts = [unpack(d, SUMS) for _, d in sorted((b, d) for k, b, d in zip(kinds, buckets, data, strict=True) if k == kind)]
-            counts = np.empty(len(keys), np.int64)
-            counts[np.argsort(keys, kind="stable")] = np.concatenate(parts)
+            counts = np.empty(len(g.hashes), np.int64)
+            counts[np.argsort(g.hashes, kind="stable")] = np.concatenate([*parts, np.empty(0, SUMS)])
             got.append(counts)
-        words, pairs = got
-        contexts = words.copy()
-        words[START] = 0
-        floor = tokens + added * (distinct + 1)
-        probability = (words + added) / floor
-        root = np.log10(probability)
-        seen = np.flatnonzero(pairs > 0)
-        a, b = block.codes[seen] // len(words), block.codes[seen] % len(words)
-        automaton = BackoffAutomaton(root, np.log10(trust / (contexts + trust)), block.codes[seen], np.log10((pairs[seen] + trust * probability[b]) / (contexts[a] + trust)))
-        each = automaton.walk(block.symbols, block.starts)
+        automaton, single = block.automaton(got, tokens, distinct, added, trust, least_context)
+        known, base = (single > 0).astype(np.int64)[block.symbols], automaton.root[block.symbols]
+        base[block.starts] = 0
+        each = automaton.walk(block.symbols, block.starts, order)
         total = lambda x: np.add.reduceat(x, block.starts)
         return pa.Table.from_arrays(
-            [table.column(id_column).combine_chunks(), pa.array([not x for x in table.column("train").to_pylist()]), pa.array(block.lengths), pa.array(total((words > 0).astype(np.int64)[block.symbols])), pa.array(np.full(len(block.lengths), tokens)), pa.array(total(root[block.symbols])), pa.array(total(each))],
-            [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [table.column("id").combine_chunks(), pa.array([not x for x in table.column("train").to_pylist()]), pa.array(block.lengths), pa.array(total(known)), pa.array(np.full(len(block.lengths), tokens)), pa.array(total(base)), pa.array(total(each))],
+            ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    schema = f"{id_column} {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.groupBy("block").cogroup(sums.select("block", "kind", "bucket", "sums").groupBy("block")).applyInArrow(finish, schema)
+    schema = f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    own = sums.select(F.col("sender").alias("block"), "kind", "bucket", "sums")
+    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(finish, schema).withColumnRenamed("id", id_column)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -225,22 +225,35 @@ def test_quality(docs, none):
     assert quality.cascade(none).count() == 0 and [r["rule"] for r in quality.plan(none)] == list(quality.RULES)
 
 
-def test_lm(docs, none):
+@pytest.mark.parametrize(("order", "fan_bits", "lane"), [(3, 8, 256), (2, 8, 5), (4, 1, 7), (1, 8, 256)])
+def test_lm(docs, none, monkeypatch, order, fan_bits, lane):
     from tallyloom.llm import lm
 
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm.BackoffAutomaton.walk, "__defaults__", (lane,))
     train = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
     learned = [r["text"] or "" for r in docs.where(train).collect()]
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    one = Counter(x for t in learned for x in tokens(t))
-    two = Counter(p for t in learned for p in zip([0, *tokens(t)], tokens(t), strict=False))
-    contexts = one | Counter({0: len(learned)})
+    grams = Counter()
+    for t in learned:
+        x = ["start", *tokens(t)]
+        grams.update(tuple(x[i : i + n]) for n in range(1, order + 1) for i in range(len(x) - n + 1))
+    one = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != "start"}
     n, v = sum(one.values()), len(one)
-    p = lambda x: (one[x] + 0.1) / (n + 0.1 * (v + 1))
-    got = rows_of(lm.score(docs, train))
+    p = lambda x: (one.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))
+
+    def probability(context, x):
+        if not context:
+            return p(x)
+        lower, seen = probability(context[1:], x), grams[context]
+        return lower if seen < 2 else (grams[*context, x] + 4 * lower) / (seen + 4)
+
+    got = rows_of(lm.score(docs.withColumn("block", F.lit("clash")), train, order=order, fan_bits=fan_bits))
     want = {}
     for r in docs.collect():
-        x = tokens(r["text"])
-        want[r["doc_id"]] = (len(x), sum(one[t] > 0 for t in x), sum(math.log10(p(t)) for t in x), sum(math.log10((two[a, b] + 4 * p(b)) / (contexts[a] + 4)) for a, b in zip([0, *x], x, strict=False)))
+        x = ["start", *tokens(r["text"])]
+        full = sum(math.log10(probability(tuple(x[max(0, i - order + 1) : i]), x[i])) for i in range(1, len(x)))
+        want[r["doc_id"]] = (len(x) - 1, sum(one.get(t, 0) > 0 for t in x[1:]), sum(math.log10(p(t)) for t in x[1:]), full)
     assert len(got) == len(TEXTS) + 1
     for r in got:
         w = want[r["doc_id"]]
@@ -249,6 +262,29 @@ def test_lm(docs, none):
     assert lm.score(none, train).count() == 0
 
 
+def test_automaton_follows_failure_arcs_over_several_levels():
+    import numpy as np
+
+    from tallyloom.llm import lm
+
+    block = lm.Block(["a b c d", "a b c d", "x b c e", "y c f"], 3)
+    counts = block.counts(np.ones(4, bool))
+    automaton, single = block.automaton(counts, 17, 9, 0.1, 4.0, 2)
+    names = {w: i + 2 for i, w in enumerate(["a", "b", "c", "d", "x", "e", "y", "f"])}
+    state, chain = automaton.start, []
+    for w in "abc":
+        _, after = automaton.step(np.array([state]), np.array([names[w]]))
+        state = int(after[0])
+    while state:
+        chain.append(state)
+        state = int(automaton.back[state])
+    assert len(chain) == 2  # "b c", then "c", then the empty context
+    p, _ = automaton.step(np.array([chain[0]]), np.array([names["f"]]))
+    seen = {"b c": 3, "c": 4}
+    lower = (1 + 4 * (1 + 0.1) / (17 + 0.1 * 10)) / (seen["c"] + 4)
+    assert p[0] == pytest.approx(math.log10(4 / (seen["b c"] + 4) * lower))
+
+
 def test_top_k(spark):
     from tallyloom.llm import vectors
 

@@ -32,20 +32,24 @@ def test_long_disguises_are_decoded(spark, insults):
     assert {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model, ["doc_id"]).collect()} == {0: 1, 1: 1, 2: 1, 9: 0}
 
 
-def test_sums_beyond_32_bits():
+@pytest.mark.parametrize("fan_bits", [8, 1])
+def test_sums_beyond_32_bits(spark, fan_bits):
     import numpy as np
-    import pyarrow as pa
 
     from tallyloom.llm import lm
 
-    keys, blocks = np.array([5, 9, 2**63], np.uint64), 3
-    packed = [lm.pack(np.diff(keys, prepend=np.uint64(0)).astype("<u8")), lm.pack(np.array([2**31, 2**32 - 1, 1], "<u4"))]
-    for kind in (0, 1):
-        table = pa.table({"bucket": pa.array([0] * blocks, pa.int32()), "kind": pa.array([kind] * blocks, pa.int32()), "block": pa.array(range(blocks), pa.int32()), "keys": [packed[0]] * blocks, "counts": [packed[1]] * blocks})
-        got = lm._add(table).to_pylist()
-        want = [blocks * 2**31, blocks * (2**32 - 1), blocks]
-        assert [lm.unpack(r["sums"], lm.SUMS).tolist() for r in got] == [want] * blocks
-        assert sum(r["tokens"] for r in got) == (sum(want) if kind == 0 else 0)
+    keys, blocks, bits = np.array([5, 9, 2**63, 2**64 - 3], np.uint64), 9, 1
+    counts = np.array([2**31, 2**32 - 1, 1, 2**40], "<u8")
+    rows = [(b, kind, bucket, bytearray(k), bytearray(c)) for b in range(blocks) for kind in (1, 2) for bucket, k, c in lm._ranges(keys, counts, 64 - bits)]
+    sent = spark.createDataFrame(rows, lm._SENT)
+    got = lm.exchanged(sent, blocks, bits, 64 - bits, fan_bits).collect()
+    want = (counts.astype(object) * blocks).tolist()
+    assert len(got) == len(rows)
+    for b in range(blocks):
+        for kind in (1, 2):
+            own = sorted((r["bucket"], r["sums"]) for r in got if (r["sender"], r["kind"]) == (b, kind))
+            assert np.concatenate([lm.unpack(bytes(x), lm.SUMS) for _, x in own]).tolist() == want
+    assert sum(r["tokens"] for r in got) == sum(want) and sum(r["distinct_tokens"] for r in got) == 4
 
 
 def test_every_spelling_of_name_is_a_candidate(spark):

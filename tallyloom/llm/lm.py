@@ -17,7 +17,7 @@ TRUST = 4.0
 LEAST_CONTEXT = 2
 END, START = 0, 1  # symbols that no word has
 #: Bytes of text from which a block is closed: what a task holds at once (a longer text cannot be cut).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Sums over all documents; a block's own counts fit 32 bits, as Arrow holds less than 2 ** 31 bytes of a text.
 SUMS = "<u8"
 #: Senders that meet in one node of the tree of sums, and the ranges of hashes into which a sender cuts its n-grams.
@@ -107,11 +107,11 @@ def pair_hash(a, b):
 
 
 class Grams:
-    """The distinct n-grams of one length in a block: ids (of the n-gram that ends at each position, or -1), the position of
-    an occurrence of each, their hashes, the n-grams without the last and without the first symbol, the last symbols."""
+    """The distinct n-grams of one length in a block: ids (of the n-gram that ends at each position, or -1), and of each
+    n-gram its hash, the n-grams without the last and without the first symbol, the last symbol."""
 
-    def __init__(self, ids, at, hashes, context=None, suffix=None, last=None):
-        self.ids, self.at, self.hashes, self.context, self.suffix, self.last = ids, at, hashes, context, suffix, last
+    def __init__(self, ids, hashes, context=None, suffix=None, last=None):
+        self.ids, self.hashes, self.context, self.suffix, self.last = ids, hashes, context, suffix, last
 
 
 class Block:
@@ -146,7 +146,7 @@ class Block:
         self.symbols, self.lengths = np.concatenate(parts), np.array(lengths, np.int64)
         self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
         words = hashed(list(numbers))
-        self.grams = [Grams(self.symbols, None, words)]
+        self.grams = [Grams(self.symbols, words)]
         for n in range(2, order + 1):
             lower = self.grams[-1]
             ends = np.ones(len(self.symbols), bool)
@@ -155,12 +155,16 @@ class Block:
                 ends[1:] &= lower.ids[:-1] >= 0
             ends = np.flatnonzero(ends)
             codes = lower.ids[ends - 1].astype(np.int64) * len(words) + self.symbols[ends]
-            codes, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+            order_of = np.argsort(codes).astype(np.int32)
+            codes = codes[order_of]
+            new = np.ones(len(codes), bool)
+            new[1:] = codes[1:] != codes[:-1]
             ids = np.full(len(self.symbols), -1, np.int32)
-            ids[ends] = inverse
-            at = ends[first]
-            context, last = codes // len(words), codes % len(words)
-            self.grams.append(Grams(ids, at, pair_hash(lower.hashes[context], words[last]), context, lower.ids[at] if n > 2 else last, last))
+            ids[ends[order_of]] = np.cumsum(new, dtype=np.int32) - 1
+            at, codes = ends[order_of[new]].astype(np.int32), codes[new]
+            context, last = (codes // len(words)).astype(np.int32), (codes % len(words)).astype(np.int32)
+            del codes, order_of, new, ends
+            self.grams.append(Grams(ids, pair_hash(lower.hashes[context], words[last]), context, lower.ids[at] if n > 2 else last, last))
 
     def counts(self, train) -> list:
         """Of each length, how often every n-gram occurs in the texts where train is true."""
@@ -173,7 +177,7 @@ class Block:
         """The part of the automaton that the block's texts can reach, from the sums over all documents, and those of single tokens."""
         import numpy as np
 
-        size, order = len(self.grams[0].hashes), len(self.grams)
+        size, order = len(sums[0]), len(self.grams)
         single = sums[0].copy()
         single[START] = 0  # how often the starting context occurs; not a token
         probability = [(single + added) / (tokens + added * (distinct + 1))]
@@ -193,7 +197,7 @@ class Block:
                 contexts = sums[n - 1][g.context]
                 probability.append((sums[n] + trust * probability[n - 1][g.suffix]) / (contexts + trust))
                 arc = np.flatnonzero((sums[n] > 0) & is_state[n - 1][g.context])
-                keys.append((first[n - 1] + g.context[arc]) * size + g.last[arc])
+                keys.append((first[n - 1] + g.context[arc].astype(np.int64)) * size + g.last[arc])
                 weights.append(np.log10(probability[n][arc]))
                 after.append(reached[n][arc])
             if n < order - 1:
@@ -201,7 +205,7 @@ class Block:
                 back.append(reached[n - 1][g.suffix] if n else np.zeros(size, np.int64))
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         keys, weights, after = join(keys, np.int64), join(weights, float), join(after, np.int64)
-        by_key = np.argsort(keys, kind="stable")
+        by_key = np.argsort(keys)
         return BackoffAutomaton(np.log10(probability[0]), reached[0], np.concatenate(fail), np.concatenate(back), keys[by_key], weights[by_key], after[by_key], int(reached[0][START])), single
 
 
@@ -278,7 +282,7 @@ def exchanged(sent: DataFrame, senders: int, bits: int, shift: int, fan_bits: in
 
         return sent.groupBy("kind", "bucket").applyInArrow(total, _BACK)
 
-    nodes = -(-senders // (fan // 2 or 1))
+    nodes = -(-senders // max(2, fan // 2))
     lower = max(0, shift - bits)
     dealt = staged(sent.withColumn("node", F.pmod(F.xxhash64("sender"), F.lit(nodes)).cast("bigint")), "sent")
 
@@ -395,8 +399,9 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
         for kind, g in enumerate(block.grams, 1):
             parts = [unpack(d, SUMS) for _, d in sorted((b, d) for k, b, d in zip(kinds, buckets, data, strict=True) if k == kind)]
             counts = np.empty(len(g.hashes), np.int64)
-            counts[np.argsort(g.hashes, kind="stable")] = np.concatenate([*parts, np.empty(0, SUMS)])
+            counts[np.argsort(g.hashes)] = np.concatenate([*parts, np.empty(0, SUMS)])
             got.append(counts)
+            g.ids = g.hashes = None
         automaton, single = block.automaton(got, tokens, distinct, added, trust, least_context)
         known, base = (single > 0).astype(np.int64)[block.symbols], automaton.root[block.symbols]
         base[block.starts] = 0

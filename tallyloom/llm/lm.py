@@ -17,7 +17,7 @@ TRUST = 4.0
 LEAST_CONTEXT = 2
 END, START = 0, 1  # symbols that no word has
 #: Bytes of text from which a block is closed: what a task holds at once (a longer text cannot be cut).
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
 #: Sums over all documents; a block's own counts fit 32 bits, as Arrow holds less than 2 ** 31 bytes of a text.
 SUMS = "<u8"
 #: Senders that meet in one node of the tree of sums, and the ranges of hashes into which a sender cuts its n-grams.
@@ -368,20 +368,26 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     bits = min(fan_bits, max(4, (n - 1).bit_length()))
     columns = ["sender", "kind", "bucket", "keys", "counts"]
 
-    def send(batches):
+    def one(name, data):
         import numpy as np
         import pyarrow as pa
 
+        table = _opened(data)
+        block = Block(table.column("text").to_pylist(), order)
+        train = np.array(table.column("train").to_pylist(), bool)
+        del table
+        counts = block.counts(train)
+        for kind, g in enumerate(block.grams, 1):
+            g.ids = g.context = g.suffix = g.last = None
+            by_hash = np.argsort(g.hashes)
+            rows = [(name, kind, *r) for r in _ranges(g.hashes[by_hash], counts[kind - 1][by_hash].astype(SUMS), 64 - bits)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], columns)
+
+    def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                table = _opened(batch.column(1)[i].as_py())
-                block = Block(table.column("text").to_pylist(), order)
-                counts = block.counts(np.array(table.column("train").to_pylist(), bool))
-                for kind, (g, c) in enumerate(zip(block.grams, counts, strict=True), 1):
-                    by_hash = np.argsort(g.hashes, kind="stable")
-                    rows = [(batch.column(0)[i].as_py(), kind, *r) for r in _ranges(g.hashes[by_hash], c[by_hash].astype(SUMS), 64 - bits)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], columns)
+                yield from one(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
 
     sums = staged(exchanged(blocks.mapInArrow(send, _SENT), n, bits, 64 - bits, fan_bits), "ngrams")
     totals = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_tokens"), F.lit(0))).first()
@@ -393,7 +399,9 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
         import pyarrow as pa
 
         table = _opened(table.column("data")[0].as_py())
+        ids, train = table.column("id").combine_chunks(), table.column("train").to_pylist()
         block = Block(table.column("text").to_pylist(), order)
+        del table
         kinds, buckets, data = (found.column(c).to_pylist() for c in ("kind", "bucket", "sums"))
         got = []
         for kind, g in enumerate(block.grams, 1):
@@ -408,7 +416,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
         each = automaton.walk(block.symbols, block.starts, order)
         total = lambda x: np.add.reduceat(x, block.starts)
         return pa.Table.from_arrays(
-            [table.column("id").combine_chunks(), pa.array([not x for x in table.column("train").to_pylist()]), pa.array(block.lengths), pa.array(total(known)), pa.array(np.full(len(block.lengths), tokens)), pa.array(total(base)), pa.array(total(each))],
+            [ids, pa.array([not x for x in train]), pa.array(block.lengths), pa.array(total(known)), pa.array(np.full(len(block.lengths), tokens)), pa.array(total(base)), pa.array(total(each))],
             ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,6 +36,12 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files that no frame refers to any more, now rather than when the driver's memory is short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(memory: dict, most: int) -> None:
     """Empty a worker's memory of words when it is full, but for short words: these are the frequent ones of any language."""
     if len(memory) > most:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SLICE_BYTES, staged, text_of
+from tallyloom.llm.common import SLICE_BYTES, release, staged, text_of
 
 #: Longest n-gram.
 ORDER = 3
@@ -17,7 +17,9 @@ TRUST = 4.0
 LEAST_CONTEXT = 2
 END, START = 0, 1  # symbols that no word has
 #: Bytes of text from which a block is closed: what a task holds at once (a longer text cannot be cut).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
+#: Bits of a hash that are sent of n-grams of two words and more (single words: all 64). Their sorted differences are what the shuffle carries.
+SENT_BITS = 56
 #: Sums over all documents; a block's own counts fit 32 bits, as Arrow holds less than 2 ** 31 bytes of a text.
 SUMS = "<u8"
 #: Senders that meet in one node of the tree of sums, and the ranges of hashes into which a sender cuts its n-grams.
@@ -103,7 +105,8 @@ def pair_hash(a, b):
     import numpy as np
 
     x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (b ^ (b >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))) & np.uint64((1 << 64) - (1 << (64 - SENT_BITS)))
 
 
 class Grams:
@@ -315,7 +318,9 @@ def blocked(docs: DataFrame, train: Column, id_column: str, text_column: str) ->
     """Documents in blocks of about BLOCK_BYTES of text, as they lie: block, data (id, train and text, compressed). Written, so that blocks stay as they are."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         from tallyloom.llm.common import slices
@@ -329,11 +334,15 @@ def blocked(docs: DataFrame, train: Column, id_column: str, text_column: str) ->
 
         task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
         for piece in slices(batches, 2):
-            held.append(piece)
-            size += piece.column(2).nbytes
-            if size >= BLOCK_BYTES:
-                yield close()
-                nth, held, size = nth + 1, [], 0
+            ends, start = np.cumsum(pc.binary_length(piece.column(2)).to_numpy()), 0
+            while start < piece.num_rows:  # up to and with the text that fills the block
+                filled = ends[start - 1] if start else 0
+                stop = min(piece.num_rows, int(np.searchsorted(ends, filled + BLOCK_BYTES - size)) + 1)
+                held.append(piece.slice(start, stop - start))
+                size, start = size + int(ends[stop - 1] - filled), stop
+                if size >= BLOCK_BYTES:
+                    yield close()
+                    nth, held, size = nth + 1, [], 0
         if held:
             yield close()
 
@@ -355,7 +364,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     alone. base_score: single tokens with added counts. score: n-grams up to order, each order a Dirichlet prior of weight
     trust for the next; contexts seen less than least_context times have no followers of their own. As an automaton: an
     n-gram seen in training is an arc of its context, any other symbol takes failure arcs from context to shorter context
-    until one has it. N-grams are told apart by 64-bit hashes. Ids of any type and null ids pass through, other columns
+    until one has it. Words are told apart by 64-bit hashes, longer n-grams by SENT_BITS of theirs. Ids of any type and null ids pass through, other columns
     are ignored; repeated rows are scored alike and each counts; without training rows every count is 0; an empty
     table gives no rows. Very long texts are read whole (a block then has more than BLOCK_BYTES).
 
@@ -390,6 +399,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
                 yield from one(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
 
     sums = staged(exchanged(blocks.mapInArrow(send, _SENT), n, bits, 64 - bits, fan_bits), "ngrams")
+    release(docs.sparkSession)
     totals = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_tokens"), F.lit(0))).first()
     tokens, distinct = int(totals[0]), int(totals[1])
     id_type = docs.schema[id_column].dataType.simpleString()

@@ -176,6 +176,12 @@ class Block:
         learned = np.repeat(train, self.lengths + 1)
         return [np.bincount(g.ids[learned & (g.ids >= 0)], minlength=len(g.hashes)) for g in self.grams]
 
+    def arcs(self, length: int, shorter, least_context: int):
+        """The n-grams of a length whose context is a state by the sums of the shorter ones: no other can be an arc, or a state itself."""
+        import numpy as np
+
+        return np.flatnonzero(shorter[self.grams[length - 1].context] >= least_context)
+
     def automaton(self, sums: list, tokens: int, distinct: int, added: float, trust: float, least_context: int):
         """The part of the automaton that the block's texts can reach, from the sums over all documents, and those of single tokens."""
         import numpy as np
@@ -350,6 +356,25 @@ def blocked(docs: DataFrame, train: Column, id_column: str, text_column: str) ->
     return staged(chosen.mapInArrow(run, "block bigint, data binary"), "blocks")
 
 
+def _by_block(sums: DataFrame):
+    return sums.select(F.col("sender").alias("block"), "kind", "bucket", "sums").groupBy("block")
+
+
+def _received(block: Block, found, longest: int, least_context: int) -> list:
+    """The sums of a block's n-grams up to a length, from the rows that came back; those that were not sent have 0."""
+    import numpy as np
+
+    kinds, buckets, data = (found.column(c).to_pylist() for c in ("kind", "bucket", "sums"))
+    out = []
+    for kind, g in enumerate(block.grams[:longest], 1):
+        sent = np.arange(len(g.hashes)) if kind < 3 else block.arcs(kind, out[-1], least_context)
+        parts = [unpack(d, SUMS) for _, d in sorted((b, d) for k, b, d in zip(kinds, buckets, data, strict=True) if k == kind)]
+        counts = np.zeros(len(g.hashes), np.int64)
+        counts[sent[np.argsort(g.hashes[sent])]] = np.concatenate([*parts, np.empty(0, SUMS)])
+        out.append(counts)
+    return out
+
+
 def _opened(data: bytes):
     import pyarrow as pa
 
@@ -368,8 +393,8 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     are ignored; repeated rows are scored alike and each counts; without training rows every count is 0; an empty
     table gives no rows. Very long texts are read whole (a block then has more than BLOCK_BYTES).
 
-    Documents stay in blocks as they lie. Each block sends the sorted hashes of its distinct n-grams with its own counts,
-    cut into ranges; ranges are summed over blocks in a tree, and every block gets its own n-grams' sums back and builds
+    Documents stay in blocks as they lie. Each block sends the sorted hashes of its distinct words and pairs with its own
+    counts, then length by length those longer n-grams whose context has turned out to be a state, cut into ranges; ranges are summed over blocks in a tree, and every block gets its own n-grams' sums back and builds
     from them the part of the automaton that its texts reach. No table of all n-grams meets in one place.
     """
     blocks = blocked(docs, train, id_column, text_column)
@@ -377,29 +402,51 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     bits = min(fan_bits, max(4, (n - 1).bit_length()))
     columns = ["sender", "kind", "bucket", "keys", "counts"]
 
+    def rows_of(name, kind, hashes, counts):
+        import numpy as np
+        import pyarrow as pa
+
+        by_hash = np.argsort(hashes)
+        rows = [(name, kind, *r) for r in _ranges(hashes[by_hash], counts[by_hash].astype(SUMS), 64 - bits)]
+        return [pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+
     def one(name, data):
         import numpy as np
         import pyarrow as pa
 
         table = _opened(data)
-        block = Block(table.column("text").to_pylist(), order)
+        block = Block(table.column("text").to_pylist(), min(order, 2))
         train = np.array(table.column("train").to_pylist(), bool)
         del table
-        counts = block.counts(train)
-        for kind, g in enumerate(block.grams, 1):
-            g.ids = g.context = g.suffix = g.last = None
-            by_hash = np.argsort(g.hashes)
-            rows = [(name, kind, *r) for r in _ranges(g.hashes[by_hash], counts[kind - 1][by_hash].astype(SUMS), 64 - bits)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], columns)
+        for kind, (g, c) in enumerate(zip(block.grams, block.counts(train), strict=True), 1):
+            g.ids = None
+            yield pa.RecordBatch.from_arrays(rows_of(name, kind, g.hashes, c), columns)
 
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from one(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
 
+    def sender_of(length):
+        def further(table, found):
+            import numpy as np
+            import pyarrow as pa
+
+            name, table = table.column("block")[0].as_py(), _opened(table.column("data")[0].as_py())
+            block = Block(table.column("text").to_pylist(), length)
+            train = np.array(table.column("train").to_pylist(), bool)
+            del table
+            arcs = block.arcs(length, _received(block, found, length - 1, least_context)[-1], least_context)
+            return pa.Table.from_arrays(rows_of(name, length, block.grams[-1].hashes[arcs], block.counts(train)[-1][arcs]), columns)
+
+        return further
+
     sums = staged(exchanged(blocks.mapInArrow(send, _SENT), n, bits, 64 - bits, fan_bits), "ngrams")
     release(docs.sparkSession)
+    for length in range(3, order + 1):
+        sent = blocks.groupBy("block").cogroup(_by_block(sums)).applyInArrow(sender_of(length), _SENT)
+        sums = sums.unionByName(staged(exchanged(sent, n, bits, 64 - bits, fan_bits), "ngrams"))
+        release(docs.sparkSession)
     totals = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_tokens"), F.lit(0))).first()
     tokens, distinct = int(totals[0]), int(totals[1])
     id_type = docs.schema[id_column].dataType.simpleString()
@@ -412,13 +459,8 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
         ids, train = table.column("id").combine_chunks(), table.column("train").to_pylist()
         block = Block(table.column("text").to_pylist(), order)
         del table
-        kinds, buckets, data = (found.column(c).to_pylist() for c in ("kind", "bucket", "sums"))
-        got = []
-        for kind, g in enumerate(block.grams, 1):
-            parts = [unpack(d, SUMS) for _, d in sorted((b, d) for k, b, d in zip(kinds, buckets, data, strict=True) if k == kind)]
-            counts = np.empty(len(g.hashes), np.int64)
-            counts[np.argsort(g.hashes)] = np.concatenate([*parts, np.empty(0, SUMS)])
-            got.append(counts)
+        got = _received(block, found, order, least_context)
+        for g in block.grams:
             g.ids = g.hashes = None
         automaton, single = block.automaton(got, tokens, distinct, added, trust, least_context)
         known, base = (single > 0).astype(np.int64)[block.symbols], automaton.root[block.symbols]
@@ -431,8 +473,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
         )
 
     schema = f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    own = sums.select(F.col("sender").alias("block"), "kind", "bucket", "sums")
-    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(finish, schema).withColumnRenamed("id", id_column)
+    return blocks.groupBy("block").cogroup(_by_block(sums)).applyInArrow(finish, schema).withColumnRenamed("id", id_column)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

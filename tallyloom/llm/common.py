@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow slice that Python code handles at a time; bounds the memory of a worker.
 SLICE_BYTES = 6 << 20
 
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,19 +31,20 @@ def stage_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    The shuffle files behind the table are removed once it is written, as nothing reads them again.
+    """
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{stage_dir(spark)}/{what}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files that no frame refers to any more, now rather than when the driver's memory is short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def forget(memory: dict, most: int) -> None:
     """Empty a worker's memory of words when it is full, but for short words: these are the frequent ones of any language."""
     if len(memory) > most:

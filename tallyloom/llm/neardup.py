@@ -1,33 +1,41 @@
-"""N-gram Jaccard self-join by MinHash banding of fixed depth, every link verified exactly.
-
-A text's signature is cut into trees of a few labels each, and texts whose first labels agree in a tree share a node. How
-many labels is computed once from the parameters (the most that give the target recall at the threshold), not from the data. Nodes give edges between likely pairs only (their signatures agree enough), edges give candidate components,
-and within these every pair's shingle sets are intersected exactly.
+"""N-gram Jaccard self-join by a MinHash LSH forest, every link verified exactly.
+
+A text's signature is cut into trees of some labels each. A tree is a prefix trie of its label strings, kept sorted:
+texts that agree in their first labels stand side by side and share a node. The join starts at the deepest prefixes. From the pairs
+found there, each with its chance of being found at that depth, it estimates the share of links that the forest has
+shown so far, and shortens the prefixes label by label until the share reaches the target recall. Nodes give edges
+between likely pairs only (their signatures agree enough), edges give candidate components, and within these every
+pair's shingle sets are intersected exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import map_arrow, partitions_for, row_key, staged, text_of
 from tallyloom.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 20, 5, 0.9999
+TREES, DEPTH, RECALL = 20, 6, 0.9999
 #: Share of equal signature entries from which a pair is likely (4 to 5 deviations below what 0.8 gives).
 LIKELY = 0.6
 #: Texts that are compared with each other at once: signatures of a node, texts of a component. Larger ones are cut into
-#: chunks, and every pair of chunks is one task.
+#: chunks, and every pair of chunks is one group.
 NODE, GROUP = 4096, 512
 
 
-def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
-    """The longest prefix that finds a pair at the threshold with the target recall in at least one tree."""
-    for depth in range(deepest, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+def chance(similarity: Column, depth: int, trees: int) -> Column:
+    """How likely a pair of that similarity shares a prefix of that depth in at least one tree."""
+    return 1 - F.pow(1 - F.pow(similarity, F.lit(float(depth))), F.lit(float(trees)))
+
+
+def estimated_recall(edges: DataFrame, depth: int, trees: int, threshold: float) -> float:
+    """Share of links found at a depth: each edge found stands for 1 / chance edges like it; one at the threshold is always reckoned with."""
+    links = edges.where(F.col("s") >= threshold).select("u", "v", "s").distinct()
+    found, stands = links.agg(F.count("*"), F.coalesce(F.sum(1 / chance(F.col("s"), depth, trees)), F.lit(0.0))).first()
+    unseen = 1 / (1 - (1 - threshold**depth) ** trees) - 1
+    return found / (stands + unseen) if found else 1 - unseen
 
 
 def word_list(text: str) -> list[bytes]:
@@ -144,13 +152,49 @@ def _spanning(a, b, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _node_edges(sig, need: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows that agree in `need` labels or more.
+
+    First every row that no earlier one has taken takes those like it, which settles a group of copies in one comparison
+    a row. Then a row is compared with those of other trees of the forest, if there are any.
+    """
+    import numpy as np
+
+    n, out = len(sig), []
+    tree, taken = np.arange(n), np.zeros(n, bool)
+
+    def unite(x, hits):
+        for y in hits.tolist():
+            if tree[x] != tree[y]:
+                out.append((min(x, y), max(x, y)))
+                tree[tree == max(tree[x], tree[y])] = min(tree[x], tree[y])
+
+    for x in range(n - 1):
+        if not taken[x]:
+            rest = np.flatnonzero(~taken[x + 1 :]) + x + 1
+            hits = rest[(sig[rest] == sig[x]).sum(1) >= need]
+            if len(fresh := hits[tree[hits] == hits]) == len(hits):  # all still alone
+                out.extend((x, y) for y in fresh.tolist())
+                tree[fresh] = tree[x]
+            else:
+                unite(x, hits)
+            taken[hits] = True
+    for x in range(n):
+        others = np.flatnonzero(tree[x + 1 :] != tree[x]) + x + 1
+        if others.size:
+            unite(x, others[(sig[others] == sig[x]).sum(1) >= need])
+    return out
+
+
 def likely_edges(reps: DataFrame, depth: int, trees: int, deepest: int, likely: float) -> DataFrame:
-    """u, v: a spanning forest, node by node of the prefix tries, of the pairs whose signatures agree."""
+    """u, v, s: node by node of the tries at a depth, a spanning forest of the pairs whose signatures agree in a share s of at least `likely`."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * (4 * deepest) + 1, F.lit(4 * depth))))
-    prefixes = reps.select("node", F.explode(keys).alias("prefix"))
+    prefixes = reps.select("node", F.posexplode(keys).alias("tree", "prefix"))
     shared = prefixes.groupBy("prefix").agg(F.count("*").alias("n_key")).where("n_key > 1")
-    members = _chunked(prefixes.join(shared, "prefix"), "prefix", NODE).select("prefix", "i", "j", "node", "chunk")
-    rows = members.join(reps.select("node", "sig"), "node").select("prefix", "i", "j", "sig", "node._id", "node._th", "chunk")
+    members = _chunked(prefixes.join(shared, "prefix"), "prefix", NODE).select("prefix", "tree", "i", "j", "node", "chunk")
+    # the whole label string of the tree is the order within a node: the trie below it, side by side
+    labels = F.substring(F.col("sig"), F.col("tree") * (4 * deepest) + 1, F.lit(4 * deepest)).alias("labels")
+    rows = members.join(reps.select("node", "sig"), "node").select("prefix", "i", "j", labels, "sig", "node._id", "node._th")
 
     def run(batches):
         import numpy as np
@@ -158,32 +202,36 @@ def likely_edges(reps: DataFrame, depth: int, trees: int, deepest: int, likely:
 
         out: list[tuple] = []
         for group in _groups(batches, 3):
-            group.sort(key=lambda r: r[3])  # prefix order
-            sig = np.frombuffer(b"".join([r[3] for r in group]), np.uint32).reshape(len(group), -1)
-            chunk = np.array([r[6] for r in group])
-            across = group[0][1] != group[0][2]
-            need = int(np.ceil(likely * sig.shape[1]))
-            a, b = [], []
-            for x in range(len(group) - 1):
-                same = (sig[x + 1 :] == sig[x]).sum(1) >= need
-                if across:
-                    same &= chunk[x + 1 :] != chunk[x]
-                hits = np.flatnonzero(same) + x + 1
-                a += [x] * len(hits)
-                b += hits.tolist()
-                if len(a) > 1 << 20:
-                    forest = _spanning(a, b, len(group))
-                    a, b = [p for p, _ in forest], [q for _, q in forest]
-            out += [(*group[x][4:6], *group[y][4:6]) for x, y in _spanning(a, b, len(group))]
+            sig = np.frombuffer(b"".join([r[4] for r in group]), np.uint32).reshape(len(group), -1)
+            pairs = _node_edges(sig, int(np.ceil(likely * sig.shape[1])))
+            out += [(*group[x][5:7], *group[y][5:7], float((sig[x] == sig[y]).mean())) for x, y in pairs]
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "c", "d"])
+                yield batch_of(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "c", "d"])
+            yield batch_of(out)
+
+    def batch_of(out):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.float64()), strict=True)], ["a", "b", "c", "d", "s"])
 
-    dealt = rows.repartition(partitions_for(reps.sparkSession), "prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
-    found = dealt.mapInArrow(run, "a bigint, b bigint, c bigint, d bigint")
-    return found.select(F.struct(F.col("a").alias("_id"), F.col("b").alias("_th")).alias("u"), F.struct(F.col("c").alias("_id"), F.col("d").alias("_th")).alias("v"))
+    dealt = rows.repartition(partitions_for(reps.sparkSession), "prefix", "i", "j").sortWithinPartitions("prefix", "i", "j", "labels")
+    found = dealt.mapInArrow(run, "a bigint, b bigint, c bigint, d bigint, s double")
+    ends = F.struct(F.col("a").alias("_id"), F.col("b").alias("_th")), F.struct(F.col("c").alias("_id"), F.col("d").alias("_th"))
+    return found.select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v"), "s")
+
+
+def forest_edges(reps: DataFrame, trees: int, deepest: int, likely: float, threshold: float, recall: float) -> tuple[DataFrame, int, float]:
+    """Edges at the longest prefixes that reach the target recall, with their depth and the recall estimated there.
+
+    At one label it ends in any case. A depth's nodes hold all those of longer prefixes, so the last depth's edges are all.
+    """
+    for depth in range(deepest, 0, -1):
+        edges = staged(likely_edges(reps, depth, trees, deepest, likely), "near")
+        reached = estimated_recall(edges, depth, trees, threshold)
+        if reached >= recall or depth == 1:
+            return edges, depth, reached
 
 
 def _exact_sets(texts: list[str], words: int):
@@ -279,14 +327,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     expanded into pairs. n_links: other shingle sets with a Jaccard similarity of threshold or more, each counted once.
     class_id: the least id that copies and links lead to. Words are runs of other than ASCII white space, A-Z
     lower-cased; a text of fewer than `words` words is one shingle of them all. A null or empty text, or one of blanks,
-    has no shingles: it is alone, with no links. Repeated rows are one row here. Candidates have the given recall at the
-    threshold (more above it), links are exact. Large nodes and components are cut into pairs of chunks, so no task
+    has no shingles: it is alone, with no links. Repeated rows are one row here. Candidates have the given recall as the
+    forest estimates it on these rows (see estimated_recall), links are exact. Large nodes and components are cut into pairs of chunks, so no task
     gathers a whole group; what leaves a task grows with texts, not with pairs.
     """
-    depth = depth_for(threshold, trees, deepest, recall)
     signed = staged(signatures(docs, words, trees * deepest, id_column, text_column), "signatures")
     sets = staged(signed.where("n > 0").groupBy("set").agg(F.count("*").alias("n_copies"), F.min(F.struct("_id", "_th", "sig")).alias("r")).select("set", "n_copies", F.struct("r._id", "r._th").alias("node"), "r.sig"), "sets")
-    likely = components(likely_edges(sets.select("node", "sig"), depth, trees, deepest, LIKELY))
+    edges, _, _ = forest_edges(sets.select("node", "sig"), trees, deepest, LIKELY, threshold, recall)
+    likely = components(edges)
     members = signed.where("n > 0").select("_id", "_th", "set").distinct().join(sets.select("set", "n_copies", "node"), "set")
     if likely is None:
         linked = None

@@ -1,8 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Labelers (shape, gazetteer, context) vote on candidate spans; expectation-maximisation estimates how reliable each
-labeler is, and its posteriors train a logistic span classifier. Spans of the base patterns always stay; the classifier
-decides on the looser candidates.
+labeler is, and its posteriors train a logistic span classifier, which sees features of the span beside the votes. Spans
+of the base patterns always stay; the classifier decides on the looser candidates.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import text_of
+from tallyloom.llm.common import staged, text_of
 
 #: Kinds in the order of a tie.
-KINDS = ("email", "ip", "card", "phone", "ssn", "name")
+KINDS = ("email", "ip", "card", "phone", "ssn", "name", "secret")
 BASE_KINDS = KINDS[:4]
 
 # Base patterns. Possessive quantifiers and the lookbehinds (or \G, the end of the match before) change no match; they keep
@@ -42,23 +42,45 @@ LOOSE = {
         ("Mr. ", "Mr ", "Mrs. ", "Mrs ", "Ms. ", "Ms ", "Dr. ", "Dr ", "Prof. ", "Prof "),
         ("name is", "nameis", "name :", "name:"),
     ),
+    "secret": (
+        r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_-]{20,}+|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----|(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\x20?[:=]\x20?[\"']?)[A-Za-z0-9+/_-]{16,}+",
+        ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "PRIVATE KEY"),
+        ("token", "secret", "passw", "key"),
+    ),
 }
 #: Words just before a span that speak for its kind, and words that speak for something else.
 CONTEXT = {
     "email": "mail|contact|write|address", "ip": r"\bip\b|host|server|address|login", "card": "card|visa|credit|payment|account",
     "phone": "phone|tel|call|mobile|fax|contact", "ssn": "ssn|social|security|tax", "name": "name|patient|contact|signed|dear",
+    "secret": "token|secret|key|password|auth|bearer|credential|export",
 }
 AGAINST = r"isbn|issn|version|\bv\.?$|order|invoice|serial|part|doi|build|#\s*$|\$\s*$"
-#: Gazetteers: domain endings of addresses, first octets of private networks, issuer digits, first names.
-ENDINGS = r"(?i)(?:\.|dot[)\]]?\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at)$"
-FIRST_NAMES = (
-    "Alice|Anna|Anne|Carlos|Carmen|Charles|Claire|Daniel|David|Elena|Emma|Eva|Hans|James|Jean|John|Jose|Juan|Julia|Karl|Laura|Louis|Lucas|Maria|Marie|Mark|Martin|"
-    "Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Sophie|Thomas|William"
+# Gazetteers. Endings of addresses, networks that are never public, issuer prefixes of payment cards, country
+# codes of telephone numbers, areas that were never issued, common given names, prefixes of access keys.
+ENDINGS = (
+    "com org net edu gov mil int info biz name io dev app ai co me tv cc xyz online site shop cloud tech de fr es uk eu it nl ch at be se no dk fi ie pt pl cz sk hu ro bg gr hr si lt lv ee ru ua by tr il ae sa "
+    "in pk bd lk cn hk tw jp kr sg my th vn id ph au nz ca us mx br ar cl pe ve za ng ke eg ma"
+)
+GIVEN_NAMES = (
+    "Aaron Adam Ahmed Alan Albert Alejandro Alex Alexander Alice Amanda Amy Ana Andrea Andreas Andrew Angela Anita Ann Anna Anne Anthony Antoine Antonio Arthur Barbara Ben Benjamin Bernard Beth Brian Camille Carl "
+    "Carla Carlos Carmen Caroline Catherine Charles Charlotte Chris Christian Christine Christopher Claire Claudia Daniel David Deborah Dennis Diana Diego Dieter Donald Dorothy Edward Elena Elisabeth Elizabeth Emily "
+    "Emma Eric Erik Eva Fatima Fernando Francesca Francisco Frank Franz Fred Gabriel George Georg Gerhard Giovanni Giulia Grace Hannah Hans Heidi Helen Helga Henri Henry Hugo Ian Ingrid Isabel Ivan Jack Jacob Jacques "
+    "James Jan Jane Janet Jason Javier Jean Jeff Jennifer Jessica Jim Joan Joao Joe Johann John Jonathan Jorge Jose Joseph Juan Judith Julia Julie Karen Karl Kate Katherine Kevin Klaus Kurt Laura Lars Lea Leon Linda "
+    "Lisa Louis Louise Lucas Lucia Luigi Luis Lukas Manuel Marco Margaret Maria Marie Mario Mark Marta Martha Martin Mary Matthew Max Michael Michel Miguel Mohamed Monika Nancy Nathalie Nicholas Nicolas Nicole Nina "
+    "Olga Oliver Olivia Oscar Otto Pablo Pamela Patricia Patrick Paul Paula Pedro Peter Petra Philip Pierre Rachel Ralph Raul Rebecca Richard Robert Roberto Roger Rosa Ruth Samuel Sandra Sara Sarah Scott Sergio Simon "
+    "Sofia Sophie Stefan Stephen Steven Susan Sylvia Teresa Theresa Thomas Tim Timothy Tom Ursula Victor Victoria Vincent Walter Werner William Wolfgang Yasmin"
 )
-GAZETTEER = {"email": ENDINGS, "ip": r"^(?:10|127|172|192)\.", "card": "^[3-6]", "phone": r"^\+?\(?[0-9]{1,3}", "ssn": r"^(?!000|666|9)", "name": rf"\b(?:{FIRST_NAMES})\b"}
+CALLING_CODES = "1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 7 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 220 234 254 351 352 353 354 356 357 358 359 370 371 372 380 385 386 420 421 852 880 886 961 962 965 966 971 972 974"
+_any = lambda words: "|".join(words.split())
+GAZETTEER = {
+    "email": rf"(?i)(?:\.|dot[)\]]?\x20?)(?:{_any(ENDINGS)})$", "ip": r"^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\.", "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|35|3[068]|6011|65|62)",
+    "phone": rf"^(?:\+(?:{_any(CALLING_CODES)})(?![0-9])|\+1|\(?[2-9][0-9]{{2}})", "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", "name": rf"\b(?:{_any(GIVEN_NAMES)})\b", "secret": r"^(?:AKIA|ASIA|gh[pousr]_|sk-|-----BEGIN)",
+}
 
 LABELERS = ("strict shape", "gazetteer", "context for", "context against", "glued to a word", "one digit only")
-N = len(LABELERS)
+#: What the classifier sees of a span beside the votes: each is 0 or 1.
+FEATURES = ("ten signs or more", "twenty signs or more", "digits are half of it or more", "holds a separator", "holds a lower-case letter", "holds an upper-case letter", "ends a line or sentence", "three different digits at most")
+N, M = len(LABELERS), len(FEATURES)
 EM_STEPS, FIT_STEPS, RATE = 30, 300, 0.5
 
 
@@ -105,15 +127,26 @@ def _votes(text: Column, kind: str, x: Column, strict: bool) -> Column:
     )
 
 
+def _features(text: Column, x: Column) -> Column:
+    """0 or 1 of each feature."""
+    digits = F.regexp_replace(x["m"], "[^0-9]", "")
+    after = F.substring(text, x["e"] + 1, F.lit(2))
+    found = (
+        F.length(x["m"]) >= 10, F.length(x["m"]) >= 20, 2 * F.length(digits) >= F.length(x["m"]), x["m"].rlike(r"[\x20()./_-]"), x["m"].rlike(r"\p{Ll}"), x["m"].rlike(r"\p{Lu}"),
+        after.rlike(r"^(?:$|\n|[.,;!?](?:\s|$))"), (F.length(digits) > 0) & (F.size(F.array_distinct(F.split(digits, ""))) <= 3),
+    )
+    return F.array(*(F.when(f, F.lit(1.0)).otherwise(F.lit(0.0)) for f in found))
+
+
 def _candidates(text: Column) -> Column:
-    """All spans as (s, k, e, base, v)."""
-    shape = "struct<s:int,k:int,e:int,base:boolean,v:array<double>>"
+    """All spans as (s, k, e, base, v: votes, x: features)."""
+    shape = "struct<s:int,k:int,e:int,base:boolean,v:array<double>,x:array<double>>"
 
     def of(k: int, kind: str, strict: bool, pattern: str, must: tuple[str, ...], lower: tuple[str, ...] = ()) -> Column:
         spans = _found(text, pattern, must, lower)
         if strict:
             spans = F.filter(spans, lambda x: _valid(kind, x["m"]))
-        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.lit(strict).alias("base"), _votes(text, kind, x, strict).alias("v")).cast(shape))
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.lit(strict).alias("base"), _votes(text, kind, x, strict).alias("v"), _features(text, x).alias("x")).cast(shape))
 
     sources = [(k, kind, strict, *patterns[kind]) for k, kind in enumerate(KINDS) for patterns, strict in ((BASE, True), (LOOSE, False)) if kind in patterns]
     numeric = F.concat(*(of(*x) for x in sources if not x[4]))
@@ -121,31 +154,33 @@ def _candidates(text: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with _c: base spans, and looser candidates that touch no base span."""
-    raw = docs.withColumn("_c", _candidates(text_of(text_column)))
+    """_doc: the row of docs; _c: base spans, and looser candidates that touch no base span. Written once, for training and finding."""
+    text = text_of(text_column)
+    raw = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _candidates(text).alias("_c"))
     base = F.filter("_c", lambda x: x["base"])
     free = F.filter("_c", lambda x: ~x["base"] & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return raw.withColumn("_c", F.when(F.exists("_c", lambda x: ~x["base"]), F.concat(base, free)).otherwise(F.col("_c")))
+    return staged(raw.withColumn("_c", F.when(F.exists("_c", lambda x: ~x["base"]), F.concat(base, free)).otherwise(F.col("_c"))), "candidates")
 
 
-def train(docs: DataFrame, text_column: str = "text") -> dict[int, list[float]]:
-    """Weights of the span classifier, N + 1 (labelers, constant) for each kind that has candidates.
+def train(found: DataFrame) -> dict[int, list[float]]:
+    """Weights of the span classifier, N + M + 1 (votes, features, constant) for each kind that has candidates (_c of found).
 
-    Candidates are counted by kind and votes (at most 3 ** N combinations a kind); both fits run over these counts inside
-    one SQL expression, so their cost does not depend on the number of documents.
+    Candidates are counted by kind, votes and features, at most 3 ** N * 2 ** M combinations a kind, and far fewer in
+    any text; both fits run over these counts inside one SQL expression, so their cost does not depend on the number
+    of documents. Expectation-maximisation sees the votes alone; the classifier learns its posteriors from votes and features.
     """
-    patterns = with_candidates(docs, text_column).select(F.explode("_c").alias("c")).groupBy("c.k", "c.v").agg(F.count("*").cast("double").alias("n"))
-    kinds = patterns.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("items"))
+    patterns = found.select(F.explode("_c").alias("c")).groupBy("c.k", "c.v", "c.x").agg(F.count("*").cast("double").alias("n"))
+    kinds = patterns.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("v", "x", "n"))).alias("items"))
     logit = f"ln(s.pi / (1 - s.pi)) + aggregate(sequence(0, {N - 1}), 0D, (a, l) -> a + t.v[l] * ln(s.acc[l] / (1 - s.acc[l])))"
-    posts = f"transform(items, t -> named_struct('v', t.v, 'n', t.n, 'p', 1 / (1 + exp(-({logit})))))"
+    posts = f"transform(items, t -> named_struct('v', t.v, 'z', concat(t.v, t.x, array(1D)), 'n', t.n, 'p', 1 / (1 + exp(-({logit})))))"
     agree = "aggregate(ps, 1.6D, (a, t) -> a + t.n * CASE WHEN t.v[l] > 0 THEN t.p WHEN t.v[l] < 0 THEN 1 - t.p ELSE 0D END)"
     voted = "aggregate(ps, 2D, (a, t) -> a + CASE WHEN t.v[l] <> 0 THEN t.n ELSE 0D END)"
     share = "aggregate(ps, 1D, (a, t) -> a + t.n * t.p) / aggregate(ps, 2D, (a, t) -> a + t.n)"
     step = f"transform(array({posts}), ps -> named_struct('pi', {share}, 'acc', transform(sequence(0, {N - 1}), l -> greatest(0.5D, {agree} / {voted}))))[0]"
     em = f"aggregate(sequence(1, {EM_STEPS}), named_struct('pi', 0.5D, 'acc', array_repeat(0.8D, {N})), (s, i) -> {step})"
-    error = f"(t.p - 1 / (1 + exp(-(w[{N}] + aggregate(sequence(0, {N - 1}), 0D, (a, l) -> a + w[l] * t.v[l])))))"
-    slope = f"aggregate(ps, 0D, (a, t) -> a + t.n * t.e * CASE WHEN j < {N} THEN t.v[j] ELSE 1D END) / aggregate(ps, 0D, (a, t) -> a + t.n)"
-    fit = f"aggregate(sequence(1, {FIT_STEPS}), array_repeat(0D, {N + 1}), (w, i) -> transform(array(transform(ps, t -> named_struct('v', t.v, 'n', t.n, 'e', {error}))), ps -> transform(sequence(0, {N}), j -> w[j] + {RATE} * ({slope})))[0])"
+    error = f"(t.p - 1 / (1 + exp(-aggregate(sequence(0, {N + M}), 0D, (a, l) -> a + w[l] * t.z[l]))))"
+    slope = "aggregate(ps, 0D, (a, t) -> a + t.n * t.e * t.z[j]) / aggregate(ps, 0D, (a, t) -> a + t.n)"
+    fit = f"aggregate(sequence(1, {FIT_STEPS}), array_repeat(0D, {N + M + 1}), (w, i) -> transform(array(transform(ps, t -> named_struct('z', t.z, 'n', t.n, 'e', {error}))), ps -> transform(sequence(0, {N + M}), j -> w[j] + {RATE} * ({slope})))[0])"
     fitted = kinds.withColumn("s", F.expr(em)).withColumn("ps", F.expr(posts)).withColumn("w", F.expr(fit))
     return {r["k"]: list(r["w"]) for r in fitted.select("k", "w").collect()}
 
@@ -155,23 +190,27 @@ def find(docs: DataFrame, text_column: str = "text", model: dict[int, list[float
 
     A null or empty text has no spans. Kinds that overlap are both kept, as their patterns found them. Repeated rows,
     null ids and an empty table are no special cases (an empty table trains nothing, and then only base spans count);
-    a column named spans gives way. Whole texts are read, twice: to train and to find. Nothing is shuffled but counts.
+    a column named spans gives way, others may have any name. Whole texts are read once; candidates are written beside
+    them, and training reads those alone. Nothing is shuffled but counts.
     """
-    model = train(docs, text_column) if model is None else model
+    candidates = with_candidates(docs.drop("spans"), text_column)
+    model = train(candidates) if model is None else model
 
     def accepted(x):
         out = F.lit(False)
         for k, w in sorted(model.items()):
-            total = F.lit(w[N])
+            total = F.lit(w[N + M])
             for j in range(N):
                 total = total + F.lit(w[j]) * x["v"][j]
+            for j in range(M):
+                total = total + F.lit(w[N + j]) * x["x"][j]
             out = out | ((x["k"] == k) & (total >= 0))
         return x["base"] | out
 
     names = F.array(*map(F.lit, KINDS))
     kept = F.array_sort(F.transform(F.filter("_c", accepted), lambda x: F.struct(x["s"].alias("start"), x["k"].alias("k"), x["e"].alias("end"), x["base"].alias("base"))))
     spans = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), names[x["k"]].alias("kind"), x["end"].alias("end"), x["base"].alias("base")))
-    return with_candidates(docs, text_column).withColumn("spans", spans).drop("_c")
+    return candidates.select("_doc.*", spans.alias("spans"))
 
 
 def described(spans: Column) -> Column:

@@ -83,7 +83,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.memory: dict[str, bytes] = {}
         self.opens = None
         self.same = same_merges(path)
@@ -110,15 +110,17 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        if self.same is None:
-            return self.remembered(texts)
-        quick = [bool(_SETTLED.fullmatch(t)) and not (len(t) > 4096 and _WIDE.search(t)) for t in texts]
+        quick = [self.same is not None and not self.special(t) and bool(_SETTLED.fullmatch(t)) and not (len(t) > 4096 and _WIDE.search(t)) for t in texts]
         others = iter(self.remembered([t for t, q in zip(texts, quick, strict=True) if not q]))
         return [np.array(self.same.encode_ordinary(t), "<u4").tobytes() if q else next(others) for t, q in zip(texts, quick, strict=True)]
 
+    def special(self, text: str) -> bool:
+        """Whether the library finds an added token (such as <|endoftext|>) written in the text: it becomes that token's id."""
+        return any(map(text.__contains__, self.added))
+
     def remembered(self, texts: list[str]) -> list[bytes]:
         forget(self.memory, MEMORY_ENTRIES)
-        cut = [None if not t or t[0] == " " or t[-1] == " " or _AWKWARD.search(t) else t.split(" ") for t in texts]
+        cut = [None if not t or self.special(t) or t[0] == " " or t[-1] == " " or _AWKWARD.search(t) else t.split(" ") for t in texts]
         missing: set[str] = set()
         for pieces in cut:
             if pieces:
@@ -230,7 +232,8 @@ def segments(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pack every text's tokens, with end_id after them, into as few sequences of at most capacity tokens as it can.
 
-    Returns id_column, piece, start, length, ids_crc32, sequence_id, offset (and ids with keep_ids), a row for each
+    Ids are those of the tokenizers library with add_special_tokens=False, so an added token that a text spells out is
+    that token's id. Returns id_column, piece, start, length, ids_crc32, sequence_id, offset (and ids with keep_ids), a row for each
     piece. Only texts of more than capacity tokens are cut; their first piece takes what full pieces leave. A null or
     empty text is one piece of end_id alone; null ids, repeated rows and extra columns do no harm, and an empty table
     gives no rows. Texts are read once, without a shuffle; the driver gets one count a length (capacity numbers at

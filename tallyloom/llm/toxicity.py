@@ -27,10 +27,8 @@ PLAIN, SIGN, AGAIN, NOTHING = math.log(0.90), math.log(0.06), math.log(0.03), ma
 DRAWN, SELDOM = frozenset("0123456789@$"), math.log(0.0002)
 #: Words of the lexicon count so many times in the language model, relative to the mean word.
 BOOST = 200.0
-#: States that a step of decoding keeps.
-BEAM = 24
-#: Hash buckets of word features; most features that make the lexicon.
-BUCKETS, MOST_FEATURES = 1 << 18, 8192
+#: Hash buckets of word features. Every feature that speaks is in the lexicon, so this bounds it.
+BUCKETS = 1 << 18
 #: Documents of the rarer label that must have a feature, and the least log-odds, before it speaks.
 LEAST_DOCUMENTS, LEAST_ODDS = 4, 2.5
 #: Steps of 1/20 in which calibration counts sums of evidence; the last bin takes the rest.
@@ -87,7 +85,7 @@ def viterbi(signs: str, trigrams, words: bool = False) -> str:
     """The likeliest letters behind signs. States are the last two letters; a sign may be a letter, repeat the last, or be nothing.
 
     words: signs are single letters set apart, and before each of them a word may end and another begin, which gives a blank.
-    The beam bounds the states, so the time is linear in the signs.
+    No state is dropped: there are SIZE ** 2 at most, so the result is the best path and the time linear in the signs.
     """
     best: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
     for c in signs.lower():
@@ -113,7 +111,7 @@ def viterbi(signs: str, trigrams, words: bool = False) -> str:
                     after[a, b] = p + AGAIN, path
             if drop is not None and ((a, b) not in after or after[a, b][0] < p + drop):
                 after[a, b] = p + drop, path
-        best = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
+        best = after
     _, path = max(((p + trigrams[a][b][EDGE], path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])
     out = []
     while path:
@@ -238,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "d
     At most about most_labels labelled ids are learned from, drawn by a hash of the id if there are more. Feature counts are
     taken from one half of the rows and the calibration from the other (by the id's hash), both over every row of their
     half. An id labelled twice has the greater label; null ids and labels are not learned from. What reaches the driver is
-    bounded: SIZE ** 3 letter counts, MOST_FEATURES features, 2 * BINS calibration counts; so are the labels broadcast.
+    bounded: SIZE ** 3 letter counts, BUCKETS features and words, 2 * BINS calibration counts; so are the labels broadcast.
     """
     counts = letter_counts(docs, text_column)
     every = staged(labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label).cast("int").alias("_y")), "labels")
@@ -251,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "d
     n0, n1 = n.get(0, 0), n.get(1, 0)
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
     speaks = _odds(first, "text", "_y", plain).withColumn("w", odds).where((F.col("n1") >= LEAST_DOCUMENTS) & (F.col("w") >= LEAST_ODDS))
-    lexicon = {r["f"]: float(r["w"]) for r in speaks.orderBy(F.desc("w"), "f").limit(MOST_FEATURES).collect()}
+    lexicon = {r["f"]: float(r["w"]) for r in speaks.collect()}
     model = Model(plain, lexicon)
     model.words = _lexicon_words(first, model)
     model.trigrams = smoothed(counts, model.words)
@@ -261,17 +259,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "d
 
 
 def _lexicon_words(rows: DataFrame, model: Model) -> dict[str, float]:
-    """The whole words of toxic rows whose own feature is in the lexicon (at most MOST_FEATURES)."""
+    """The whole words of toxic rows whose own feature is in the lexicon; of words that share a bucket the most frequent."""
     lexicon = model.lexicon
 
     def make():
         def step(batch):
-            return ([w for w in {w for t in batch.column(0).to_pylist() for w in _WORDS.findall(t.lower())} if crc32(("=" + w).encode()) % BUCKETS in lexicon],)
+            found = {w: f for t in batch.column(0).to_pylist() for w in _WORDS.findall(t.lower()) if (f := crc32(("=" + w).encode()) % BUCKETS) in lexicon}
+            return list(found), list(found.values())
 
         return step
 
-    found = map_arrow(rows.where("_y = 1").select("text"), make, "w string", 0).groupBy("w").count()
-    return {r["w"]: lexicon[crc32(("=" + r["w"]).encode()) % BUCKETS] for r in found.orderBy(F.desc("count"), "w").limit(MOST_FEATURES).collect()}
+    found = map_arrow(rows.where("_y = 1").select("text"), make, "w string, f int", 0).groupBy("f", "w").count()
+    return {r["w"]: lexicon[r["f"]] for r in found.groupBy("f").agg(F.max_by("w", F.struct("count", "w")).alias("w")).collect()}
 
 
 def calibrate(points: list[tuple[float, int, int]]) -> tuple[float, float]:

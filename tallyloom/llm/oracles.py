@@ -39,7 +39,7 @@ judged AS (
            OR len(lines) >= 4 AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•|]'))) > 9 * len(lines)
            OR len(lines) >= 4 AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines)
            OR n_words >= 50 AND 10 * most > 3 * n_words
-           OR n_words >= 50 AND 20 * len(list_distinct(w)) < least(n_words, 2000)
+           OR n_words >= 50 AND 400 * len(list_distinct(w)) * len(list_distinct(w)) < n_words * least(n_words, 2000)
            OR 20 * (length(t) - length(regexp_replace(t, '[{}]', '', 'g'))) > n_words
            OR 50 * (length(t) - length(replace(t, chr(65533), ''))) > length(t) AS rejected FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged""",

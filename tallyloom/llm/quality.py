@@ -11,6 +11,8 @@ from tallyloom.llm.common import map_arrow, text_of
 
 #: Rows (at most) on which costs and selectivities are measured. It sets only the order of the rules, never a verdict.
 SAMPLE_ROWS = 2000
+#: Up to so many words a twentieth of them must be distinct; beyond, the number asked for grows with the root of the length.
+DISTINCT_AT = 2000
 _SYMBOLS = "#*$%&|<>"
 _STRIP = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -98,7 +100,9 @@ def _top_word(d: Doc) -> bool:
 
 
 def _distinct(d: Doc) -> bool:
-    return len(d.words) >= 50 and 20 * len(set(d.words)) < min(len(d.words), 2000)
+    # a vocabulary grows with the root of a text's length, so the share asked for falls as 1 / root beyond DISTINCT_AT words
+    n = len(d.words)
+    return n >= 50 and 400 * len(set(d.words)) ** 2 < n * min(n, DISTINCT_AT)
 
 
 def _braces(d: Doc) -> bool:

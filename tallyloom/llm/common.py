@@ -62,15 +62,25 @@ def text_of(column: str | Column = "text") -> Column:
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> list[Column]:
     """Two columns that tell rows apart: rows alike in both are alike in id and text, so they share every result.
 
-    A null id gets the least long; what an operator here returns for a row depends on its text, so a clash
-    with a row of that id and the same text is harmless.
+    A null id, or one that is no whole number, gets the least long; what an operator returns for a row by this key depends on
+    its text, so a clash with a row of that id and the same text is harmless. Where ids themselves count, see numbered().
     """
     return [
-        F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("_id"),
+        F.coalesce(F.col(id_column).try_cast("long"), F.lit(-(2**63))).alias("_id"),
         F.xxhash64(text_of(text_column)).alias("_th"),
     ]
 
 
+def numbered(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with whole-number ids, in the order of the old ones, and the table from id to name; docs as it is and None if ids are such already."""
+    if docs.schema[id_column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return docs, None
+    own = F.col(id_column)
+    names = staged(docs.where(own.isNotNull()).select(own.alias("name")).distinct().orderBy("name").select(F.monotonically_increasing_id().alias("number"), "name"), "names")
+    told = docs.withColumnRenamed(id_column, "name") if id_column != "name" else docs
+    return told.join(names, "name", "left").drop("name").withColumnRenamed("number", id_column), names
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -110,7 +110,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     key is the line stripped of ASCII white space, A-Z lower-cased; keys of fewer than shortest code points are left
     alone, so empty lines stay. A null or empty text is one empty line and becomes empty. Rows count as documents: of
     repeated rows each counts, and all get the same lines dropped; with keep_first, the first line is that of the least
-    (id, text hash, line number). Extra columns stay; those named n_lines or n_dropped give way.
+    (id, text hash, line number), where ids that are no whole numbers count as the least. Extra columns stay, whatever their names; those named n_lines or n_dropped give way.
     """
     lines = docs.agg(F.coalesce(F.sum(F.length(text_of(text_column)) - F.length(F.replace(text_of(text_column), F.lit("\n"), F.lit(""))) + 1), F.lit(1))).first()[0]
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_LINE * int(lines) - 1).bit_length()))
@@ -157,12 +157,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         hits = hits.withColumn("at", F.when(own, F.filter("at", lambda i: i != F.col("first.line"))).otherwise(F.col("at")))
     dropped = hits.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_at"))
 
-    kept = docs.drop("n_lines", "n_dropped").withColumns(dict(zip(("_id", "_th"), row_key(id_column, text_column), strict=True)))
-    parts = F.split(text_of(text_column), "\n", -1)
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]).alias("_doc"), text_of(text_column).alias("_text"), *row_key(id_column, text_column))
+    parts = F.split("_text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_at"))
-    return (
-        kept.join(dropped, ["_id", "_th"], "left")
-        .withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": F.coalesce(F.size("_at"), F.lit(0)).cast("long")})
-        .withColumn(text_column, F.when(F.col("n_dropped") > 0, F.array_join(F.transform(stay, lambda i: parts[i]), "\n")).otherwise(text_of(text_column)))
-        .drop("_id", "_th", "_at")
-    )
+    done = kept.join(dropped, ["_id", "_th"], "left").withColumns({"_lines": F.size(parts).cast("long"), "_dropped": F.coalesce(F.size("_at"), F.lit(0)).cast("long")})
+    text = F.when(F.col("_dropped") > 0, F.array_join(F.transform(stay, lambda i: parts[i]), "\n")).otherwise(F.col("_text"))
+    return done.select(F.col("_doc").withField(f"`{text_column}`", text).alias("_doc"), "_lines", "_dropped").select("_doc.*", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_arrow, partitions_for, row_key, staged, text_of
+from tallyloom.llm.common import map_arrow, numbered, partitions_for, row_key, staged, text_of
 from tallyloom.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lower-cased; a text of fewer than `words` words is one shingle of them all. A null or empty text, or one of blanks,
     has no shingles: it is alone, with no links. Repeated rows are one row here. Candidates have the given recall as the
     forest estimates it on these rows (see estimated_recall), links are exact. Large nodes and components are cut into pairs of chunks, so no task
-    gathers a whole group; what leaves a task grows with texts, not with pairs.
+    gathers a whole group; what leaves a task grows with texts, not with pairs. Ids must be whole numbers (see numbered()).
     """
     signed = staged(signatures(docs, words, trees * deepest, id_column, text_column), "signatures")
     sets = staged(signed.where("n > 0").groupBy("set").agg(F.count("*").alias("n_copies"), F.min(F.struct("_id", "_th", "sig")).alias("r")).select("set", "n_copies", F.struct("r._id", "r._th").alias("node"), "r.sig"), "sets")
@@ -360,9 +360,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of near copies, the one of the least id (then text hash); texts without words all stay."""
+    """docs with one document of each group of near copies, the one of the least id (then text hash); texts without words all stay.
+
+    Of rows alike in id and text the least by their columns stays. Ids that are no whole numbers are numbered in their order.
+    """
+    docs, names = numbered(docs, id_column)
+    if names is not None:
+        order = [c for c in docs.columns if c != id_column]
+        kept = keep_first(docs, id_column, text_column, **options).join(names.withColumnRenamed("number", id_column), id_column, "left").drop(id_column).withColumnRenamed("name", id_column)
+        return kept.select(id_column, *order)
     groups = near_duplicates(docs, id_column, text_column, **options).where("first").select("_id", "_th")
-    keyed = docs.withColumns(dict(zip(("_id", "_th"), row_key(id_column, text_column), strict=True)))
-    worded = text_of(text_column).rlike(r"[^\x20\x09-\x0D]")
-    stay = keyed.where(worded).join(groups, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
-    return stay.unionByName(keyed.where(~worded)).drop("_id", "_th")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), text_of(text_column).alias("_text"), *row_key(id_column, text_column))
+    worded = F.col("_text").rlike(r"[^\x20\x09-\x0D]")
+    stay = keyed.where(worded).join(groups, ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg((F.min_by("_doc", F.to_json("_doc")) if "map<" in docs.schema.simpleString() else F.min("_doc")).alias("_doc"))
+    return stay.select("_doc.*").unionByName(keyed.where(~worded).select("_doc.*"))

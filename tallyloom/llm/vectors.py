@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import partitions_for, staged
+from tallyloom.llm.common import numbered, partitions_for, staged
 
 #: Cells of each dimension; candidates whose cells are scanned at once; queries that scan together.
 CELLS, SCANNED, TOGETHER = 64, 4096, 512
@@ -169,10 +169,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_
     v, id_type = F.col(vector_column), rows.schema[id_column].dataType.simpleString()
     usable = rows.where(F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf")))))
     usable = usable.select(F.col(id_column).alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    names = None
-    if id_type not in ("tinyint", "smallint", "int", "bigint"):
-        names = staged(usable.select("id").distinct().orderBy("id").select(F.col("id").alias("name"), F.monotonically_increasing_id().alias("id")), "names")
-        usable = usable.withColumnRenamed("id", "name").join(names, "name").drop("name")
+    usable, names = numbered(usable, "id")
     points = usable.groupBy(F.col("id").cast("long").alias("id"), "v").agg(F.count("*").alias("n"), F.count_if("asks").alias("asks"))
     points = staged(points.withColumns({"row": F.monotonically_increasing_id(), "dim": F.size("v")}), "points")
     sizes = points.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
@@ -213,7 +210,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_
     out = ranked.join(about, "row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("asks").cast("int"))))
     if names is not None:
         for c in ("query_id", "vec_id"):
-            out = out.withColumnRenamed(c, "id").join(names, "id").drop("id").withColumnRenamed("name", c)
+            out = out.join(names, out[c] == names["number"]).drop(c, "number").withColumnRenamed("name", c)
     else:
         out = out.withColumns({c: F.col(c).cast(id_type) for c in ("query_id", "vec_id")})
     return out.select("query_id", "rank", "vec_id", "score")

@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 # Harness -> patterns of a text that names it; the first harness that matches wins.
 HARNESSES = (
-    ("lm-eval-harness", r"lm[_-]?eval|eleutherai.*harness|lm[_-]?harness"),
-    ("helm", r"\bhelm\b|stanford.*helm"),
-    ("inspect", r"\binspect\b.*eval|uk\s*aisi.*inspect"),
-    ("vllm", r"\bvllm\b"),
-    ("fastchat", r"\bfastchat\b|mt[_-]?bench"),
-    ("alpaca_eval", r"alpaca[_-]?eval"),
-    ("bigcode-evaluation-harness", r"bigcode.*harness|bigcodebench"),
+    ("lm-eval-harness", (r"lm[_-]?eval", r"eleutherai.*harness", r"lm[_-]?harness")),
+    ("helm", (r"\bhelm\b", r"stanford.*helm")),
+    ("inspect", (r"\binspect\b.*eval", r"uk\s*aisi.*inspect")),
+    ("vllm", (r"\bvllm\b",)),
+    ("fastchat", (r"\bfastchat\b", r"mt[_-]?bench")),
+    ("alpaca_eval", (r"alpaca[_-]?eval",)),
+    ("bigcode-evaluation-harness", (r"bigcode.*harness", r"bigcodebench")),
 )
+# What a lower-case name says of a setting: (pattern, value), or None for the pattern's own group; the first that matches wins.
+NAME_SETTINGS = {
+    "shots": ((r"(\d+)[- ]shot", None), (r"zero[- ]shot", "0"), (r"(?=.*few[- ]shot).*?k\s*=\s*(\d+)", None), (r"few[- ]shot", "few"), (r"one[- ]shot", "1")),
+    "chain_of_thought": ((r"\bcot\b", "yes"), (r"chain[- ]of[- ]thought", "yes"), (r"w/o\s+code", "yes"), (r"without\s+code", "yes")),
+    "self_consistency": ((r"self[- ]consist", "yes"), (r"\bsc\b", "yes"), (r"maj(?:1)?@\d+", "yes")),
+    "samples": ((r"maj(?:1)?@(\d+)", None), (r"(\d+)\s*samples?", None)),
+    "decoding": ((r"greedy", "greedy"), (r"sampl", "sampling")),
+    "temperature": ((r"temp(?:erature)?\s*=?\s*([0-9.]+)", None), (r"greedy", "0.0")),
+    "tool_use": ((r"\bpal\b", "PAL"), (r"tool[- ]integrated", "TIR"), (r"^(?!.*w/o).*w/\s*code", "code"), (r"^(?!.*w/o).*with\s+code", "code")),
+    "fine_tuned": ((r"fine[- ]?tun", "yes"),),
+}
+# Kinds of prompts, all that match are told.
+PROMPT_KINDS = ((r"auto[- ]optimized", "auto-optimized prompting"), (r"mc[ot]\b", "multilingual CoT"), (r"qa prompt", "QA prompt"))
 FEW = -1  # some shots, number unknown
 
 
@@ -42,33 +55,20 @@ def temperature(text: Column) -> Column:
 
 
 def name_settings(name: Column) -> Column:
-    """what a model's name says of its evaluation: ten fields, text or null."""
-    inside = F.coalesce(_group(name, r"\(([^)]+)\)\s*$"), _group(name, r"\(([^)]+)\)"), F.lit(""))
-    text = F.lower(F.concat(inside, F.lit(" "), name))
-    yes = lambda pattern: F.when(text.rlike(pattern), F.lit("yes"))
-    few = F.when(text.rlike("few[- ]shot"), F.coalesce(_group(text, r"k\s*=\s*(\d+)"), F.lit("few")))
-    votes = _group(text, r"maj(?:1)?@(\d+)")
-    decoding = F.when(text.contains("greedy"), "greedy").when(text.contains("sampl"), "sampling")
-    tool = F.when(text.rlike(r"\bpal\b"), "PAL").when(text.rlike("tool[- ]integrated"), "TIR").when(text.rlike(r"w/\s*code|with\s+code") & ~text.contains("w/o"), "code")
-    prompt = F.concat_ws("; ", F.when(text.rlike("auto[- ]optimized"), "auto-optimized prompting"), F.when(text.rlike(r"mc[ot]\b"), "multilingual CoT"), F.when(text.contains("qa prompt"), "QA prompt"))
-    return F.struct(
-        F.trim(F.when(name.rlike(r"\([^)]+\)\s*$"), F.regexp_replace(name, r"\s*\([^)]+\)\s*$", "")).otherwise(F.regexp_replace(name, r"\([^)]+\)", ""))).alias("clean_name"),
-        F.coalesce(_group(text, r"(\d+)[- ]shot"), F.when(text.rlike("zero[- ]shot"), "0"), few, F.when(text.rlike("one[- ]shot"), "1")).alias("shots"),
-        yes(r"\bcot\b|chain[- ]of[- ]thought|w/o\s+code|without\s+code").alias("chain_of_thought"),
-        F.coalesce(yes(r"self[- ]consist|\bsc\b"), F.when(votes.isNotNull(), "yes")).alias("self_consistency"),
-        F.coalesce(votes, _group(text, r"(\d+)\s*samples?")).alias("samples"),
-        decoding.alias("decoding"),
-        F.coalesce(_group(text, r"temp(?:erature)?\s*=?\s*([0-9.]+)"), F.when(decoding == "greedy", "0.0")).alias("temperature"),
-        tool.alias("tool_use"),
-        yes("fine[- ]?tun").alias("fine_tuned"),
-        F.nullif(prompt, F.lit("")).alias("prompt_info"),
-    )
+    """what a model's name says of its evaluation: ten fields, text or null. Remarks in brackets are read first and leave the name."""
+    remark = F.coalesce(_group(name, r"\(([^)]+)\)\s*$"), _group(name, r"\(([^)]+)\)"), F.lit(""))
+    told = F.lower(F.concat(remark, F.lit(" "), name))
+    first = lambda rules: F.coalesce(*(_group(told, p) if v is None else F.when(told.rlike(p), F.lit(v)) for p, v in rules))
+    last = r"\s*\([^)]+\)\s*$"
+    bare = F.trim(F.when(name.rlike(last), F.regexp_replace(name, last, "")).otherwise(F.regexp_replace(name, r"\([^)]+\)", "")))
+    prompts = F.nullif(F.concat_ws("; ", *(F.when(told.rlike(p), F.lit(v)) for p, v in PROMPT_KINDS)), F.lit(""))
+    return F.struct(bare.alias("clean_name"), *(first(rules).alias(field) for field, rules in NAME_SETTINGS.items()), prompts.alias("prompt_info"))
 
 
 def harness(text: Column) -> Column:
     """the first harness that a text names, or empty."""
     low = F.lower(text)
-    return F.coalesce(*(F.when(low.rlike(pattern), F.lit(name)) for name, pattern in HARNESSES), F.lit(""))
+    return F.coalesce(*(F.when(low.rlike(pattern), F.lit(name)) for name, patterns in HARNESSES for pattern in patterns), F.lit(""))
 
 
 def arxiv_ids(text: Column) -> Column:

@@ -35,8 +35,13 @@ def reference_gaps(rows: DataFrame, key: list[str], source: str, score: str, ref
     return found.where("own IS NOT NULL AND others IS NOT NULL").select(*key, (F.col("others") - F.col("own")).alias("gap"))
 
 
+def gap_groups(gaps: DataFrame, by: list[str], least: int = 2) -> DataFrame:
+    """gap_summary of each group of least gaps or more, the largest groups first."""
+    return gap_summary(gaps, by).where(F.col("n") >= least).orderBy(F.desc("n"), *by)
+
+
 def gap_summary(gaps: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Number, positive ones and median of the gaps."""
+    """Number, positive ones and median of the gaps."""
     return gaps.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_if(F.col("gap") > 0).alias("positive"), F.median("gap").alias("median"))
 
 
@@ -47,7 +52,7 @@ def conflicts(rows: DataFrame, key: list[str], row: str, source: str, score: str
     pairs of a busy cell down to distinct scores. The join is one shuffle on the key with the rest as a residual
     condition, which adaptive execution can split.
     """
-    one = rows.where(F.col(score).isNotNull()).groupBy(*key, source, score).agg(F.min(row).alias("row"), F.first(least).alias("least"), F.first(most).alias("most"))
+    one = rows.where(F.col(score).isNotNull()).groupBy(*key, source, score).agg(F.min(F.struct(F.col(row).alias("row"), least.alias("least"), most.alias("most"))).alias("_r")).select(*key, source, score, "_r.*")
     a = one.select(*key, *(F.col(c).alias(f"{c}_a") for c in (source, score, "row", "least", "most")))
     b = one.select(*(F.col(c).alias(f"_{c}") for c in key), *(F.col(c).alias(f"{c}_b") for c in (source, score, "row", "least", "most")))
     same = [F.col(c) == F.col(f"_{c}") for c in key]

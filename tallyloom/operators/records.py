@@ -18,7 +18,7 @@ KNOWN_SHOTS = {
 }
 PREFERENCE_BENCHMARKS = ("Arena Elo", "MT-Bench", "WildBench v2", "WildBench v2 (adj)")
 # Names of metrics that describe the model rather than a result.
-METADATA_METRIC = r"(?i)param|size|flop|training.*(?:token|step|hour|cost)|latency|throughput|memory"
+METADATA_METRICS = (r"(?i)param", r"(?i)size", r"(?i)flop", r"(?i)training.*(token|step|hour|cost)", r"(?i)latency", r"(?i)throughput", r"(?i)memory")
 
 #: One evaluation record (the fields that the analyses use).
 RECORD = """
@@ -134,7 +134,7 @@ def verdict(issues: DataFrame) -> DataFrame:
 
 def metadata_metric(name: Column) -> Column:
     """The metric describes the model."""
-    return name.rlike(METADATA_METRIC)
+    return reduce(lambda a, b: a | b, (name.rlike(p) for p in METADATA_METRICS))
 
 
 def out_of_range(score: Column, least: Column, most: Column) -> Column:

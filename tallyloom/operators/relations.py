@@ -38,9 +38,11 @@ def best_match(want: DataFrame, have: DataFrame, block: str, score: Column, orde
     return scored.groupBy("w").agg(F.max_by("h", F.struct(F.col("score"), -F.col(order))).alias("h"), F.max("score").alias("score"))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """The table's first row of a key beside each row."""
-    return rows.join(table, key, "left")
+def lookup(rows: DataFrame, table: DataFrame, key: str, order: str | Column | None = None) -> DataFrame:
+    """The table's first row of a key beside each row; first in the order given, else by the table's columns. No row is multiplied."""
+    values = [c for c in table.columns if c != key]
+    first = table.groupBy(key).agg(F.min_by(F.struct(*values), F.struct(*values) if order is None else order).alias("_v"))
+    return rows.join(first.select(key, *(F.col("_v")[c].alias(c) for c in values)), key, "left")
 
 
 def merged(a: DataFrame, b: DataFrame, key: str, shared: list[str]) -> DataFrame:
@@ -58,9 +60,9 @@ def plan_grid(domain: DataFrame, levels: dict[str, list]) -> DataFrame:
 
 
 def by_id_or_short_name(want: DataFrame, have: DataFrame, name: str, full: str, short: str, value: str) -> DataFrame:
-    """The value of the full id, else of the short name if just one id has it."""
-    by_full = have.groupBy(F.col(full).alias(name)).agg(F.first(value).alias("_full"))
-    by_short = have.groupBy(F.col(short).alias(name)).agg(F.first(value).alias("_short"), F.count_distinct(full).alias("_ids")).where("_ids = 1").drop("_ids")
+    """The value of the full id, else of the short name if just one id has it; the least value of an id that has several."""
+    by_full = have.groupBy(F.col(full).alias(name)).agg(F.min(value).alias("_full"))
+    by_short = have.groupBy(F.col(short).alias(name)).agg(F.min(value).alias("_short"), F.count_distinct(full).alias("_ids")).where("_ids = 1").drop("_ids")
     return want.join(by_full, name, "left").join(by_short, name, "left").withColumn(value, F.coalesce("_full", "_short")).drop("_full", "_short")
 
 

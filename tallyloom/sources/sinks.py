@@ -33,8 +33,9 @@ def append_new(rows: DataFrame, path: str, key: list[str]) -> None:
 
     try:
         rows = rows.join(rows.sparkSession.read.parquet(path).select(*key).distinct(), key, "left_anti")
-    except AnalysisException:
-        pass
+    except AnalysisException as absent:
+        if absent.getCondition() != "PATH_NOT_FOUND":
+            raise
     rows.dropDuplicates(key).write.mode("append").parquet(path)
 
 

@@ -13,29 +13,32 @@ TOXIC = 0.7
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic. It learns from all labels of the documents given."""
+    """Documents that the classifier does not call toxic. It learns from all labels of the documents given, so it also scores rows it learned from.
+
+    A null or empty text has no evidence and stays; repeated rows stay or go together; an empty table stays empty.
+    """
     kept = [c for c in docs.columns]
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.score(docs, model, kept, threshold=TOXIC).where("predicted = 0").select(*kept)
 
 
 def deduped_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more have; n_chars follows the text."""
+    """Documents without the lines that ten or more have; n_chars follows the text. A null text becomes empty; repeated rows count each."""
     return _sized(lines.dedup_lines(docs, in_documents=10, shortest=1).select(*docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies."""
+    """The document of least id of each group of near copies, one of repeated rows; documents without words all stay."""
     return neardup.keep_first(docs).select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; null becomes empty, repeated rows are redacted alike."""
     return _sized(pii.redact(docs).select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and the sequences that they fill."""
+    """Token pieces and the sequences that they fill; a null or empty text is the end token alone."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)

@@ -23,7 +23,7 @@ FAMILIES = {
     "chatgpt": "openai", "claude": "anthropic", "gemini": "google", "gemma": "google", "palm": "google", "t5": "google", "ul2": "google", "flan": "google",
 }
 # Output type of a task -> how it is scored.
-SCORING_MODES = {"loglikelihood": "log_likelihood", "loglikelihood_rolling": "log_likelihood", "multiple_choice": "log_likelihood", "generate_until": "generation"}
+SCORING_MODES = {"loglikelihood": "log-likelihood", "loglikelihood_rolling": "log-likelihood", "multiple_choice": "log-likelihood", "generate_until": "generation"}
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 

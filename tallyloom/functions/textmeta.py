@@ -125,9 +125,20 @@ def sample_hash(raw: Column, reference: Column) -> Column:
     return F.sha2(F.to_json(F.struct(raw.alias("raw"), reference.alias("reference"))), 256)
 
 
+def json_text(text: Column) -> Column:
+    """a text as a JSON string of ASCII signs only, as Python's json writes it: others become \\uXXXX, pairs of them beyond 16 bits."""
+    short = {"0022": '\\"', "005C": "\\\\", "000A": "\\n", "000D": "\\r", "0009": "\\t", "0008": "\\b", "000C": "\\f"}
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), 0)
+    one = lambda u: F.coalesce(
+        *(F.when(u == k, F.lit(v)) for k, v in short.items()), F.when((u >= "0020") & (u <= "007E"), F.char(F.conv(u, 16, 10).cast("int"))), F.concat(F.lit("\\u"), F.lower(u))
+    )
+    plain = text.rlike(r"^[\x20\x21\x23-\x5B\x5D-\x7E]*$")
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(units, one), "")), F.lit('"'))
+
+
 def prompt_hash(text: Column) -> Column:
     """SHA-256 of a prompt without blanks at line ends."""
-    return F.sha2(F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.rtrim(line)), "\n"), 256)
+    return F.sha2(F.array_join(F.transform(F.split(text, r"\r\n|\r|\n", -1), lambda line: F.regexp_replace(line, r"(?U)\s+$", "")), "\n"), 256)
 
 
 def value_in_text(value: Column, text: Column) -> Column:

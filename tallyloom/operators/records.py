@@ -54,6 +54,12 @@ def flatten(records: DataFrame, aliases: dict[str, str] | None = None) -> DataFr
     )
 
 
+def of_sources(rows: DataFrame, source: str, keep: list[str] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the sources to keep (all if none are named) without those to drop; a row without a source is only in no named set."""
+    kept = rows if keep is None else rows.where(F.col(source).isin(*keep))
+    return kept.where(~F.coalesce(F.col(source).isin(*drop), F.lit(False))) if drop else kept
+
+
 def relabel(rows: DataFrame, when: Column, values: dict[str, Column]) -> DataFrame:
     """Columns set anew where a condition holds."""
     return rows.withColumns({k: F.when(when, v).otherwise(F.col(k)) for k, v in values.items()})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import converters as c
+from tallyloom.operators import records
 from tallyloom.plans import query
 
 TASKS = "map<string,map<string,variant>>"
@@ -181,3 +182,8 @@ def v16_unsupported(read):
     k = F.col("p_partkey")
     values = {"name": F.when(k % 2 == 0, "no such model").otherwise(F.upper("p_name")), "metric": F.when(k % 3 == 0, "absent"), "score": F.lit(None).cast("string")}
     return read("part").select("p_partkey", F.array_join(c.unsupported(values, F.concat_ws(" ", "p_name", "p_brand")), "; ").alias("missing"))
+
+
+@query("""SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'error') AND event_type NOT IN ('error') GROUP BY ALL""")
+def p06_sources(read):
+    return records.of_sources(read("events"), "event_type", ["view", "click", "error"], ("error",)).groupBy("event_type").agg(F.count("*").alias("n"))

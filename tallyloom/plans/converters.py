@@ -28,8 +28,8 @@ def c01_leaf_tasks(read):
     return read("lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(F.map_keys(tasks)), ",").alias("tasks"))
 
 
-@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE l_linenumber WHEN 1 THEN 0.0 WHEN 2 THEN -1.0 WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 END AS least,
-CASE l_linenumber WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN 100.0 END AS most FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN 0 WHEN 4 THEN 0 END)::DOUBLE AS least,
+(CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 100 END)::DOUBLE AS most FROM lineitem""")
 def c02_bounds(read):
     metric = F.element_at(F.array(*map(F.lit, ("acc", "mcc", "bleu", "ter", "perplexity", "word", "byte"))), F.col("l_linenumber"))
     return read("lineitem").select("l_orderkey", "l_linenumber", c.bounds(metric).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
@@ -63,7 +63,7 @@ def c05_generation(read):
 
 
 @query("""SELECT l_orderkey::VARCHAR AS sample_id, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'task/strict' ELSE 'task' END AS name,
-CASE l_linenumber % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.5 END AS score, l_linenumber % 3 = 1 AS correct, l_returnflag AS reference FROM lineitem""")
+(CASE l_linenumber % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.5 END)::DOUBLE AS score, l_linenumber % 3 = 1 AS correct, l_returnflag AS reference FROM lineitem""")
 def c06_samples(read):
     n = F.col("l_linenumber")
     body = F.concat(
@@ -83,7 +83,7 @@ def c07_scorers(read):
     return read("lineitem").select("l_orderkey", "l_linenumber", F.explode(rows).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
 
 
-@query("""SELECT conv_id, turn::BIGINT AS turn, role, text AS content, CASE WHEN role = 'assistant' THEN 'why' END AS thought, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS calls, CASE WHEN role = 'user' THEN 'id' || turn END AS answers FROM conversations""")
+@query("""SELECT conv_id, turn::BIGINT AS turn, role, text AS content, CASE WHEN role = 'assistant' THEN 'why' END AS thought, (role = 'assistant')::BIGINT AS calls, CASE WHEN role = 'user' THEN 'id' || turn END AS answers FROM conversations""")
 def c08_messages(read):
     part = lambda kind, text, why: F.struct(F.lit(kind).alias("type"), text.alias("text"), why.alias("reasoning"))
     nothing, speaks = F.lit(None).cast("string"), F.col("role") == "assistant"
@@ -134,7 +134,7 @@ def c11_instances(read):
     return c.instance_rows(states, stats).select("sample_id", "sample_hash", "score", F.col("token_usage.total_tokens").alias("tokens"), F.col("extracted_value").alias("answer"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size / 100.0 END AS temperature, p_size % 3 = 0 AS reasoning, CASE WHEN p_size % 5 = 0 THEN 3 ELSE p_size::BIGINT END AS attempts, 'docker' AS sandbox, CASE WHEN p_size % 2 = 0 THEN 3 ELSE 2 END AS options FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size::DOUBLE / 100 END AS temperature, p_size % 3 = 0 AS reasoning, CASE WHEN p_size % 5 = 0 THEN 3 ELSE p_size::BIGINT END AS attempts, 'docker' AS sandbox, (CASE WHEN p_size % 2 = 0 THEN 3 ELSE 2 END)::BIGINT AS options FROM part""")
 def c18_agent(read):
     n = F.col("p_size")
     options = texts(temperature=F.when(n % 2 == 0, n / 100), reasoning_effort=F.when(n % 3 == 0, "high").otherwise("None"), max_retries=F.lit(3))
@@ -152,7 +152,7 @@ def c19_versions(read):
     return read("customer").select("c_custkey", version.alias("version"), c.sampled_model(path, seen).alias("model"), c.sampled_model_info(path, seen)["provider"].alias("provider"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'scenario' WHEN 1 THEN o_orderstatus WHEN 2 THEN 'mmlu' ELSE 'plain' END AS dataset, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey * 2.0 END AS first_time,
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'scenario' WHEN 1 THEN o_orderstatus WHEN 2 THEN 'mmlu' ELSE 'plain' END AS dataset, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey * 2.0::DOUBLE END AS first_time,
 CASE WHEN o_orderkey % 2 = 0 THEN '1993-01-01' ELSE o_orderdate::DATE::VARCHAR END AS stamp FROM orders""")
 def f48_run_dataset(read):
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate").cast("string")

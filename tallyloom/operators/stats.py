@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import zlib
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,22 +95,101 @@ def partial_r2(rows: DataFrame, entity: str, x: str, y: str) -> DataFrame:
     return s.select(F.coalesce(F.try_divide(F.col("xy") * F.col("xy"), F.col("xx") * F.col("yy")), F.lit(0.0)).alias("r2"))
 
 
-def bootstrap_eta2(rows: DataFrame, group: str, value: str, resamples: int = 1000, seed: int = 12345) -> DataFrame:
-    """Percentile interval of eta squared, values drawn again within each group.
+def bootstrap_eta2(rows: DataFrame, group: str, value: str, resamples: int = 10_000, seed: int = 12345, leaf: int = 2_000) -> DataFrame:
+    """Percentile interval of eta squared; every resample draws as many values of each group as it has. Nulls take no part.
 
-    A draw k of a resample takes the value whose rank in its group is a hash of (resample, group, k), so the draws are
-    the same on every run. Made for experiment tables: rows times resamples are drawn.
+    Rows are never multiplied. Values with their counts are dealt by hash to the leaves of a binary tree (about `leaf`
+    distinct values each); a leaf walks down from its root, where seeded binomial draws that all leaves below a node share
+    split a resample's draws, and draws its own values from the multinomial law. So the draws are exactly those of
+    sampling with replacement, alike on every run, and only (group, resample) sums are shuffled.
     """
-    w = Window.partitionBy(group)
-    ranked = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    draws = ranked.select("g", "n", "i", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r")).select("g", "r", F.pmod(F.xxhash64(F.lit(seed), "r", "g", "i"), F.col("n")).alias("i"))
-    drawn = draws.join(ranked.select("g", "i", "v"), ["g", "i"])
-    per = drawn.groupBy("r", "g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    total = Window.partitionBy("r")
-    grand = F.sum(F.col("n") * F.col("m")).over(total) / F.sum("n").over(total)
-    eta = per.withColumn("b", F.col("n") * F.pow(F.col("m") - grand, F.lit(2))).groupBy("r").agg(F.try_divide(F.sum("b"), F.sum(F.col("b") + F.col("n") * F.col("s"))).alias("eta2"))
-    ordered = eta.agg(F.array_sort(F.collect_list("eta2")).alias("e"))
-    return ordered.select(F.element_at("e", int(0.025 * resamples) + 1).alias("low"), F.element_at("e", int(0.975 * resamples) + 1).alias("high"))
+    counts = rows.where(F.col(value).isNotNull()).select(F.to_json(F.struct(F.col(group).alias("g"))).alias("g"), F.col(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
+    distinct, centre = counts.agg(F.count("*"), F.sum(F.col("v") * F.col("c")) / F.sum("c")).first()
+    depth = max(0, math.ceil(math.log2(max(distinct, 1) / leaf)))
+    leaves = counts.groupBy("g", F.pmod(F.xxhash64("v"), F.lit(1 << depth)).alias("b")).agg(F.sum("c").alias("m"), F.array_sort(F.collect_list(F.struct(F.col("v") - F.lit(centre or 0.0), "c"))).alias("values"))
+    nodes = leaves.select("g", "b", "m", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    nodes = nodes.withColumn("node", F.call_function("shiftright", F.col("b"), F.lit(depth) - F.col("level")))
+    nodes = nodes.withColumn("parent", F.call_function("shiftright", F.col("node"), F.lit(1)))
+    splits = nodes.groupBy("g", "level", "parent").agg(F.sum("m").alias("total"), F.sum(F.when(F.col("node") % 2 == 0, F.col("m")).otherwise(0)).alias("left"))
+    steps = nodes.join(splits, ["g", "level", "parent"]).groupBy("g", "b").agg(F.array_sort(F.collect_list(F.struct("level", "parent", "total", "left", "node"))).alias("path"))
+    drawn = leaves.join(steps, ["g", "b"]).mapInPandas(_draws(resamples, seed), "r int, n double, s double, q double, g string")
+    groups = drawn.groupBy("g", "r").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    whole = groups.groupBy("r").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("q").alias("q"))
+    mean = F.col("s") * F.col("s") / F.col("n")
+    eta = whole.select(F.try_divide(F.col("b") - mean, F.col("q") - mean).alias("eta2"))
+    ordered = eta.agg(F.array_sort(F.collect_list("eta2")).alias("e"))  # as many as there are resamples, a parameter
+    return ordered.select(*(F.try_element_at("e", F.lit(int(share * resamples) + 1)).alias(name) for share, name in ((0.025, "low"), (0.975, "high"))))
+
+
+def _draws(resamples: int, seed: int):
+    """Leaves of bootstrap_eta2 to the count, sum and sum of squares that each resample draws in them, summed over a task's leaves of a group."""
+
+    def of_leaf(g, b, values, path):
+        key = zlib.crc32(g.encode())
+        v, c = np.array([x[0] for x in values]), np.array([x[1] for x in values], dtype="int64")
+        k = np.full(resamples, path[0]["total"], dtype="int64")  # level 0 is the root: all draws of the group
+        for step in path[1:]:
+            left = np.random.default_rng([seed, key, step["level"], step["parent"]]).binomial(k, step["left"] / step["total"])
+            k = k - left if step["node"] % 2 else left
+        rng, at_once = np.random.default_rng([seed, key, len(path), b]), max(1, (1 << 21) // len(v))
+        parts = []
+        for i in range(0, resamples, at_once):
+            w = rng.multinomial(k[i : i + at_once], c / c.sum())
+            parts.append(np.stack([w.sum(axis=1), w @ v, w @ (v * v)]))
+        return np.concatenate(parts, axis=1)
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+
+        def out():
+            for g, x in sums.items():
+                yield pd.DataFrame({"r": np.arange(resamples, dtype="int32"), "n": x[0], "s": x[1], "q": x[2], "g": g})
+            sums.clear()
+
+        for batch in batches:
+            for g, b, values, path in zip(batch["g"], batch["b"], batch["values"], batch["path"], strict=True):
+                sums[g] = sums.get(g, 0) + of_leaf(g, int(b), [tuple(x.values()) for x in values], path)
+                if len(sums) >= 32:
+                    yield from out()
+        yield from out()
+
+    return run
+
+
+def counted_before(rows: DataFrame, order: str, count: str, parts: int = 64) -> DataFrame:
+    """Rows with `before`, the sum of `count` over all rows of a smaller `order`, which must be distinct; no task sees more than a range of them.
+
+    The ranges are cut at keys that a hash picks (4,096 at most go to the driver); they only share out the work.
+    """
+    picked = sorted(r[0] for r in rows.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(4096).collect())
+    bounds = sorted({picked[len(picked) * i // parts] for i in range(1, parts)}) if picked else []
+    part = reduce(lambda total, at: total + (F.col(order) > F.lit(at)).cast("int"), bounds, F.lit(0))
+    dealt = rows.withColumn("_part", part)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = dealt.groupBy("_part").agg(F.sum(count).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.sum(count).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.join(F.broadcast(starts), "_part").withColumn("before", F.col("_start") + F.coalesce(inside, F.lit(0))).drop("_part", "_start")
+
+
+def wilcoxon(rows: DataFrame, delta: Column) -> DataFrame:
+    """Signed-rank test of differences from 0: n without zeros, the rank sums of either sign, and z by the normal law, corrected for ties."""
+    sizes = rows.select(delta.cast("double").alias("d")).where("d IS NOT NULL AND d <> 0").groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
+    rank = F.col("before") + (F.col("c") + 1) / 2
+    c = F.col("c").cast("double")
+    sums = counted_before(sizes, "a", "c").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("up") * rank).alias("plus"), F.sum((F.col("c") - F.col("up")) * rank).alias("minus"), F.sum(c * c * c - c).alias("ties"))
+    n = F.col("n").cast("double")
+    z = F.try_divide(F.least("plus", "minus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+    return sums.select("n", "plus", "minus", z.alias("z"))
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p of a t statistic, by F with one degree of freedom between."""
+    return f_tail(t * t, F.lit(1.0), df)
+
+
+def spread_of_pairs(pairs: DataFrame, value: str = "rho") -> DataFrame:
+    """Least, greatest and mean correlation of the pairs that have one."""
+    return pairs.agg(F.count(value).alias("pairs"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
 
 
 def within_tolerance(got: Column, wanted: Column, tolerance: float) -> Column:

@@ -43,11 +43,31 @@ def t12_ttest(read):
     return stats.paired_t(relations.paired_delta(means(read), ["user_id"], "event_type", "view", "click", "v"), F.col("delta"))
 
 
-@query(f"""WITH {MEANS}, b AS (SELECT x.event_type AS a, y.event_type AS b, x.v AS x, y.v AS y FROM m x JOIN m y ON x.user_id = y.user_id AND x.event_type < y.event_type),
-r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM b)
-SELECT a, b, round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) AS rho, count(*) AS n FROM r GROUP BY ALL""")
+EVERY = "m AS (SELECT user_id, event_type, avg(value) AS v FROM events WHERE event_type IS NOT NULL GROUP BY ALL)"
+RHO = f"""{EVERY}, b AS (SELECT x.event_type AS a, y.event_type AS b, x.v AS x, y.v AS y FROM m x JOIN m y ON x.user_id = y.user_id AND x.event_type < y.event_type),
+r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM b),
+rho AS (SELECT a, b, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM r GROUP BY ALL)"""
+
+
+def every_mean(read):
+    return read("events").where(F.col("event_type").isNotNull()).groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
+
+
+@query(f"WITH {RHO} SELECT a, b, round(rho, 6) AS rho, n FROM rho")
 def t13_spearman(read):
-    return stats.spearman(means(read), "user_id", "event_type", "v")
+    return stats.spearman(every_mean(read), "user_id", "event_type", "v")
+
+
+@query(f"WITH {RHO} SELECT count(rho) AS pairs, round(min(rho), 6) AS least, round(max(rho), 6) AS most, round(avg(rho), 6) AS mean FROM rho")
+def t13_summary(read):
+    return stats.spread_of_pairs(stats.spearman(every_mean(read), "user_id", "event_type", "v"))
+
+
+@query("""WITH d AS (SELECT l_discount - l_tax AS d FROM lineitem), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY abs(d)) AS c FROM d WHERE d <> 0),
+s AS (SELECT count(*)::DOUBLE AS n, sum(r) FILTER (d > 0)::DOUBLE AS p, sum(r) FILTER (d < 0)::DOUBLE AS m, sum(c * c - 1)::DOUBLE AS t FROM r)
+SELECT n::BIGINT AS n, p AS plus, m AS minus, round((least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) AS z FROM s""")
+def t18_wilcoxon(read):
+    return stats.wilcoxon(read("lineitem"), F.col("l_discount") - F.col("l_tax"))
 
 
 @query("""WITH d AS (SELECT l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey) AS dx, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS dy FROM lineitem)
@@ -74,11 +94,9 @@ def t04_f_sf(read):
 
 @query()
 def t05_chi2_sf(read):
-    every = read("events").where(F.col("event_type").isNotNull()).groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
-    return stats.friedman(every, "user_id", "event_type", "v", read("events").agg(F.count_distinct("event_type")).first()[0], ties=True).withColumn("p", stats.chi2_tail(F.col("statistic"), F.col("df")))
+    return stats.friedman(every_mean(read), "user_id", "event_type", "v", read("events").agg(F.count_distinct("event_type")).first()[0], ties=True).withColumn("p", stats.chi2_tail(F.col("statistic"), F.col("df")))
 
 
 @query()
 def t14_bootstrap(read):
-    few = read("customer").select("c_mktsegment", "c_acctbal")
-    return stats.bootstrap_eta2(few, "c_mktsegment", "c_acctbal", resamples=200)
+    return stats.bootstrap_eta2(read("events"), "event_type", "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import presence
 from tallyloom.functions.normalize import norm_bench
 from tallyloom.functions.textmeta import interaction
-from tallyloom.operators import collisions, coverage, records, relations
+from tallyloom.operators import collisions, coverage, effects, records, relations
 from tallyloom.plans import query
 
 LABELLED = "documents d LEFT JOIN labels l USING (doc_id)"
@@ -120,42 +120,54 @@ def g15_stats(read):
 
 @query("WITH a AS (SELECT event_type, user_id, max(value) - min(value) AS spread FROM events GROUP BY event_type, user_id) SELECT event_type, count(*) AS n, round(avg(spread), 6) AS mean, round(max(spread), 6) AS most FROM a GROUP BY event_type")
 def g16_range(read):
-    spread = read("events").groupBy("event_type", "user_id").agg((F.max("value") - F.min("value")).alias("spread"))
-    return spread.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("spread").alias("mean"), F.max("spread").alias("most"))
+    return effects.spread_summary(read("events"), ["event_type", "user_id"], ["event_type"], "value")
 
 
 @query("WITH a AS (SELECT l_returnflag, l_linestatus, l_suppkey, max(l_quantity) - min(l_quantity) AS d FROM lineitem GROUP BY ALL HAVING count(*) >= 2) SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(d), 6) AS mean FROM a GROUP BY ALL")
 def g17_axis(read):
-    a = read("lineitem").groupBy("l_returnflag", "l_linestatus", "l_suppkey").agg((F.max("l_quantity") - F.min("l_quantity")).alias("d"), F.count("*").alias("k")).where("k >= 2")
-    return a.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
+    return effects.spread_summary(read("lineitem"), ["l_returnflag", "l_linestatus", "l_suppkey"], ["l_returnflag", "l_linestatus"], "l_quantity", least=2).drop("most")
 
 
 LAST = "l AS (SELECT user_id, event_type, arg_max(value, event_id) AS v FROM events GROUP BY ALL)"
 
 
-@query(f"WITH {LAST} SELECT a.event_type AS a, b.event_type AS b, count(*) AS n, round(avg(abs(a.v - b.v)), 6) AS mean FROM l a JOIN l b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL")
+@query(f"WITH {LAST} SELECT a.user_id % 7 AS part, count(*) AS n, round(avg(abs(a.v - b.v)), 6) AS mean FROM l a JOIN l b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL")
+def g18_any(read):
+    parts = read("events").withColumn("part", F.col("user_id") % 7)
+    return effects.mismatch_any(parts, ["part", "user_id"], "event_type", "event_id", "value", ["part"])
+
+
+@query(f"WITH {LAST} SELECT a.user_id % 7 AS part, count(*) AS n, round(avg(abs(a.v - b.v)), 6) AS mean FROM l a JOIN l b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' GROUP BY ALL")
 def g18_mismatch(read):
-    last = relations.last_values(read("events"), ["user_id", "event_type"], "event_id", ["value"])
-    a, b = last.select("user_id", F.col("event_type").alias("a"), F.col("value").alias("x")), last.select("user_id", F.col("event_type").alias("b"), F.col("value").alias("y"))
-    return a.join(b, "user_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean"))
+    parts = read("events").withColumn("part", F.col("user_id") % 7)
+    return effects.mismatch(parts, ["part", "user_id"], "event_type", "event_id", "value", "view", "click", ["part"])
+
+
+@query("""WITH t AS (SELECT lower(r_name) AS p, r_regionkey AS v FROM region UNION ALL SELECT lower(n_name), 100 + n_nationkey FROM nation),
+n AS (SELECT n_nationkey, 'x-' || lower(n_name) AS name FROM nation UNION ALL SELECT 100 + r_regionkey, 'y' || lower(r_name) FROM region UNION ALL SELECT 200 + r_regionkey, r_name || '/z' FROM region),
+m AS (SELECT n_nationkey, name, v, row_number() OVER (PARTITION BY n_nationkey ORDER BY length(p) DESC, p, v) AS i FROM n JOIN t ON starts_with(lower(name), p) OR contains(lower(name), '-' || p) OR contains(lower(name), '/' || p))
+SELECT n.n_nationkey::BIGINT AS n_nationkey, n.name, m.v::BIGINT AS v FROM n LEFT JOIN m ON n.n_nationkey = m.n_nationkey AND m.i = 1""")
+def j05_prefix_lookup(read):
+    table = read("region").select(F.lower("r_name").alias("p"), F.col("r_regionkey").cast("long").alias("v")).unionByName(read("nation").select(F.lower("n_name").alias("p"), (100 + F.col("n_nationkey")).cast("long").alias("v")))
+    key = lambda c, plus: (F.col(c) + plus).cast("long").alias("n_nationkey")
+    names = read("nation").select(key("n_nationkey", 0), F.concat(F.lit("x-"), F.lower("n_name")).alias("name"))
+    names = names.unionByName(read("region").select(key("r_regionkey", 100), F.concat(F.lit("y"), F.lower("r_name")).alias("name"))).unionByName(read("region").select(key("r_regionkey", 200), F.concat("r_name", F.lit("/z")).alias("name")))
+    return effects.longest_within(names, "name", table, "p", "v")
 
 
 @query(f"WITH {LAST}, p AS (SELECT user_id, max(v) FILTER (event_type = 'view') AS a, max(v) FILTER (event_type = 'click') AS b FROM l GROUP BY user_id) SELECT count(*) AS n, round(max(abs(a - b)), 6) AS gap FROM p WHERE a IS NOT NULL AND b IS NOT NULL")
 def g19_mode_gap(read):
-    last = relations.last_values(read("events"), ["user_id", "event_type"], "event_id", ["value"])
-    return relations.paired_delta(last, ["user_id"], "event_type", "view", "click", "value").agg(F.count("*").alias("n"), F.max(F.abs("delta")).alias("gap"))
+    return effects.mode_gap(read("events"), "user_id", "event_type", "view", "click", "value", "event_id")
 
 
 @query("WITH m AS (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) AS m FROM customer GROUP BY ALL) SELECT c_nationkey, count(*) AS judges, round(max(m) - min(m), 6) AS spread FROM m GROUP BY ALL")
 def g21_spread(read):
-    m = read("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("m"))
-    return m.groupBy("c_nationkey").agg(F.count("*").alias("judges"), (F.max("m") - F.min("m")).alias("spread"))
+    return effects.judge_spread(read("customer"), "c_mktsegment", ["c_nationkey"], "c_acctbal")
 
 
 @query("SELECT c_nationkey, round(avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 6) AS building, round(avg(c_acctbal) FILTER (c_mktsegment = 'MACHINERY'), 6) AS machinery FROM customer GROUP BY c_nationkey")
 def g23_category_pivot(read):
-    wide = read("customer").groupBy("c_nationkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).agg(F.avg("c_acctbal"))
-    return wide.select("c_nationkey", F.col("BUILDING").alias("building"), F.col("MACHINERY").alias("machinery"))
+    return effects.category_means(read("customer"), "c_nationkey", "c_mktsegment", {"BUILDING": "building", "MACHINERY": "machinery"}, "c_acctbal").drop("overall")
 
 
 @query("WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, c_nationkey) AS rank FROM c) WHERE rank <= 5")
@@ -195,8 +207,7 @@ def g35_instance_rollup(read):
 
 @query("WITH c AS (SELECT event_type, user_id, max(value) - min(value) AS s FROM events GROUP BY ALL) SELECT event_type, round(avg(s), 6) AS mean, round(median(s), 6) AS median, round(max(s), 6) AS most FROM c GROUP BY ALL")
 def g36_seed_spread(read):
-    c = read("events").groupBy("event_type", "user_id").agg((F.max("value") - F.min("value")).alias("s"))
-    return c.groupBy("event_type").agg(F.avg("s").alias("mean"), F.median("s").alias("median"), F.max("s").alias("most"))
+    return effects.spread_summary(read("events"), ["event_type", "user_id"], ["event_type"], "value", median=True).drop("n")
 
 
 @query("SELECT lang, sum(n_chars)::BIGINT AS prompt, sum(length(text))::BIGINT AS completion, nullif(sum(length(text)) - sum(n_chars), 0)::BIGINT AS reasoning FROM documents GROUP BY ALL")

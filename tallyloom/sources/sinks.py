@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyloom.functions.normalize import path_safe
@@ -14,17 +14,25 @@ def wide_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def coverage_json(coverage: DataFrame, path: str) -> None:
+    """A coverage table as JSON beside the CSV; one row a source or in all, so one file."""
+    coverage.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def record_tree(records: DataFrame, path: str) -> None:
     """JSON records in folders by developer and model."""
     names = {"developer_dir": path_safe(F.coalesce("model_info.developer", F.lit("unknown"))), "model_dir": path_safe(F.coalesce("model_info.name", F.lit("unknown")))}
     records.withColumns(names).write.mode("overwrite").partitionBy(*names).json(path)
 
 
-def valid_only(records: DataFrame, valid: Column, path: str, rejected: str) -> None:
-    """Valid records to one folder, the others to another."""
-    ok = F.coalesce(valid, F.lit(False))
-    records.where(ok).write.mode("overwrite").json(path)
-    records.where(~ok).write.mode("overwrite").json(rejected)
+def valid_only(records: DataFrame, valid: Column, path: str, rejected: str) -> dict[str, int]:
+    """Valid records to one folder, the others to another; how many went to each."""
+    ok, counts = F.coalesce(valid, F.lit(False)), {}
+    for name, rows, to in (("written", records.where(ok), path), ("rejected", records.where(~ok), rejected)):
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(to)
+        counts[name] = seen.get["n"]
+    return counts
 
 
 def append_new(rows: DataFrame, path: str, key: list[str]) -> None:

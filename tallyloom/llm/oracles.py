@@ -53,4 +53,23 @@ scored AS (
     FROM usable q JOIN usable c ON q.r <> c.r AND q.dim = c.dim WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    # every prefix of every rebuilt conversation as a list of turns; subtrees by joining nodes with their own prefixes
+    "op11_trie": r"""
+WITH own AS (
+    SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+    SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: xor(b >> 1, CASE WHEN b % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h FROM own),
+rebuilt AS (SELECT o.c, list_concat(coalesce(s.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns FROM heads o LEFT JOIN own s ON s.c = o.c - o.c % 100),
+depths AS (SELECT c, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt),
+prefixes AS (SELECT c, depth, turns[1:depth] AS path, len(turns) = depth AS ended, CASE WHEN depth = 0 THEN 0 ELSE length(turns[depth].text) END AS size FROM depths),
+nodes AS (
+    SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ended), '') AS ends, (count(*) - 1) * any_value(size) AS saved
+    FROM prefixes GROUP BY path, depth),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+above AS (SELECT path[1:up] AS path, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM (SELECT *, unnest(range(depth + 1)) AS up FROM known) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, a.leaves AS n_leaves, a.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM known n JOIN above a USING (path) LEFT JOIN known p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]""",
 }

@@ -88,4 +88,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substrings, op3_line_dedup, op4_near_copies, op5_toxicity, op6_bpe, op7_quality, op8_lm, op9_topk, op10_packing)}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import prefix_trie
+
+    c = F.col("conv_id")
+    nodes = prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), borrowed=(c - c % 100, F.crc32(c.cast("string")) % 6, 5))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substrings, op3_line_dedup, op4_near_copies, op5_toxicity, op6_bpe, op7_quality, op8_lm, op9_topk, op10_packing, op11_trie)}

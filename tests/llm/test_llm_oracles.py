@@ -16,7 +16,7 @@ def test_oracle(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = QUERIES[name](spark, DIR)
     columns = sorted(df.columns)

@@ -96,4 +96,10 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substrings, op3_line_dedup, op4_near_copies, op5_toxicity, op6_bpe, op7_quality, op8_lm, op9_topk, op10_packing, op11_trie)}
+def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import interactions
+
+    return interactions.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substrings, op3_line_dedup, op4_near_copies, op5_toxicity, op6_bpe, op7_quality, op8_lm, op9_topk, op10_packing, op11_trie, op12_interactions)}

@@ -32,8 +32,8 @@ def _child(parent: bytes, key: bytes) -> bytes:
 class NodeTable:
     """Nodes of the conversations that a task has walked so far, with the members and the ends of each."""
 
-    def __init__(self, part: int) -> None:
-        self.part, self.nodes, self.held = part, {}, 0
+    def __init__(self, part: int, longest: int) -> None:
+        self.part, self.longest, self.nodes, self.held = part, longest, {}, 0
 
     def add(self, node: bytes, parent: bytes | None, depth: int, size: int, conv: int, members: int = 1) -> list:
         entry = self.nodes.get(node)
@@ -51,8 +51,8 @@ class NodeTable:
     def rows(self):
         for node, (parent, depth, size, conv, members, ends) in self.nodes.items():
             ends.sort()
-            for at in range(0, max(1, len(ends)), ENDS):
-                piece = ends[at : at + ENDS]
+            for at in range(0, max(1, len(ends)), self.longest):
+                piece = ends[at : at + self.longest]
                 yield node, parent, depth, size, conv, 0 if at else members, self.part, piece[0] if piece else None, piece
         self.nodes, self.held = {}, 0
 
@@ -86,11 +86,11 @@ def _rows(batches):
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _walk(rows, longest: int):
+def _walk(rows, longest: int, most: int, list_of: int):
     """Walk the turns of a partition, conversation by conversation, the source of borrowed turns before those that borrow from it."""
     from pyspark import TaskContext
 
-    table = NodeTable(TaskContext.get().partitionId())
+    table = NodeTable(TaskContext.get().partitionId(), list_of)
     source = conv = None
     heads: list[tuple[bytes, int]] = []
     at, own, skip, late = None, 0, 0, None  # at: node, parent, depth, size
@@ -121,7 +121,7 @@ def _walk(rows, longest: int):
                 close(c if src == source else None)
             if src != source:
                 source, heads = src, []
-            if table.held >= TABLE:
+            if table.held >= most:
                 yield from table.rows()
             conv, at, own, skip = c, begin(c), 0, 0 if c == src else take
             for head_key, head_size in heads[:skip]:
@@ -131,14 +131,14 @@ def _walk(rows, longest: int):
         if own >= skip:
             at = step(c, at, key, size)
         own += 1
-        if table.held >= 2 * TABLE:  # within one conversation of very many turns
+        if table.held >= 2 * most:  # within one conversation of very many turns
             yield from table.rows()
     if conv is not None:
         close()
     yield from table.rows()
 
 
-def _merged(rows, last: bool):
+def _merged(rows, last: bool, list_of: int = ENDS):
     """Add up the rows of each node, which come together and by first_end; the last merge digests the end list as it streams by."""
 
     def digested(node, parent, depth, size, conv, members, n, digest):
@@ -157,7 +157,7 @@ def _merged(rows, last: bool):
                 digest.update((("," if n else "") + ",".join(map(str, ends))).encode())
                 n += len(ends)
             continue
-        if held and len(held) + len(ends) > ENDS:
+        if held and len(held) + len(ends) > list_of:
             yield *node, group, held[0], held
             node[5], held = 0, []
         held = held + ends
@@ -165,7 +165,7 @@ def _merged(rows, last: bool):
         yield digested(*node, n, digest) if last else (*node, group, held[0] if held else None, held)
 
 
-def merge(tables: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
+def merge(tables: DataFrame, parts: int, fan: int = FAN, list_of: int = ENDS) -> DataFrame:
     """One row a node from partial tables of `parts` partitions: rounds of merges, each adding up `fan` neighbouring tables of a node.
 
     A node that every partition has (the root) thus never brings more than about fan rows to one task. Partitions lie in
@@ -174,22 +174,22 @@ def merge(tables: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
     while parts > fan:
         parts = -(-parts // fan)
         tables = tables.withColumn("part", F.expr(f"part div {fan}").cast("int")).repartition("node", "part").sortWithinPartitions("node", "part", "first_end")
-        tables = _streamed(tables, _grouped, _PARTIAL)
+        tables = _streamed(tables, lambda rows: _grouped(rows, list_of), _PARTIAL)
     tables = tables.repartition("node").sortWithinPartitions("node", "first_end")
     return _streamed(tables, lambda rows: _merged(rows, True), _WHOLE)
 
 
-def _grouped(rows):
+def _grouped(rows, list_of: int):
     """The rows of a task, merged for each node and group of tables."""
     from itertools import groupby
 
     for _, own in groupby(rows, key=lambda r: (r[0], r[6])):
-        yield from _merged(own, False)
+        yield from _merged(own, False, list_of)
 
 
 def node_tables(
     conversations: DataFrame, id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text",
-    borrowed: tuple[Column, Column, int] | None = None,
+    borrowed: tuple[Column, Column, int] | None = None, table: int = TABLE, list_of: int = ENDS,
 ) -> DataFrame:
     """Partial node tables of all conversations, a row a node and task (more where a table or an end list was full).
 
@@ -202,12 +202,12 @@ def node_tables(
     key = F.unhex(F.substring(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256), 1, 32))
     turns = conversations.where(own.isNotNull()).select(source.cast("long").alias("_source"), own.alias("_conv"), take.cast("int").alias("_take"), F.col(turn_column).alias("_turn"), role.alias("_role"), key.alias("_key"), F.length(text).cast("long").alias("_size"))
     ordered = turns.repartitionByRange("_source").sortWithinPartitions("_source", F.col("_conv") != F.col("_source"), "_conv", F.col("_turn").asc_nulls_first(), "_role", "_key")
-    return _streamed(ordered.select("_source", "_conv", "_take", "_key", "_size"), lambda rows: _walk(rows, longest), _PARTIAL)
+    return _streamed(ordered.select("_source", "_conv", "_take", "_key", "_size"), lambda rows: _walk(rows, longest, table, list_of), _PARTIAL)
 
 
 def prefix_trie(
     conversations: DataFrame, id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text",
-    borrowed: tuple[Column, Column, int] | None = None, fan: int = FAN,
+    borrowed: tuple[Column, Column, int] | None = None, fan: int = FAN, table: int = TABLE, list_of: int = ENDS,
 ) -> DataFrame:
     """The nodes of the trie of all conversations, a row each, with sums over subtrees.
 
@@ -222,8 +222,8 @@ def prefix_trie(
     within a chain by a window, between chains in doubling steps, as many as the log of how deep chains hang on chains.
     """
     spark = conversations.sparkSession
-    tables = node_tables(conversations, id_column, turn_column, role_column, text_column, borrowed)
-    nodes = staged(merge(tables, partitions_for(spark), fan), "trie-nodes").withColumn("saved", (F.col("n_convs") - 1) * F.col("size"))
+    tables = node_tables(conversations, id_column, turn_column, role_column, text_column, borrowed, table, list_of)
+    nodes = staged(merge(tables, partitions_for(spark), fan, list_of), "trie-nodes").withColumn("saved", (F.col("n_convs") - 1) * F.col("size"))
     chains = nodes.groupBy("conv_id").agg(F.min_by("parent", "depth").alias("above"), F.min("depth").alias("top"), F.max("depth").alias("bottom"), F.sum("saved").alias("saved"))
     hung = staged(chains.join(nodes.select(F.col("node").alias("above"), F.col("conv_id").alias("up"), F.col("depth").alias("at")), "above", "left").drop("above"), "trie-chains")
     forks = hung.where("up IS NOT NULL").select(F.col("up").alias("conv_id"), F.col("at").alias("bottom")).distinct().withColumn("forked", F.lit(True))

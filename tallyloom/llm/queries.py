@@ -102,4 +102,13 @@ def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substrings, op3_line_dedup, op4_near_copies, op5_toxicity, op6_bpe, op7_quality, op8_lm, op9_topk, op10_packing, op11_trie, op12_interactions)}
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import langid
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = langid.train(docs, ~held_out)
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substrings, op3_line_dedup, op4_near_copies, op5_toxicity, op6_bpe, op7_quality, op8_lm, op9_topk, op10_packing, op11_trie, op12_interactions, op13_langid)}

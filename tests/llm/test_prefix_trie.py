@@ -37,9 +37,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def ours(df, fan=t.FAN):
+def ours(df, **sizes):
     c = F.col("conv_id")
-    nodes = t.prefix_trie(df, borrowed=(c - c % 100, F.crc32(c.cast("string")) % 6, 5), fan=fan)
+    nodes = t.prefix_trie(df, borrowed=(c - c % 100, F.crc32(c.cast("string")) % 6, 5), **sizes)
     return sorted((tuple(r) for r in nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved", "ends_sha256").collect()), key=str)
 
 
@@ -55,15 +55,13 @@ def made(seed, convs, most):
 
 
 @pytest.mark.parametrize("fan,table,ends", [(64, 50_000, 4096), (2, 40, 3), (2, 1, 1)])
-def test_against_brute_force(spark, monkeypatch, fan, table, ends):
-    monkeypatch.setattr(t, "TABLE", table)
-    monkeypatch.setattr(t, "ENDS", ends)
+def test_against_brute_force(spark, fan, table, ends):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
         rows = made(1, [*range(-140, -90), *range(-20, 30), *range(95, 130), 201, 250, 300], 9) + [(None, 0, "u", "a", 1, "x", "y")]
         rows += rows[:30]  # repeated rows are turns of their own
-        assert ours(spark.createDataFrame(rows, SCHEMA).repartition(5), fan) == brute(rows)
+        assert ours(spark.createDataFrame(rows, SCHEMA).repartition(5), fan=fan, table=table, list_of=ends) == brute(rows)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.quantiles import beside, exact_median, held
+
 from tallyloom.functions.normalize import severity, to_fraction
 
 
@@ -42,7 +44,9 @@ def gap_groups(gaps: DataFrame, by: list[str], least: int = 2) -> DataFrame:
 
 def gap_summary(gaps: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Number, positive ones and median of the gaps."""
-    return gaps.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_if(F.col("gap") > 0).alias("positive"), F.median("gap").alias("median"))
+    given = held(gaps.select(*(by or []), "gap"))
+    counts = given.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_if(F.col("gap") > 0).alias("positive"))
+    return beside(counts, exact_median(given, by or [], "gap"), by or [])
 
 
 def conflicts(rows: DataFrame, key: list[str], row: str, source: str, score: str, least: Column, most: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import relations
+from tallyloom.operators.quantiles import beside, exact_median, held
 from tallyloom.operators.stats import py_round
 
 
@@ -17,8 +18,10 @@ def spreads(rows: DataFrame, cell: list[str], value: str, least: int = 1) -> Dat
 
 def spread_summary(rows: DataFrame, cell: list[str], by: list[str], value: str, least: int = 1, median: bool = False) -> DataFrame:
     """Number, mean and greatest of the cells' spreads, and their exact median if asked for."""
-    measures = [F.count("*").alias("n"), F.avg("spread").alias("mean"), F.max("spread").alias("most")] + ([F.median("spread").alias("median")] if median else [])
-    return spreads(rows, cell, value, least).groupBy(*by).agg(*measures)
+    found = spreads(rows, cell, value, least)
+    given = held(found) if median else found
+    summed = given.groupBy(*by).agg(F.count("*").alias("n"), F.avg("spread").alias("mean"), F.max("spread").alias("most"))
+    return beside(summed, exact_median(given, by, "spread"), by) if median else summed
 
 
 def mismatch(rows: DataFrame, others: list[str], factor: str, order: str, value: str, a, b, by: list[str]) -> DataFrame:

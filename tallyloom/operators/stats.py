@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.tails import chi2_tail, f_tail, t_tail  # noqa: F401
+
 
 def average_rank(value: str, block: str) -> Column:
     """Ranks within a block, ties sharing their mean."""
@@ -61,8 +63,8 @@ def repeated_measures(rows: DataFrame, subject: str, treatment: str, value: str,
     """Repeated-measures ANOVA over subjects with all k treatments, the last value of each cell being given."""
     full = rows.withColumn("_k", F.count("*").over(Window.partitionBy(subject))).where(F.col("_k") == k)
     cells = full.select(
-        subject, treatment, F.col(value).cast("double").alias("x"), F.avg(value).over(Window.partitionBy(subject)).alias("s"), F.avg(value).over(Window.partitionBy(treatment)).alias("t")
-    )
+        subject, treatment, F.col(value).cast("double").alias("x"), F.avg(value).over(Window.partitionBy(subject)).alias("s")
+    ).join(F.broadcast(full.groupBy(treatment).agg(F.avg(value).alias("t"))), treatment)  # k rows, as blocks are complete
     whole = full.agg(F.avg(value).alias("g"), F.count("*").alias("cells"))
     d = lambda c: F.pow(c, F.lit(2))
     parts = cells.crossJoin(F.broadcast(whole)).agg(  # whole is one row
@@ -182,11 +184,6 @@ def wilcoxon(rows: DataFrame, delta: Column) -> DataFrame:
     return sums.select("n", "plus", "minus", z.alias("z"))
 
 
-def t_tail(t: Column, df: Column) -> Column:
-    """Two-sided p of a t statistic, by F with one degree of freedom between."""
-    return f_tail(t * t, F.lit(1.0), df)
-
-
 def spread_of_pairs(pairs: DataFrame, value: str = "rho") -> DataFrame:
     """Least, greatest and mean correlation of the pairs that have one."""
     return pairs.agg(F.count(value).alias("pairs"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
@@ -197,64 +194,6 @@ def within_tolerance(got: Column, wanted: Column, tolerance: float) -> Column:
     return F.when(F.abs(got - wanted) <= tolerance, "PASS").otherwise("FAIL")
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, c = 1e-300, 1.0
-    d = 1.0 / (lambda z: z if abs(z) > tiny else tiny)(1.0 - (a + b) * x / (a + 1.0))
-    h = d
-    for m in range(1, 400):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + top * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + top / c
-            c = c if abs(c) > tiny else tiny
-            h *= c * d
-        if abs(c * d - 1.0) < 1e-14:
-            break
-    return h
-
-
-def f_tail_value(f: float, d1: float, d2: float) -> float:
-    """Probability that F with d1 and d2 degrees of freedom exceeds f."""
-    if f != f or f <= 0:
-        return 1.0 if f == f else float("nan")
-    if math.isinf(f):
-        return 0.0
-    x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def chi2_tail_value(x: float, k: float) -> float:
-    """Probability that chi squared with k (a whole number) degrees of freedom exceeds x.
-
-    Two degrees more add one Poisson-like term, so the tail is that of one or two degrees, which have closed forms, and a sum.
-    """
-    if x <= 0:
-        return 1.0
-    half, odd = x / 2, int(k) % 2
-    tail = math.erfc(math.sqrt(half)) if odd else 0.0
-    return min(1.0, tail + math.fsum(math.exp(j * math.log(half) - half - math.lgamma(j + 1)) for j in (i + odd / 2 for i in range(int(k) // 2))))
-
-
-def f_tail(f: Column, d1: Column, d2: Column) -> Column:
-    """T04 as a column: Spark has neither lgamma nor the incomplete beta function."""
-    @F.pandas_udf("double")
-    def tail(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([f_tail_value(*v) if None not in v else None for v in zip(a, b, c, strict=True)], dtype="float64")
-
-    return tail(f.cast("double"), d1.cast("double"), d2.cast("double"))
-
-
-def chi2_tail(x: Column, k: Column) -> Column:
-    """T05 as a column."""
-    @F.pandas_udf("double")
-    def tail(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([chi2_tail_value(*v) for v in zip(a, b, strict=True)], dtype="float64")
-
-    return tail(x.cast("double"), k.cast("double"))
-
-
 def py_round(value: Column, digits: int) -> Column:
     """rounding as Python does it, exact binary half to even."""
     @F.pandas_udf("double")

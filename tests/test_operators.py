@@ -54,11 +54,19 @@ def test_anova(spark):
     assert math.isinf(stats.one_way(flat_within, "g", "v").first()["f"])
 
 
-def test_tails():
-    assert stats.f_tail_value(3.2, 2, 9) == pytest.approx((9 / 15.4) ** 4.5, rel=1e-9)
-    assert stats.chi2_tail_value(7.3, 2) == pytest.approx(math.exp(-3.65), rel=1e-9)
-    assert stats.f_tail_value(math.inf, 2, 9) == 0.0 and stats.chi2_tail_value(0, 3) == 1.0
-    assert stats.f_tail_value(13.0032, 2, 69) == pytest.approx(1.614e-05, rel=1e-3)
+def test_tails(spark):
+    """Against closed forms: two degrees between, Student's law with one and two, even and odd degrees of chi squared."""
+    inf = math.inf
+    f = [(x, 2.0, d2, (d2 / (d2 + 2 * x)) ** (d2 / 2)) for x in (0.001, 0.5, 3.2, 40.0) for d2 in (1.0, 9.0, 500.0, 99_995.0)]
+    f += [(t * t, 1.0, 1.0, 1 - 2 * math.atan(t) / math.pi) for t in (0.01, 1.0, 30.0)] + [(t * t, 1.0, 2.0, 1 - t / math.sqrt(2 + t * t)) for t in (0.01, 1.0, 30.0)] + [(inf, 2.0, 9.0, 0.0), (0.0, 3.0, 4.0, 1.0), (-1.0, 3.0, 4.0, 1.0), (13.0032, 2.0, 69.0, (69 / (69 + 26.0064)) ** 34.5)]
+    for r in spark.createDataFrame(f, "f double, a double, b double, want double").select("*", stats.f_tail(F.col("f"), F.col("a"), F.col("b")).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["want"], rel=1e-8, abs=1e-13), r
+    poisson = lambda x, k: sum(math.exp(j * math.log(x / 2) - x / 2 - math.lgamma(j + 1)) for j in range(k // 2))
+    c = [(x, float(k), poisson(x, k)) for x in (0.01, 4.0, 7.3, 90.0, 1000.0) for k in (2, 4, 50, 1000)] + [(x, 1.0, math.erfc(math.sqrt(x / 2))) for x in (0.01, 3.84, 50.0)] + [(0.0, 3.0, 1.0), (-2.0, 1.0, 1.0), (inf, 5.0, 0.0)]
+    for r in spark.createDataFrame(c, "x double, k double, want double").select("*", stats.chi2_tail(F.col("x"), F.col("k")).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["want"], rel=1e-7, abs=1e-12), r
+    nothing = spark.createDataFrame([(None, 2.0)], "x double, k double").select(stats.f_tail(F.col("x"), F.col("k"), F.col("k")).alias("f"), stats.chi2_tail(F.col("x"), F.col("k")).alias("c")).first()
+    assert nothing["f"] is None and nothing["c"] is None
 
 
 def test_friedman(spark):

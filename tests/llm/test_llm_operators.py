@@ -225,7 +225,7 @@ def test_quality(docs, none):
     assert quality.cascade(none).count() == 0 and [r["rule"] for r in quality.plan(none)] == list(quality.RULES)
 
 
-@pytest.mark.parametrize(("order", "fan_bits", "lane"), [(3, 8, 5), (4, 1, 256)])
+@pytest.mark.parametrize(("order", "fan_bits", "lane"), [(3, 8, 5), (4, 1, 256), (2, 8, 256), (1, 8, 5)])
 def test_lm(docs, none, monkeypatch, order, fan_bits, lane):
     from tallyloom.llm import lm
 

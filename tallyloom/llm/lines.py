@@ -155,12 +155,14 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     if keep_first:
         own = (F.col("first._id") == F.col("_id")) & (F.col("first._th") == F.col("_th"))
         hits = hits.withColumn("at", F.when(own, F.filter("at", lambda i: i != F.col("first.line"))).otherwise(F.col("at")))
-    dropped = hits.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_at"))
+    # rows alike in id and text bring the same places, which a set holds once
+    dropped = hits.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("_at"))
 
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]).alias("_doc"), *row_key(id_column, text_column))
     whole = text_of(F.col("_doc").getField(text_column))
     parts = F.split(whole, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_at"))
+    # the lines are bound to a variable, so that the text is split once and not for each line that stays
+    without = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_at")), lambda i: p[i]), "\n"))[0]
     done = kept.join(dropped, ["_id", "_th"], "left").withColumns({"_lines": F.size(parts).cast("long"), "_dropped": F.coalesce(F.size("_at"), F.lit(0)).cast("long")})
-    text = F.when(F.col("_dropped") > 0, F.array_join(F.transform(stay, lambda i: parts[i]), "\n")).otherwise(whole)
+    text = F.when(F.col("_dropped") > 0, without).otherwise(whole)
     return done.select(F.col("_doc").withField(f"`{text_column}`", text).alias("_doc"), "_lines", "_dropped").select("_doc.*", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))

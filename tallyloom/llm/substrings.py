@@ -301,7 +301,8 @@ def dedup_substrings(docs: DataFrame, length: int = 200, id_column: str = "doc_i
     `length` bytes goes. Null ids and extra columns do no harm; an empty table gives no rows. Exact but for 64-bit hashes
     of neighbourhoods (128-bit hashes of the windows of very frequent grams), by which equal ones are counted.
     """
-    spans = repeated_windows(docs, length, id_column, text_column).groupBy("_id", "_th").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    # rows alike in id and text bring the same spans, which a set holds once
+    spans = repeated_windows(docs, length, id_column, text_column).groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("_spans"))
     keyed = docs.select(F.col(id_column), *row_key(id_column, text_column), text_of(text_column).alias("text"))
     joined = keyed.join(spans, ["_id", "_th"], "left").select(id_column, "text", "_spans")
 

@@ -8,6 +8,7 @@ of the base patterns always stay; the classifier decides on the looser candidate
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,20 +85,61 @@ N, M = len(LABELERS), len(FEATURES)
 EM_STEPS, FIT_STEPS, RATE = 30, 300, 0.5
 
 
+#: Code points before and after a span that labelers and features look at, and spans that a block of _ends holds.
+BEFORE, AFTER, BLOCK = 24, 2, 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _ends(lengths: Column) -> Column:
+    """Running sums, in blocks: appending to one long array would copy it for every match."""
+    sums = lambda xs, start: F.aggregate(xs, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out")), lambda a: a["out"])
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda i: F.slice(lengths, i * BLOCK + 1, F.lit(BLOCK)))
+    totals = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+    joined = lambda blocks: _let(sums(totals(blocks), F.lit(0)), lambda starts: F.flatten(F.transform(blocks, lambda b, i: sums(b, F.when(i == 0, F.lit(0)).otherwise(F.get(starts, i - 1))))))
+    return F.when(F.size(lengths) > 0, _let(cut, joined)).otherwise(F.array().cast("array<int>"))
+
+
 def _found(text: Column, pattern: str, must: tuple[str, ...], lower: tuple[str, ...] = ()) -> Column:
-    """(s, e, m) of leftmost non-overlapping matches, by code point: each match is taken with the gap before it."""
+    """(s, e, m, b, a) of leftmost non-overlapping matches, by code point: each match is taken with the gap before it.
+
+    b and a are the text just before and after the span. They come from the gaps and matches around it, never from the
+    text by position, which would be read from its start for every match. A match has two signs at least, so the gaps
+    and matches of BEFORE / 2 predecessors hold all that b needs.
+    """
     both = rf"(?s)\G(.*?)({pattern})"  # \G: after the last match, no later start scans the rest again
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(both), 1).alias("g"), F.regexp_extract_all(text, F.lit(both), 2).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
 
-    def step(state, x):
-        s = state["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+    def spans(p: Column) -> Column:
+        tails = F.transform(p, lambda x: F.concat(F.right(x["g"], F.lit(BEFORE)), F.right(x["m"], F.lit(BEFORE))))
+        heads = F.transform(p, lambda x: F.left(F.concat(F.left(x["g"], F.lit(AFTER)), F.left(x["m"], F.lit(AFTER))), F.lit(AFTER)))
+        ends = _ends(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"])))
+        known = F.struct(tails.alias("tails"), heads.alias("heads"), ends.alias("ends"))
+
+        def placed(k: Column) -> Column:
+            last = F.substring(text, F.coalesce(F.try_element_at(k["ends"], F.lit(-1)), F.lit(0)) + 1, F.lit(AFTER))
+
+            def one(rest: Column) -> Column:
+                def span(x: Column, i: Column) -> Column:
+                    first = F.greatest(i - BEFORE // 2, F.lit(0))
+                    earlier = F.array_join(F.slice(k["tails"], first + 1, i - first), "")
+                    before = F.right(F.concat(earlier, F.right(x["g"], F.lit(BEFORE))), F.lit(BEFORE))
+                    end = F.get(k["ends"], i)
+                    return F.struct((end - F.length(x["m"])).alias("s"), end.alias("e"), x["m"].alias("m"), before.alias("b"), F.coalesce(F.get(k["heads"], i + 1), rest).alias("a"))
+
+                return F.transform(p, span)
+
+            return _let(last, one)
+
+        return _let(known, placed)
 
-    out = F.aggregate(pairs, start, step, lambda x: x["out"])
+    out = _let(pairs, spans)
+    none = F.array().cast("array<struct<s:int,e:int,m:string,b:string,a:string>>")
     holds = [F.contains(text, F.lit(m)) for m in must] + [F.contains(F.lower(text), F.lit(m)) for m in lower]
-    return F.when(functools.reduce(lambda a, b: a | b, holds), out).otherwise(start["out"]) if holds else out
+    return F.when(functools.reduce(lambda a, b: a | b, holds), out).otherwise(none) if holds else out
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -112,9 +154,9 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(text: Column, kind: str, x: Column, strict: bool) -> Column:
+def _votes(kind: str, x: Column, strict: bool) -> Column:
     """-1, 0 or 1 of each labeler."""
-    before = F.lower(F.substring(text, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24))))
+    before = F.lower(x["b"])
     digits = F.regexp_replace(x["m"], "[^0-9]", "")
     vote = lambda yes, on, otherwise=0: F.when(yes, F.lit(float(on))).otherwise(F.lit(float(otherwise)))
     return F.array(
@@ -122,15 +164,15 @@ def _votes(text: Column, kind: str, x: Column, strict: bool) -> Column:
         vote(x["m"].rlike(GAZETTEER[kind]), 1),
         vote(before.rlike(CONTEXT[kind]), 1),
         vote(before.rlike(AGAINST), -1),
-        vote(F.substring(text, x["e"] + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]") | before.rlike(r"[\p{L}\p{N}_]$"), -1),
+        vote(x["a"].rlike(r"^[\p{L}\p{N}_]") | before.rlike(r"[\p{L}\p{N}_]$"), -1),
         vote((F.length(digits) >= 7) & digits.rlike(r"^(.)\1*$"), -1),
     )
 
 
-def _features(text: Column, x: Column) -> Column:
+def _features(x: Column) -> Column:
     """0 or 1 of each feature."""
     digits = F.regexp_replace(x["m"], "[^0-9]", "")
-    after = F.substring(text, x["e"] + 1, F.lit(2))
+    after = x["a"]
     found = (
         F.length(x["m"]) >= 10, F.length(x["m"]) >= 20, 2 * F.length(digits) >= F.length(x["m"]), x["m"].rlike(r"[\x20()./_-]"), x["m"].rlike(r"\p{Ll}"), x["m"].rlike(r"\p{Lu}"),
         after.rlike(r"^(?:$|\n|[.,;!?](?:\s|$))"), (F.length(digits) > 0) & (F.size(F.array_distinct(F.split(digits, ""))) <= 3),
@@ -146,7 +188,7 @@ def _candidates(text: Column) -> Column:
         spans = _found(text, pattern, must, lower)
         if strict:
             spans = F.filter(spans, lambda x: _valid(kind, x["m"]))
-        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.lit(strict).alias("base"), _votes(text, kind, x, strict).alias("v"), _features(text, x).alias("x")).cast(shape))
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.lit(strict).alias("base"), _votes(kind, x, strict).alias("v"), _features(x).alias("x")).cast(shape))
 
     sources = [(k, kind, strict, *patterns[kind]) for k, kind in enumerate(KINDS) for patterns, strict in ((BASE, True), (LOOSE, False)) if kind in patterns]
     numeric = F.concat(*(of(*x) for x in sources if not x[4]))

@@ -17,10 +17,16 @@ ORGANISATIONS = {
     "deepseek": "deepseek-ai", "cohere": "CohereForAI", "01.ai": "01-ai", "nvidia": "nvidia", "ai21": "ai21labs", "tii": "tiiuae", "xai": "xai", "lmsys": "lmsys",
     "databricks": "databricks", "bigcode": "bigcode", "eleutherai": "EleutherAI", "mosaicml": "mosaicml", "allenai": "allenai", "together": "togethercomputer",
 }
-# Start of a model's name -> developer (the common families; pass more as a parameter).
+# Start of a model's name -> developer.
 FAMILIES = {
-    "gpt": "openai", "text-davinci": "openai", "text-curie": "openai", "davinci": "openai", "curie": "openai", "o1": "openai", "o3": "openai", "openai": "openai",
-    "chatgpt": "openai", "claude": "anthropic", "gemini": "google", "gemma": "google", "palm": "google", "t5": "google", "ul2": "google", "flan": "google",
+    "gpt": "openai", "text-davinci": "openai", "text-curie": "openai", "davinci": "openai", "curie": "openai", "o1": "openai", "o3": "openai", "openai": "openai", "chatgpt": "openai",
+    "claude": "anthropic", "gemini": "google", "gemma": "google", "palm": "google", "t5": "google", "ul2": "google", "flan": "google", "chinchilla": "google-deepmind", "gopher": "google-deepmind", "sparrow": "google",
+    "codellama": "meta-llama", "llama": "meta-llama", "opt": "meta", "mistral": "mistralai", "mixtral": "mistralai", "open-mistral": "mistralai", "codestral": "mistralai", "mathstral": "mistralai",
+    "qwen": "Qwen", "qwq": "Qwen", "phi": "microsoft", "orca": "microsoft", "wizardlm": "microsoft", "falcon": "tiiuae", "bloom": "bigscience", "pythia": "EleutherAI", "gpt-j": "EleutherAI", "gpt-neox": "EleutherAI",
+    "mpt": "mosaicml", "dbrx": "databricks", "deepseek": "deepseek-ai", "yi": "01-ai", "olmo": "allenai", "tulu": "allenai", "grok": "xai", "alpaca": "stanford", "vicuna": "lmsys",
+    "starcoder": "bigcode", "santacoder": "bigcode", "codegen": "salesforce", "xgen": "salesforce", "command-r": "CohereForAI", "command": "CohereForAI", "aya": "CohereForAI", "jamba": "ai21labs", "jurassic": "ai21labs",
+    "nemotron": "nvidia", "megatron": "nvidia", "solar": "upstage", "exaone": "LGAI-RESEARCH", "chatglm": "THUDM", "glm": "THUDM", "codegeex": "THUDM", "internlm": "internlm", "internvl": "OpenGVLab",
+    "baichuan": "baichuan-inc", "redpajama": "togethercomputer", "palmyra": "Writer", "openhermes": "teknium", "nous-hermes": "NousResearch", "hermes": "NousResearch",
 }
 # Output type of a task -> how it is scored.
 SCORING_MODES = {"loglikelihood": "log-likelihood", "loglikelihood_rolling": "log-likelihood", "multiple_choice": "log-likelihood", "generate_until": "generation"}

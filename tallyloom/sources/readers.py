@@ -20,6 +20,78 @@ def record_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return found.withColumn("file", file).where(~F.col("file").contains("aggregated") & ~F.col("file").rlike("/(samples|naive)/"))
 
 
+def results_before_fault(spark: SparkSession, path: str, array: str = "evaluation_results") -> DataFrame:
+    """Every file's results up to the first that is broken: (file, n, offset, result, head, fault).
+
+    result is the JSON text of one element of the top-level array, n its number from 0, offset its first code point; head
+    is the JSON object of the members read before the array. A file that goes on after its last sound result with
+    something that is no JSON, or has no such array, adds one row without result, where fault says what is wrong and
+    offset where; an empty file has no rows. Files are read by Spark, so any store serves; a record file is small enough to be one value.
+    """
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(path)
+    file = F.col("_metadata.file_path")
+    texts = found.select(file.alias("file"), "value").where(~F.col("file").contains("aggregated") & ~F.col("file").rlike("/(samples|naive)/"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [(name, *row) for name, text in zip(batch["file"], batch["value"], strict=True) for row in _elements(text, array)]
+            yield pd.DataFrame(rows, columns=["file", "n", "offset", "result", "head", "fault"])
+
+    return texts.mapInPandas(run, "file string, n long, offset long, result string, head string, fault string")
+
+
+def _elements(text: str, array: str):
+    """The elements of a top-level array of an object's text, one by one, as (n, offset, result, head, fault)."""
+    decoder, blank = json.JSONDecoder(), " \t\r\n"
+    head: dict = {}
+    at = 0
+
+    def skip(signs: str) -> None:
+        nonlocal at
+        while at < len(text) and text[at] in blank:
+            at += 1
+        if signs:
+            if at >= len(text) or text[at] not in signs:
+                raise ValueError(f"one of {signs} expected")
+            at += 1
+
+    def value():
+        nonlocal at
+        skip("")
+        found, at = decoder.raw_decode(text, at)
+        return found
+
+    try:
+        skip("{")
+        while True:
+            key = value()
+            skip(":")
+            if key == array:
+                break
+            head[key] = value()
+            skip("")
+            if text[at : at + 1] == "}":
+                raise ValueError(f"no {array}")
+            skip(",")
+        skip("[")
+        skip("")
+        n, told = 0, json.dumps(head, ensure_ascii=False)
+        while text[at : at + 1] != "]":
+            skip("")
+            begin, result = at, value()
+            if not isinstance(result, dict):
+                at = begin
+                raise ValueError("no object")
+            yield n, begin, json.dumps(result, ensure_ascii=False), told, None
+            n += 1
+            skip("")
+            if text[at : at + 1] != "]":
+                skip(",")
+        json.loads(text)  # the rest of the file
+    except ValueError as fault:
+        yield None, getattr(fault, "pos", at), None, None, str(fault)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False, missing: list[str] | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped, broken ones left out, and a missing file is an empty frame unless strict. `missing` collects such paths."""
     from pyspark.errors import AnalysisException

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.shared import shared_folder
+
 #: Bins of a histogram; each round divides the range of a wanted value by so much.
 BINS = 4096
 
 
 def held(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; only where it is unset, and on one machine, in one of our own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.schema import let
 from tallyloom.operators.tails import chi2_tail, f_tail, t_tail  # noqa: F401
 
 
@@ -195,9 +197,21 @@ def within_tolerance(got: Column, wanted: Column, tolerance: float) -> Column:
 
 
 def py_round(value: Column, digits: int) -> Column:
-    """rounding as Python does it, exact binary half to even."""
-    @F.pandas_udf("double")
-    def rounded(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: round(x, digits), na_action="ignore")
+    """rounding as Python does it, by the exact binary value, halves to even; digits from 0 to 6.
 
-    return rounded(value.cast("double"))
+    The fraction's 92 bits are taken apart into two whole numbers, so that a half is told from what is next to it. Numbers of 2^53 / 10^digits or more, NaN and infinity stay as they are.
+    """
+    unit, one = 10**digits, F.lit(Decimal(2**92)).cast("decimal(38,0)")
+
+    def fraction_bits(size):
+        high = F.floor((size - F.floor(size)) * 2.0**30)
+        low = ((size - F.floor(size)) * 2.0**30 - high) * 2.0**62
+        return ((high.cast("decimal(12,0)") * F.lit(2**62).cast("decimal(20,0)") + low.cast("bigint").cast("decimal(20,0)")) * F.lit(unit).cast("decimal(7,0)")).cast("decimal(38,0)")
+
+    def nearest(v, parts):
+        steps, twice = F.call_function("div", parts, one), (parts % one) * 2
+        least = F.floor(F.abs(v)) * unit + steps
+        up = (twice > one) | ((twice == one) & (least % 2 == 1))
+        return F.when(F.abs(v) < 2.0**53 / unit, F.signum(v) * (least + up.cast("int")) / unit).otherwise(v)
+
+    return let(value.cast("double"), lambda v: let(fraction_bits(F.when(F.abs(v) < 2.0**53 / unit, F.abs(v)).otherwise(0.0)), lambda parts: nearest(v, parts)))

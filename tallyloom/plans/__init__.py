@@ -35,4 +35,4 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`").cast("long").alias(c) if t == "int" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
-from tallyloom.plans import analyses, converters, evidence, experiments, formats, leaderboards, papers, scalars, statistics, validation  # noqa: E402, F401
+from tallyloom.plans import analyses, converters, evidence, experiments, formats, leaderboards, papers, prose, scalars, statistics, validation  # noqa: E402, F401

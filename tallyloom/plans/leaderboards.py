@@ -36,12 +36,12 @@ al AS (SELECT 'k' || o_custkey AS model, o_orderkey AS pos, (o_orderkey % 90)::D
 al2 AS (SELECT model, arg_max(wr, pos) AS wr, coalesce(arg_max(lc, pos) FILTER (WHERE lc IS NOT NULL), arg_min(wr, pos) FILTER (WHERE lc IS NULL AND weighted)) AS lc FROM al GROUP BY model),
 al3 AS (SELECT model, 'AlpacaEval 2.0' AS benchmark, wr AS v FROM al2 UNION ALL SELECT model, 'AlpacaEval 2.0 LC', lc FROM al2 WHERE lc IS NOT NULL),
 mt AS (SELECT 'e' || user_id AS model, round(avg(value), 2) AS v, count(DISTINCT event_type) FILTER (WHERE event_type IN ('writing', 'math')) AS n FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 'writing' WHEN 'view' THEN 'math' ELSE event_type END AS event_type, value / 7.0 AS value FROM events) GROUP BY user_id)
-SELECT 'evalplus' AS board, organization, model, benchmark, round(CASE WHEN v <= 1 THEN v * 100 ELSE v END, 6) AS score, most, false AS missing, 0::BIGINT AS details FROM ep2 WHERE v IS NOT NULL
+SELECT * REPLACE (most::DOUBLE AS most) FROM (SELECT 'evalplus' AS board, organization, model, benchmark, round(CASE WHEN v <= 1 THEN v * 100 ELSE v END, 6) AS score, most, false AS missing, 0::BIGINT AS details FROM ep2 WHERE v IS NOT NULL
 UNION ALL SELECT 'wildbench', organization, model, benchmark, v, most, false, 0 FROM wb
 UNION ALL SELECT 'swe_bench', '', 's' || s_suppkey, 'SWE-Bench-Verified', CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE (s_nationkey + 1) / 5.0 END, 100.0, s_suppkey % 4 = 0, 3 FROM supplier
 UNION ALL SELECT 'alpacaeval2', '', model, benchmark, v, 100.0, false, 0 FROM al3
 UNION ALL SELECT 'mt_bench', '', model, 'MT-Bench', round(v, 6), 10.0, false, n FROM mt
-UNION ALL SELECT 'chatbot_arena', l_returnflag, 'l' || l_orderkey || '-' || l_linenumber, 'Arena Elo', 1000.0 + floor(l_quantity), 3000.0, false, 3 FROM lineitem""")
+UNION ALL SELECT 'chatbot_arena', l_returnflag, 'l' || l_orderkey || '-' || l_linenumber, 'Arena Elo', 1000.0 + floor(l_quantity), 3000.0, false, 3 FROM lineitem)""")
 def c12_leaderboards(read):
     judged = F.to_variant_object(F.struct(F.concat(F.lit("e"), "user_id").alias("model_id"), F.expr("CASE event_type WHEN 'click' THEN 'writing' WHEN 'view' THEN 'math' ELSE event_type END").alias("category"), (F.col("value") / 7.0).alias("score")))
     documents = [

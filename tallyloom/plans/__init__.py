@@ -31,6 +31,11 @@ def query(sql: str | None = None):
     return register
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt evenly to as many tasks as a shuffle has: a table of few row groups would give all costly work on its rows to few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`").cast("long").alias(c) if t == "int" else F.col(f"`{c}`") for c, t in df.dtypes))
 

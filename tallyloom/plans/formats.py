@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.plans import query
+from tallyloom.plans import query, spread
 from tallyloom.sources import formats
 from tallyloom.sources.shared import fresh_path
 
@@ -40,7 +40,8 @@ def s27_harness_logs(read):
     spark = runs.sparkSession
     path = fresh_path(spark, "logs")
     task = F.struct(F.col("s_acctbal").alias("acc,none"), F.lit(0.1).alias("acc_stderr,none"), F.lit("a").alias("alias"))
-    runs.select(F.create_map("s_name", task).alias("results"), F.struct(F.col("s_suppkey").alias("id")).alias("configs")).write.option("maxRecordsPerFile", 1).json(path)
+    log = F.to_json(F.struct(F.create_map("s_name", task).alias("results"), F.struct(F.col("s_suppkey").alias("id")).alias("configs")))
+    formats.write_logs(spread(runs, "s_suppkey").select(log.alias("log")), path, "log")
     formats.register(spark)
     return formats.converted(formats.FETCHERS["harness_logs"](spark, path)).drop("log")
 

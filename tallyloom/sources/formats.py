@@ -27,6 +27,8 @@ from tallyloom.sources.readers import framework
 
 #: Text of one Arrow batch, in characters, and bytes read at once.
 BATCH, BLOCK = 4 << 20, 1 << 20
+#: Small logs read by one task, at most: so many files, or bytes.
+LOGS, LOG_BYTES = 256, 16 << 20
 #: Name of the manifest of a folder of stable_json.
 MANIFEST = "_manifest.json"
 
@@ -204,13 +206,20 @@ class Log(InputPartition):
     children: frozenset[str]
 
 
+@dataclass
+class Logs(InputPartition):
+    """Runs that one task reads, one after another."""
+
+    runs: list[Log]
+
+
 class HarnessLogs(DataSource):
     """S27, converters `harness_logs`: (log, framework, document, value, fault) of the documents of runs below a folder.
 
     A folder with run_spec.json is a run, whose documents are its JSON files; every other .json file, and every .eval
     archive, is a run by itself, an archive's documents being its JSON members. framework is told by names and keys
     (S22); value is JSON text. A file that is no JSON, or an archive that is none, gives its fault and no value; other files are left out.
-    One partition a run.
+    A run is never cut; small ones are read several to a partition.
     """
 
     @classmethod
@@ -228,11 +237,13 @@ class _LogReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path = options["path"]
 
-    def partitions(self) -> list[Log]:
+    def partitions(self) -> list[Logs]:
         store, path = opened(self.path)
         folders: dict[str, list[str]] = {}
+        size: dict[str, int] = {}
         for f in files_below(store, path):
             folders.setdefault(f.path.rpartition("/")[0], []).append(f.path)
+            size[f.path] = f.size
         runs = []
         for folder, files in folders.items():
             names = frozenset(f.rpartition("/")[2] for f in files)
@@ -241,10 +252,18 @@ class _LogReader(DataSourceReader):
                 runs.append(Log(folder, documents, names))
             else:
                 runs += [Log(f, (f,), frozenset()) for f in documents]
-        return runs or [Log("", (), frozenset())]
-
-    def read(self, run: Log) -> Iterator[pa.RecordBatch]:
-        yield from in_batches(self.rows(run), pa.schema([(c, pa.string()) for c in ("log", "framework", "document", "value", "fault")]))
+        parts, files, held = [Logs([])], 0, 0
+        for run in runs:
+            more = sum(size[f] for f in run.files)
+            if parts[-1].runs and (files + len(run.files) > LOGS or held + more > LOG_BYTES):
+                parts.append(Logs([]))
+                files, held = 0, 0
+            parts[-1].runs.append(run)
+            files, held = files + len(run.files), held + more
+        return parts
+
+    def read(self, part: Logs) -> Iterator[pa.RecordBatch]:
+        yield from in_batches((row for run in part.runs for row in self.rows(run)), pa.schema([(c, pa.string()) for c in ("log", "framework", "document", "value", "fault")]))
 
     def rows(self, run: Log) -> Iterator[tuple]:
         store, _ = opened(self.path)
@@ -442,6 +461,26 @@ def write_stable(rows: DataFrame, path: str, key: list[str], mode: str = "overwr
     ranges.write.format("stable_json").mode(mode).save(path)
 
 
+def write_logs(logs: DataFrame, path: str, body: str) -> None:
+    """A file of its own for each row's text (null: none), written by the row's task: no commit moves files one by one.
+
+    Names carry the partition and the place in its order of texts, so a task that runs again writes the same files over its first ones, if
+    the same rows come to it.
+    """
+
+    def write(rows):
+        from pyspark import TaskContext
+
+        store, folder = opened(path)
+        for i, row in enumerate(rows):
+            with store.open_output_stream(f"{folder}/{TaskContext.get().partitionId():05d}-{i:08d}.json") as out:
+                out.write(row[0].encode())
+
+    store, folder = opened(path)
+    store.create_dir(folder, recursive=True)
+    logs.select(body).where(F.col(body).isNotNull()).sortWithinPartitions(body).foreachPartition(write)
+
+
 FORMATS = (ResultLines, JsonObjects, HarnessLogs, StableJson)
 
 #: Fetchers by name: (spark, path) to documents (document, value); converters by framework: documents to records.

@@ -93,6 +93,21 @@ def test_harness_logs(known, tmp_path):
         formats.converted(documents, {})
 
 
+def test_small_logs_share_a_task(tmp_path, monkeypatch):
+    for i in range(600):
+        (tmp_path / f"{i:03}.json").write_text('{"results": {}, "configs": {}}')
+    (tmp_path / "h").mkdir()
+    for name in ("run_spec.json", "scenario_state.json", "stats.json"):
+        (tmp_path / "h" / name).write_text("{}")
+    reader = formats.HarnessLogs({"path": str(tmp_path)}).reader(None)
+    parts = reader.partitions()
+    assert len(parts) == 3 and sum(len(p.runs) for p in parts) == 601
+    rows = [row for p in parts for batch in reader.read(p) for row in batch.to_pylist()]
+    assert len({(r["log"], r["document"]) for r in rows}) == len(rows) == 603 and [r["framework"] for r in rows].count("helm") == 3
+    monkeypatch.setattr(formats, "LOG_BYTES", 1)  # less than one log
+    assert len(reader.partitions()) == 601
+
+
 def test_stable_json(known, tmp_path):
     path = str(tmp_path / "out")
     rows = known.range(2500).select("id", (F.col("id") / 3).alias("x"), F.when(F.col("id") % 5 > 0, F.lit("é")).alias("s"), F.array(F.col("id") * 0.1).alias("l"), F.struct(F.lit(0.1 + 0.2).alias("y")).alias("d"))

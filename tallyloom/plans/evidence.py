@@ -22,14 +22,19 @@ CASE WHEN d > 0 AND d <= 100 THEN (d * 0.01)::DECIMAL(30,4)::VARCHAR END, CASE W
 judged AS (SELECT kind, l_orderkey, l_linenumber, value, len(list_intersect(list_filter(forms, lambda x: x IS NOT NULL), tokens)) > 0 AS found FROM forms JOIN tokens USING (l_orderkey))"""
 
 
+def lines(read):
+    """Lines dealt by order once, for reports and values alike."""
+    return read("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice").repartition("l_orderkey")
+
+
 def reports(read):
     line = F.struct("l_linenumber", F.concat(F.expr(LINE), F.format_number("l_extendedprice", 2)).alias("said"))
-    return read("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["said"]), "; ").alias("report"))  # an order's lines
+    return lines(read).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["said"]), "; ").alias("report"))  # an order's lines
 
 
 def values(read):
     kinds = F.array(*(F.struct(F.lit(n).alias("kind"), F.expr(v).alias("value")) for n, v in VALUES.items()))
-    return read("lineitem").select("l_orderkey", "l_linenumber", F.explode(kinds).alias("v")).select("l_orderkey", "l_linenumber", "v.*")
+    return lines(read).select("l_orderkey", "l_linenumber", F.explode(kinds).alias("v")).select("l_orderkey", "l_linenumber", "v.*")
 
 
 @query(f"WITH {REPORTS} SELECT kind, count(*) AS scores, count_if(found) AS correct, round(count_if(found) * 100.0 / count(*), 6)::DOUBLE AS precision FROM judged GROUP BY kind")

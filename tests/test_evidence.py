@@ -21,6 +21,14 @@ def test_number_forms_and_evidence(spark):
     assert len(got) == 2 * len(cases) and {(r["t"], r["value"]): r["found"] for r in got} == cases
 
 
+def test_values_meet_pieces_of_their_text_without_a_shuffle_of_forms(spark):
+    texts = spark.createDataFrame([(1, " ".join(f"{i}.5" for i in range(1000))), (2, "7.25"), (1, "and 9999")], "t int, text string")  # several pieces, several texts of an id
+    values = spark.createDataFrame([(1, f"{i}.5") for i in range(1200)] + [(1, "9999"), (2, "7.25"), (2, "7"), (3, "7"), (None, "7")], "t int, value string")
+    got = evidence.number_evidence(values, [], "t", "value", texts, "text")
+    assert {(r["t"], r["value"]) for r in got.where("found").collect()} == {(1, f"{i}.5") for i in range(1000)} | {(1, "9999"), (2, "7.25")} and got.count() == 1205
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # before: a semi-join of forms, distinct, and a join back
+
+
 def test_record_evidence(spark):
     texts = spark.createDataFrame([(1, "On Big_Bench the Foo Model reached acc. 0.50 with lm evaluation harness")], "t int, text string")
     values = [(1, "model_name", "Foo-Model 7B"), (1, "metric_name", "accuracy"), (1, "score", "50"), (2, "harness", "OpenCompass, lm-evaluation-harness"), (2, "score", "51"), (2, "metric_name", "bleu"), (3, "name", "Big-Bench (hard)")]

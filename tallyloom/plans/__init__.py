@@ -32,8 +32,11 @@ def query(sql: str | None = None):
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Rows dealt evenly to as many tasks as a shuffle has: a table of few row groups would give all costly work on its rows to few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    """Rows dealt evenly to two tasks a core: a table of few row groups would give all costly work on its rows to few tasks.
+
+    Not to as many as a shuffle has: a task takes a second or more to load the largest expressions, whatever its rows.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *key)
 
 
 def rounded(df: DataFrame) -> DataFrame:

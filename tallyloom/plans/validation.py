@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import repair, schema
-from tallyloom.plans import query
+from tallyloom.plans import query, spread
 
 K = "CAST(o_orderkey AS STRING)"
 RESULT = f"""'{{"evaluation_name":"MMLU","source_data":{{"dataset_name":"MMLU","source_type":"' || CASE WHEN o_orderkey % 23 = 0 THEN 'disk' ELSE 'hf_dataset' END || '"}},"metric_config":{{"metric_name":"acc","lower_is_better":false'
@@ -47,7 +47,7 @@ RECORDS = f"r AS (SELECT ({RECORD})::JSON AS j FROM orders)".replace("AS STRING)
 
 
 def of_json(read):
-    return read("orders").select("o_orderkey", F.try_parse_json(F.expr(RECORD)).alias("document"))
+    return spread(read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey").select("o_orderkey", F.try_parse_json(F.expr(RECORD)).alias("document"))
 
 
 def sql_text(name: str | None) -> str:

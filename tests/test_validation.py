@@ -97,3 +97,10 @@ def test_each_repair_and_status(spark):
 def test_older_repairs_know_less(spark):
     got = repair.repair(frame(spark, [changed(c) for _, c, _ in FAULTY]), fixes=repair.OLDER_FIXES).orderBy("i").collect()
     assert [bool(r["fixes"]) for r in got] == [f in ("score as number", "schema version", "timestamp as text", "relationship", "library", "model id") for f, _, _ in FAULTY]
+
+
+def test_records_are_dealt_to_all_tasks(spark):
+    from tallyloom.plans import table, validation
+
+    rows = validation.of_json(lambda name: table(spark, "/root/testdata/sf0.001", name)).select("o_orderkey", F.spark_partition_id().alias("p"))
+    assert rows.select("p").distinct().count() == 2 * spark.sparkContext.defaultParallelism  # before: as many as the file has row groups

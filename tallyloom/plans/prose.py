@@ -16,6 +16,5 @@ ANSWER = """CASE l_orderkey % 2 WHEN 0 THEN '{"models": [{"model_name": "m' || l
 CASE WHEN l_returnflag <> 'R' THEN round(l_discount, 6) END AS temperature, CASE WHEN l_orderkey % 2 = 0 THEN 'h' END AS harness, CASE WHEN l_returnflag = 'R' THEN 'temperature' ELSE '' END AS faults FROM lineitem WHERE l_linenumber <> 3""")
 def v18_prose(read):
     answers = read("lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.expr(BENCHMARK)), ", ").alias("listed"))  # an order's lines
-    models = answers.select("l_orderkey", F.explode(prose.models(F.parse_json(F.expr(ANSWER)))).alias("m"))
-    rows = models.select("l_orderkey", F.col("m.model_name").alias("model"), F.explode("m.benchmarks").alias("b"))
-    return rows.select("l_orderkey", "model", F.col("b.benchmark_name").alias("benchmark"), "b.score", "b.n_shot", "b.temperature", F.col("b.eval_harness").alias("harness"), F.array_join("b.faults", ",").alias("faults"))
+    rows = prose.rows(answers, F.parse_json(F.expr(ANSWER)), "l_orderkey")
+    return rows.select("l_orderkey", F.col("model_name").alias("model"), F.col("benchmark_name").alias("benchmark"), "score", "n_shot", "temperature", F.col("eval_harness").alias("harness"), F.array_join("faults", ",").alias("faults"))

@@ -54,6 +54,8 @@ def number(words: Column) -> Column:
 
 def either(value: Column, keys: Sequence[str]) -> Column:
     """Text of the first member that is neither null, empty, false nor the number 0; else of the last one of them, if it is there."""
+    if len(keys) == 1:
+        return text(value, keys[0])
     told = [F.struct(text(value, k).alias("text"), F.schema_of_variant(at(value, k)).alias("kind")) for k in keys]
     full = lambda x: (x["text"] != "") & ~((x["kind"] == "BOOLEAN") & (x["text"] == "false")) & ~(x["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & (number(x["text"]) == 0))
     return let(F.array(*told), lambda all_: F.coalesce(F.try_element_at(F.filter(all_, full), F.lit(1)), all_[len(keys) - 1])["text"])
@@ -223,13 +225,12 @@ class _Arena:
 
     @staticmethod
     def results(row, _):
-        elo, ci = number(F.trim(text(row, "Arena Score"))), F.trim(text(row, "95% CI"))
-        both, same = r"^\+?(\d+\.?\d*)[/\-](\d+\.?\d*)$", r"^[±]?(\d+\.?\d*)$"
-        up = F.when(ci.rlike(both), F.regexp_extract(ci, both, 1)).when(ci.rlike(same), F.regexp_extract(ci, same, 1)).try_cast("double")
-        down = F.when(ci.rlike(both), F.regexp_extract(ci, both, 2)).when(ci.rlike(same), F.regexp_extract(ci, same, 1)).try_cast("double")
         votes = number(F.replace(F.coalesce(F.nullif(text(row, "Votes"), F.lit("")), F.lit("0")), F.lit(",")))
-        details = details_of(dict(ci_upper=py_round(elo + up, 1), ci_lower=py_round(elo - down, 1), num_battles=votes.cast("bigint")))
-        return [result("Arena Elo", elo, None, "elo", 0.0, 3000.0, "raw Elo; practical range ~800–1400", details=details)]
+        both, same = r"^\+?(\d+\.?\d*)[/\-](\d+\.?\d*)$", r"^[±]?(\d+\.?\d*)$"
+        bounds = lambda ci: F.when(ci.rlike(both), F.array(F.regexp_extract(ci, both, 1), F.regexp_extract(ci, both, 2))).when(ci.rlike(same), F.array_repeat(F.regexp_extract(ci, same, 1), 2))
+        details = lambda elo, ends: details_of(dict(ci_upper=py_round(elo + ends[0].try_cast("double"), 1), ci_lower=py_round(elo - ends[1].try_cast("double"), 1), num_battles=votes.cast("bigint")))
+        made = lambda elo: result("Arena Elo", elo, None, "elo", 0.0, 3000.0, "raw Elo; practical range ~800–1400", details=let(let(F.trim(text(row, "95% CI")), bounds), lambda ends: details(elo, ends)))
+        return [let(number(F.trim(text(row, "Arena Score"))), made)]
 
 
 @board("mt_bench", averaged=True)
@@ -363,10 +364,11 @@ def results(documents: DataFrame, board: str, document: str, name: str, position
 
     board, document (VARIANT), name (of the file or submission) and position (a row's place in its table) are column names.
     Returns board, model, organization, eval_date and a RESULT's fields. Unknown boards, models without a name and null documents give no rows; repeated rows give repeated results but where a board merges.
+    The expression of a row names all boards of the registry, so documents of one board are read faster with a registry of that board alone.
     """
     registry = BOARDS if registry is None else registry
     single = {k: b for k, b in registry.items() if not (b.merged or b.averaged)}
-    parts = [_rows(documents, single, board, document, name, position)]
+    parts = [_rows(documents, single, board, document, name, position)] if single else []
     parts += [_merged(_rows(documents, {k: b}, board, document, name, position)) for k, b in registry.items() if b.merged]
     parts += [_averaged(_rows(documents, {k: b}, board, document, name, position)) for k, b in registry.items() if b.averaged]
     columns = ["board", "model", "organization", "eval_date", *(F.col(f"r.{f}").alias(f) for f in ("benchmark", "score", "shots", "metric", "least", "most", "note", "reasoning", "missing", "details"))]
@@ -380,9 +382,9 @@ def _rows(documents: DataFrame, boards: dict[str, Board], board: str, document:
 
     def made(b):
         r = b.results(F.col("e.body"), F.struct("name", "e.keyed"))
-        return F.array_compact(r if isinstance(r, Column) else F.array(*r)).cast(f"array<{RESULT}>")
+        return (r if isinstance(r, Column) else F.array(*r)).cast(f"array<{RESULT}>")
 
-    return entries.select("board", "at", "e.model", "e.organization", "e.eval_date", "e.body", F.explode(of(made)).alias("r"))
+    return entries.select("board", "at", "e.model", "e.organization", "e.eval_date", "e.body", F.explode(of(made)).alias("r")).where(F.col("r").isNotNull())
 
 
 def _merged(rows: DataFrame) -> DataFrame:

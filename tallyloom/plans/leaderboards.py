@@ -44,12 +44,12 @@ UNION ALL SELECT 'mt_bench', '', model, 'MT-Bench', round(v, 6), 10.0, false, n
 UNION ALL SELECT 'chatbot_arena', l_returnflag, 'l' || l_orderkey || '-' || l_linenumber, 'Arena Elo', 1000.0 + floor(l_quantity), 3000.0, false, 3 FROM lineitem)""")
 def c12_leaderboards(read):
     judged = F.to_variant_object(F.struct(F.concat(F.lit("e"), "user_id").alias("model_id"), F.expr("CASE event_type WHEN 'click' THEN 'writing' WHEN 'view' THEN 'math' ELSE event_type END").alias("category"), (F.col("value") / 7.0).alias("score")))
-    documents = [
-        rows(read("part"), "evalplus", DOCUMENTS["evalplus"]), rows(read("customer"), "wildbench", DOCUMENTS["wildbench"]), rows(read("supplier"), "swe_bench", DOCUMENTS["swe_bench"], "'20240131_s' || s_suppkey"),
-        rows(read("orders"), "alpacaeval2", DOCUMENTS["alpacaeval2"], position="o_orderkey"), rows(read("lineitem"), "chatbot_arena", DOCUMENTS["chatbot_arena"]),
-        read("events").select(F.lit("mt_bench").alias("board"), judged.alias("doc"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("at")),
-    ]
-    found = leaderboards.results(reduce(DataFrame.unionByName, documents), "board", "doc", "name", "at")
+    documents = {
+        "evalplus": rows(read("part"), "evalplus", DOCUMENTS["evalplus"]), "wildbench": rows(read("customer"), "wildbench", DOCUMENTS["wildbench"]), "swe_bench": rows(read("supplier"), "swe_bench", DOCUMENTS["swe_bench"], "'20240131_s' || s_suppkey"),
+        "alpacaeval2": rows(read("orders"), "alpacaeval2", DOCUMENTS["alpacaeval2"], position="o_orderkey"), "chatbot_arena": rows(read("lineitem"), "chatbot_arena", DOCUMENTS["chatbot_arena"]),
+        "mt_bench": read("events").select(F.lit("mt_bench").alias("board"), judged.alias("doc"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("at")),
+    }
+    found = reduce(DataFrame.unionByName, (leaderboards.results(d, "board", "doc", "name", "at", {b: leaderboards.BOARDS[b]}) for b, d in documents.items()))  # a table holds one board
     return found.select("board", "organization", "model", "benchmark", "score", "most", "missing", F.coalesce(F.size(F.map_keys("details")), F.lit(0)).cast("long").alias("details"))
 
 

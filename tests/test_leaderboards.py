@@ -1,6 +1,7 @@
 """Leaderboards of every layout against hand-made documents."""
 
 import json
+import math
 import random
 
 import pytest
@@ -107,3 +108,20 @@ def test_scraped_rows_keep_zero_for_missing(spark):
         ("bigcodebench", "known/q", "known", "hf", "BigCodeBench", 10.0, False), ("wildbench", "unknown/w", "unknown", "", "WildBench-v2 WB-Score", 3.0, False),
         ("hfopenllm_v2", "o/m", "o", "huggingface", "IFEval", 0.555, False), ("hfopenllm_v2", "o/m", "o", "huggingface", "Own", 0.0, True),
     ])
+
+
+def test_py_round_next_to_halves(spark):
+    rng = random.Random(11)
+    halves = [(rng.randint(-(10**rng.randint(1, 9)), 10**9) + 0.5) / 10**d for d in range(7) for _ in range(60)]
+    xs = [y for x in halves for y in (x, math.nextafter(x, math.inf), math.nextafter(x, -math.inf))] + [2.0**52 + 0.5, 2.0**46 / 100 + 0.005, -0.0, 0.29, 1.005, 4.35]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *(py_round(F.col("x"), d).alias(f"d{d}") for d in range(7))).collect()
+    assert all(r[f"d{d}"] == round(r.x, d) for r in got for d in range(7) if abs(r.x) < 2.0**53 / 10**d)
+
+
+def test_one_board_alone(spark):
+    """A registry of a board whose rows are put together, and one of a board with single rows."""
+    frame = lambda board, rows: spark.createDataFrame([(board, json.dumps(r), i) for i, r in enumerate(rows)], "b string, j string, at int").select("b", "at", F.parse_json("j").alias("d"), F.lit(None).cast("string").alias("n"))
+    alone = lambda board, rows: lb.results(frame(board, rows), "b", "d", "n", "at", {board: lb.BOARDS[board]})
+    assert [x[2:] for x in scores(alone("alpacaeval2", [{"model": "a", "win_rate": "10"}, {"model": "a", "win_rate": "20"}]).collect())] == [("a", "AlpacaEval 2.0", 20.0)]
+    arena = alone("chatbot_arena", [{"Model": "m", "Arena Score": "1200.25", "95% CI": "±3"}, {"Model": "n", "Arena Score": 7, "95% CI": "-"}, {"Model": "o"}])
+    assert {r.model: (r.score, r.details) for r in arena.collect()} == {"m": (1200.25, {"ci_upper": str(round(1203.25, 1)), "ci_lower": str(round(1197.25, 1)), "num_battles": "0"}), "n": (7.0, {"num_battles": "0"})}

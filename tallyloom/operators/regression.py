@@ -18,12 +18,17 @@ def mapped_codes(value: Column, codes: dict[str, int], other: int = -1) -> Colum
     return F.coalesce(*(F.when(value == k, F.lit(c)) for k, c in codes.items()), F.lit(other)).cast("double")
 
 
-def category_codes(rows: DataFrame, column: str, code: str) -> DataFrame:
-    """Categories numbered from 0 in their order, -1 for null. The categories, with their numbers, are joined back."""
+def category_codes(rows: DataFrame, column: str, code: str, most: int = 10_000) -> DataFrame:
+    """Categories numbered from 0 in their order, -1 for null. The categories, with their numbers, are joined back.
+
+    Up to `most` categories are sent to every task, so rows stay where they are and a frequent category is no hot key; more are joined by a shuffle.
+    """
     from tallyloom.operators.stats import counted_before
 
-    known = counted_before(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1).alias("_one")), column, "_one").select(column, F.col("before").cast("double").alias(code))
-    return rows.join(known, column, "left").withColumn(code, F.coalesce(code, F.lit(-1.0)))
+    found = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1).alias("_one"))
+    few = found.limit(most + 1).count() <= most
+    known = counted_before(found, column, "_one").select(column, F.col("before").cast("double").alias(code))
+    return rows.join(F.broadcast(known) if few else known, column, "left").withColumn(code, F.coalesce(code, F.lit(-1.0)))
 
 
 def within_products(rows: DataFrame, entity: str, columns: list[str]) -> DataFrame:

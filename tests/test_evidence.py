@@ -75,3 +75,14 @@ def test_codes(spark):
     df = spark.createDataFrame([("cot",), ("standard",), (None,), ("odd",), ("cot",)], "f string")
     assert sorted((str(r["f"]), r["c"]) for r in regression.category_codes(df, "f", "c").collect()) == [("None", -1.0), ("cot", 0.0), ("cot", 0.0), ("odd", 1.0), ("standard", 2.0)]
     assert [r["c"] for r in df.select(regression.mapped_codes(F.col("f"), regression.FORMAT_CODES).alias("c")).collect()] == [1.0, 0.0, -1.0, -1.0, 1.0]
+
+
+def test_few_categories_stay_off_the_shuffle(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 10 > 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("f")).repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = regression.category_codes(df, "f", "c"), regression.category_codes(df, "f", "c", most=2)
+        assert "BroadcastHashJoin [f#" in few._jdf.queryExecution().toString() and "SortMergeJoin [f#" in many._jdf.queryExecution().toString()
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and {r.c for r in few.collect()} == {-1.0, 0.0, 1.0, 2.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

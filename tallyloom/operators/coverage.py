@@ -24,8 +24,19 @@ def coverage_by(rows: DataFrame, by: str, fields: dict[str, Column], listed: Dat
 
 
 def composition(rows: DataFrame, by: str, entities: dict[str, str]) -> DataFrame:
-    """Rows and distinct entities by a column, and in total (by is null there)."""
-    return rows.rollup(by).agg(F.count("*").alias("n"), *(F.count_distinct(c).alias(k) for k, c in entities.items()))
+    """Rows and distinct entities by a column, and in total (by is null there; zeros without rows).
+
+    Rows first become one count a group and value of each entity, which are then counted by group and, once more made distinct, in total: two copies of a row for two entities, where distinct counts in a rollup make six.
+    """
+    if not entities:
+        return rows.rollup(by).agg(F.count("*").alias("n"))
+    keys = [f"_{i}" for i in range(len(entities))]
+    named = rows.select(F.col(by).alias("_by"), *(F.col(c).alias(k) for k, c in zip(keys, entities.values(), strict=True)))
+    pairs = named.groupingSets([[F.col("_by"), F.col(k)] for k in keys], F.col("_by"), *(F.col(k) for k in keys)).agg(*(F.grouping(k).alias(f"_not{k}") for k in keys), F.count("*").alias("_n"))
+    values = pairs.groupBy(*keys, *(f"_not{k}" for k in keys)).agg(F.sum("_n").alias("_n"))
+    sums = [F.coalesce(F.sum(F.when(F.col("_not_0") == 0, F.col("_n"))), F.lit(0)).alias("n"), *(F.count_if((F.col(f"_not{k}") == 0) & F.col(k).isNotNull()).alias(e) for k, e in zip(keys, entities, strict=True))]
+    total = values.agg(*sums).select(F.lit(None).cast(named.schema["_by"].dataType).alias(by), "n", *entities)
+    return pairs.groupBy(F.col("_by").alias(by)).agg(*sums).unionByName(total)
 
 
 def field_counts(rows: DataFrame, by: str, fields: dict[str, Column]) -> DataFrame:

@@ -184,3 +184,17 @@ def test_sections():
     assert [s.key for s in select(known, ["b"])] == ["b"]
     with pytest.raises(KeyError):
         select(known, ["z"])
+
+
+def test_composition_of_odd_rows(spark):
+    """Nulls among groups and entities, an entity that is the group itself, no rows."""
+    from tallyloom.operators import coverage
+
+    rows = [("a", 1, "x"), ("a", 1, None), ("b", 1, "x"), (None, None, "y"), (None, 2, "y"), ("b", None, None)]
+    df = spark.createDataFrame(rows, "s string, m int, b string")
+    entities = {"models": "m", "benchmarks": "b", "sources": "s"}
+    distinct = lambda of: (len(of), *(len({r[i] for r in of} - {None}) for i in (1, 2, 0)))
+    wanted = [(s, *distinct([r for r in rows if r[0] == s])) for s in ("a", "b", None)] + [(None, *distinct(rows))]
+    assert sorted(map(str, map(tuple, coverage.composition(df, "s", entities).collect()))) == sorted(map(str, wanted))
+    assert [tuple(r) for r in coverage.composition(df.where("false"), "s", entities).collect()] == [(None, 0, 0, 0, 0)]
+    assert coverage.composition(df, "s", entities).columns == ["s", "n", "models", "benchmarks", "sources"]

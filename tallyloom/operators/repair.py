@@ -1,13 +1,19 @@
-"""Repairs of JSON records as an ordered fold over VARIANT: each step sees what the one before has left, and logs what it changed."""
+"""Repairs of JSON records as an ordered fold in Python over VARIANT: each step sees what the one before has left, and logs what it changed."""
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.schema import RECORD_SCHEMA, elements, field, kind_of, let, members, scalar, schema_errors
+from tallyloom.functions import variants
+from tallyloom.functions.variants import ABSENT, NUMBERS, in_order, kind_of, to_json
+from tallyloom.operators.schema import ERRORS, FIELDS, RECORD_SCHEMA, checked, has_patterns, schema_errors
 
 VERSION = "0.2.1"
 VERSIONS = ("0.2.0", "0.2.1")
@@ -15,168 +21,156 @@ VERSIONS = ("0.2.0", "0.2.1")
 SOURCE_TYPES = {"evaluation_platform": "evaluation_run", "paper_html": "documentation"}
 PARTIES = {"unknown": "other", "self_reported": "first_party"}
 LOG = "array<struct<fix:string,path:string,before:string,after:string>>"
-#: A step gets the document and gives a struct of it anew and the changes made (entries of LOG).
-Step = Callable[[Column], Column]
+CHANGE = ("fix", "path", "before", "after")
+#: A change: fix, path, and the texts of the value before and after.
+Change = tuple[str, str, str | None, str | None]
+#: A step gets a document and gives it anew with the changes made; nothing is changed in place, as documents share their parts.
+Step = Callable[[object], tuple[object, list[Change]]]
 
 
-def put(document: Column, name: str, value: Column) -> Column:
-    """The object with a member set; anything but an object stays as it is."""
-    other = F.map_filter(members(document), lambda k, _: k != name)
-    return F.coalesce(F.to_variant_object(F.map_concat(other, F.create_map(F.lit(name), value))), document)
-
-
-def without(document: Column, *names: str) -> Column:
-    kept = F.map_filter(members(document), lambda k, _: ~k.isin(*names))
-    return F.coalesce(F.to_variant_object(kept), document)
-
+def field(document, name: str):
+    """A member of an object; ABSENT if there is none or the document is no object (a JSON null is None)."""
+    return document.get(name, ABSENT) if isinstance(document, dict) else ABSENT
 
-def as_variant(value) -> Column:
-    return (value if isinstance(value, Column) else F.lit(value)).cast("variant")
 
-
-def json_value(text: str) -> Column:
-    return F.parse_json(F.lit(text))
+def put(document, name: str, value):
+    """The object with a member set; anything but an object stays as it is."""
+    return {**document, name: value} if isinstance(document, dict) else document
 
 
-def is_object(document: Column) -> Column:
-    return members(document).isNotNull()
+def without(document, *names: str):
+    return {k: v for k, v in document.items() if k not in names} if isinstance(document, dict) else document
 
 
-def spelled(value: Column) -> Column:
+def spelled(value) -> str:
     """A value as the text that records use for it: strings as they are, True, False and None, numbers, lists and objects as JSON."""
-    return let(kind_of(value), lambda kind: F.when(kind == "STRING", scalar(value, "string")).when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(F.to_json(value))).otherwise(F.to_json(value)))
-
-
-def _change(fix: str, path: Column | str, before: Column, after: Column) -> Column:
-    return F.struct(F.lit(fix).alias("fix"), (F.lit(path) if isinstance(path, str) else path).alias("path"), F.to_json(before).alias("before"), F.to_json(after).alias("after"))
+    return value if isinstance(value, str) else str(value) if value is None or isinstance(value, bool) else to_json(value)
 
 
-def _nothing() -> Column:
-    return F.array().cast(LOG)
+def _change(fix: str, path: str, before, after) -> Change:
+    return fix, path, to_json(before), to_json(after)
 
 
-def _did(hit: Column, new: Column, log: Column, old: Column) -> Column:
-    both = lambda document, changes: F.struct(document.alias("new"), changes.cast(LOG).alias("log"))
-    return F.when(hit, both(new, log)).otherwise(both(old, _nothing()))
+def replace(fix: str, where: tuple[str, ...], test: Callable[[object], bool], value: Callable[[object], object]) -> Step:
+    """A step that sets the member at a path, where its present value (ABSENT: none) passes the test; the objects on the way must be there."""
 
+    def within(at, names: tuple[str, ...], new):
+        return put(at, names[0], within(at[names[0]], names[1:], new) if names[1:] else new)
 
-def replace(fix: str, where: tuple[str, ...], test: Callable[[Column], Column], value: Callable[[Column], Column]) -> Step:
-    """A step that sets the member at a path, where its present value (null: absent) passes the test; the objects on the way must be there."""
-
-    def step(document: Column) -> Column:
-        def within(at: Column, names: tuple[str, ...]) -> Column:
-            if len(names) == 1:
-                return put(at, names[0], value(field(at, names[0])))
-            return put(at, names[0], within(field(at, names[0]), names[1:]))
-
-        def held(at: Column, names: tuple[str, ...]) -> Column:
-            return held(field(at, names[0]), names[1:]) if names else at
-
-        owner, now = held(document, where[:-1]), held(document, where)
-        hit = F.coalesce(is_object(owner) & test(now), F.lit(False))
-        return _did(hit, within(document, where), F.array(_change(fix, "$." + ".".join(where), now, value(now))), document)
+    def step(document):
+        owner = document
+        for name in where[:-1]:
+            owner = field(owner, name)
+        now = field(owner, where[-1])
+        if not isinstance(owner, dict) or not test(now):
+            return document, []
+        new = value(now)
+        return within(document, where, new), [_change(fix, "$." + ".".join(where), now, new)]
 
     return step
 
 
 def renamed(fix: str, where: tuple[str, ...], names: dict[str, str]) -> Step:
     """A step that replaces old names at a path."""
-    new = lambda v: as_variant(F.coalesce(*(F.when(scalar(v, "string") == k, F.lit(n)) for k, n in names.items())))
-    return replace(fix, where, lambda v: (kind_of(v) == "STRING") & scalar(v, "string").isin(*names), new)
+    return replace(fix, where, lambda v: isinstance(v, str) and v in names, lambda v: names[v])
 
 
-def in_results(change: Callable[[Column, Column], Column]) -> Step:
-    """A step on each of evaluation_results: change gets a result and its path, and gives the struct of a step."""
+def in_results(change: Callable[[object, str], tuple[object, list[Change]]]) -> Step:
+    """A step on each of evaluation_results: change gets a result and its path, and gives what a step gives."""
 
-    def step(document: Column) -> Column:
-        done = F.transform(elements(field(document, "evaluation_results")), lambda result, i: change(result, F.concat(F.lit("$.evaluation_results["), i.cast("string"), F.lit("]"))))
+    def step(document):
+        results = field(document, "evaluation_results")
+        if not isinstance(results, list):
+            return document, []
+        done = [change(r, f"$.evaluation_results[{i}]") for i, r in enumerate(results)]
+        log = [c for _, changes in done for c in changes]
+        return (put(document, "evaluation_results", [new for new, _ in done]) if log else document), log
 
-        def collected(d: Column) -> Column:
-            log = F.flatten(F.transform(d, lambda x: x["log"]))
-            return _did(F.coalesce(F.exists(d, lambda x: F.size(x["log"]) > 0), F.lit(False)), put(document, "evaluation_results", F.transform(d, lambda x: x["new"]).cast("variant")), log, document)
+    return step
 
-        return let(done, collected)
 
-    return step
+#: Texts that Spark's cast takes for a finite double: digits with or without the point, an exponent, Java's suffixes, and hexadecimal doubles.
+_DECIMAL = re.compile(r"[\x00-\x20]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[fFdD]?[\x00-\x20]*")
+_HEXADECIMAL = re.compile(r"[\x00-\x20]*([+-]?0[xX](?:[0-9a-fA-F]+\.?|[0-9a-fA-F]*\.[0-9a-fA-F]+)[pP][+-]?[0-9]+)[fFdD]?[\x00-\x20]*")
 
 
-def _score_number(result: Column, path: Column) -> Column:
-    score = field(field(result, "score_details"), "score")
-    number = F.when(kind_of(score) == "STRING", F.trim(scalar(score, "string")).try_cast("double"))
-    hit = F.coalesce(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")), F.lit(False))
-    new = as_variant(number)
-    return _did(hit, put(result, "score_details", put(field(result, "score_details"), "score", new)), F.array(_change("score as number", F.concat(path, F.lit(".score_details.score")), score, new)), result)
+def _finite(text: str) -> float | None:
+    if m := _DECIMAL.fullmatch(text):
+        number = float(m[1])
+    elif m := _HEXADECIMAL.fullmatch(text):
+        try:
+            number = float.fromhex(m[1])
+        except OverflowError:
+            return None
+    else:
+        return None
+    return number if math.isfinite(number) else None
 
 
-def _metric_bounds(result: Column, path: Column) -> Column:
-    config = field(result, "metric_config")
-    nulls = lambda name: F.coalesce(F.is_variant_null(field(config, name)), F.lit(False))
-    bounds = {"max_score": 100.0, "min_score": 0.0}
+def _score_number(result, path: str):
+    details = field(result, "score_details")
+    score = field(details, "score")
+    number = _finite(score) if isinstance(score, str) else None
+    if number is None:
+        return result, []
+    return put(result, "score_details", put(details, "score", number)), [_change("score as number", f"{path}.score_details.score", score, number)]
 
-    def bounded(name: str, value: float):
-        return lambda c: F.when(nulls(name), put(c, name, as_variant(value))).otherwise(c)
 
-    new = config
-    for name, value in bounds.items():
-        new = let(new, bounded(name, value))
-    log = F.array_compact(F.array(*(F.when(nulls(n), _change("score bound", F.concat(path, F.lit(f".metric_config.{n}")), field(config, n), as_variant(v))) for n, v in bounds.items())))
-    return _did(nulls("max_score") | nulls("min_score"), put(result, "metric_config", new), log, result)
+def _metric_bounds(result, path: str):
+    config = field(result, "metric_config")
+    bounds = {n: v for n, v in (("max_score", 100.0), ("min_score", 0.0)) if field(config, n) is None}
+    if not bounds:
+        return result, []
+    return put(result, "metric_config", {**config, **bounds}), [_change("score bound", f"{path}.metric_config.{n}", None, v) for n, v in bounds.items()]
 
 
 def _arguments(allowed: list[str]):
     """n_shot becomes shots first; members that the schema does not know go, spelled out, beside the arguments."""
+    known = frozenset(allowed)
 
-    def change(result: Column, path: Column) -> Column:
-        at = F.concat(path, F.lit(".generation_config"))
-
-        def of(config: Column) -> Column:
-            args = field(config, "generation_args")
-            shots = field(args, "n_shot")
-            named = F.when(shots.isNotNull(), put(without(args, "n_shot"), "shots", shots)).otherwise(args)
-            rename = F.when(shots.isNotNull(), F.array(_change("n_shot as shots", F.concat(at, F.lit(".generation_args.n_shot")), shots, shots))).otherwise(_nothing())
-
-            def moved(both: Column) -> Column:
-                a, odd = both["a"], both["odd"]
-                told = F.transform_values(odd, lambda _, v: as_variant(spelled(v)))
-                there = F.coalesce(members(field(config, "additional_details")), F.from_json(F.lit("{}"), "map<string,string>").cast("map<string,variant>"))
-                details = F.to_variant_object(F.map_concat(F.map_filter(there, lambda k, _: ~F.map_contains_key(odd, k)), told))
-                log = F.transform(F.map_entries(odd), lambda e: _change("argument beside", F.concat(at, F.lit(".generation_args."), e["key"]), e["value"], as_variant(spelled(e["value"]))))
-                new = F.when(F.size(odd) > 0, put(put(config, "generation_args", a), "additional_details", details)).otherwise(put(config, "generation_args", a))
-                return _did(shots.isNotNull() | (F.size(odd) > 0), put(result, "generation_config", new), F.concat(rename, log), result)
-
-            odd_of = lambda a: F.struct(F.to_variant_object(F.map_filter(members(a), lambda k, _: k.isin(*allowed))).alias("a"), F.map_filter(members(a), lambda k, _: ~k.isin(*allowed)).alias("odd"))
-            return let(let(named, odd_of), moved)
-
+    def change(result, path: str):
         config = field(result, "generation_config")
-        return F.when(is_object(field(config, "generation_args")), let(config, of)).otherwise(_did(F.lit(False), result, _nothing(), result))
+        args, at = field(config, "generation_args"), f"{path}.generation_config"
+        if not isinstance(args, dict):
+            return result, []
+        shots, log = field(args, "n_shot"), []
+        if shots is not ABSENT:
+            args = put(without(args, "n_shot"), "shots", shots)
+            log.append(_change("n_shot as shots", f"{at}.generation_args.n_shot", shots, shots))
+        odd = in_order({k: v for k, v in args.items() if k not in known})
+        if odd:
+            there = field(config, "additional_details")
+            config = put(config, "additional_details", {**(there if isinstance(there, dict) else {}), **{k: spelled(v) for k, v in odd.items()}})
+            log += [_change("argument beside", f"{at}.generation_args.{k}", v, spelled(v)) for k, v in odd.items()]
+        return (put(result, "generation_config", put(config, "generation_args", without(args, *odd))) if log else result), log
 
     return change
 
 
 def _spelled_details(owner: str) -> Step:
-    def step(document: Column) -> Column:
-        details = members(field(field(document, owner), "additional_details"))
-        odd = F.map_filter(details, lambda _, v: kind_of(v) != "STRING")
-        new = F.to_variant_object(F.transform_values(details, lambda _, v: as_variant(spelled(v))))
-        hit = F.coalesce(F.size(odd) > 0, F.lit(False))
-        log = F.transform(F.map_entries(odd), lambda e: _change("detail as text", F.concat(F.lit(f"$.{owner}.additional_details."), e["key"]), e["value"], as_variant(spelled(e["value"]))))
-        return _did(hit, put(document, owner, put(field(document, owner), "additional_details", new)), log, document)
+    def step(document):
+        details = field(field(document, owner), "additional_details")
+        odd = in_order({k: v for k, v in details.items() if not isinstance(v, str)}) if isinstance(details, dict) else {}
+        if not odd:
+            return document, []
+        new = put(document, owner, put(document[owner], "additional_details", {k: spelled(v) for k, v in details.items()}))
+        return new, [_change("detail as text", f"$.{owner}.additional_details.{k}", v, spelled(v)) for k, v in odd.items()]
 
     return step
 
 
-def _legacy(document: Column) -> Column:
+def _legacy(document):
     """`validated` and `incorrect_values` of older records go into the source's details."""
-    valid, wrong = field(document, "validated"), field(document, "incorrect_values")
-    listed = F.coalesce(F.array_join(F.transform(elements(wrong), lambda v: spelled(v)), "; "), spelled(wrong))
-    source = F.coalesce(field(document, "source_metadata"), json_value("{}"))
-    details = F.coalesce(field(source, "additional_details"), json_value("{}"))
-    with_valid = F.when(valid.isNotNull(), put(details, "validated", as_variant(spelled(valid)))).otherwise(details)
-    with_wrong = let(with_valid, lambda d: F.when(wrong.isNotNull(), put(d, "incorrect_values", as_variant(listed))).otherwise(d))
-    new = put(without(document, "validated", "incorrect_values"), "source_metadata", put(source, "additional_details", with_wrong))
-    hit = valid.isNotNull() | wrong.isNotNull()
-    log = F.array_compact(F.array(*(F.when(v.isNotNull(), _change("legacy member moved", f"$.{n}", v, as_variant(t))) for n, v, t in (("validated", valid, spelled(valid)), ("incorrect_values", wrong, listed)))))
-    return _did(hit, new, log, document)
+    told = {n: v for n in ("validated", "incorrect_values") if (v := field(document, n)) is not ABSENT}
+    if not told:
+        return document, []
+    texts = {n: "; ".join(map(spelled, v)) if n == "incorrect_values" and isinstance(v, list) else spelled(v) for n, v in told.items()}
+    source = document.get("source_metadata", {})
+    details = source.get("additional_details", {}) if isinstance(source, dict) else {}
+    for n, text in texts.items():
+        details = put(details, n, text)
+    new = put(without(document, *told), "source_metadata", put(source, "additional_details", details))
+    return new, [_change("legacy member moved", f"$.{n}", v, texts[n]) for n, v in told.items()]
 
 
 def _arguments_of(schema: dict) -> list[str]:
@@ -184,24 +178,24 @@ def _arguments_of(schema: dict) -> list[str]:
 
 
 def _steps(source_types: dict, parties: dict) -> dict[str, Step]:
-    absent, number = (lambda v: v.isNull()), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    version = lambda v: as_variant(VERSION)
+    version = lambda v: VERSION
     return {
-        "schema_version": replace("schema version", ("schema_version",), lambda v: v.isNull() | ~F.coalesce(scalar(v, "string").isin(*VERSIONS) & (kind_of(v) == "STRING"), F.lit(False)), version),
-        "retrieved_timestamp": replace("timestamp as text", ("retrieved_timestamp",), lambda v: kind_of(v).isin(*number), lambda v: as_variant(F.to_json(v))),
+        "schema_version": replace("schema version", ("schema_version",), lambda v: not (isinstance(v, str) and v in VERSIONS), version),
+        "retrieved_timestamp": replace("timestamp as text", ("retrieved_timestamp",), lambda v: v is not ABSENT and kind_of(v) in NUMBERS, to_json),
         "source_type": renamed("source type", ("source_metadata", "source_type"), source_types), "evaluator_relationship": renamed("relationship", ("source_metadata", "evaluator_relationship"), parties),
-        "score": in_results(_score_number), "eval_library": replace("library", ("eval_library",), absent, lambda v: json_value('{"name": "unknown", "version": "unknown"}')),
-        "eval_library_version": replace("library version", ("eval_library", "version"), lambda v: v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False)), lambda v: as_variant("unknown")),
+        "score": in_results(_score_number), "eval_library": replace("library", ("eval_library",), lambda v: v is ABSENT, lambda v: {"name": "unknown", "version": "unknown"}),
+        "eval_library_version": replace("library version", ("eval_library", "version"), lambda v: v is ABSENT or v is None, lambda v: "unknown"),
         "model_id": _model_id, "source_details": _spelled_details("source_metadata"), "library_details": _spelled_details("eval_library"), "legacy": _legacy,
         "generation_args": in_results(_arguments(_arguments_of(RECORD_SCHEMA))), "metric_bounds": in_results(_metric_bounds),
     }
 
 
-def _model_id(document: Column) -> Column:
+def _model_id(document):
     info = field(document, "model_info")
-    hit = F.coalesce(field(info, "id").isNull() & field(info, "name").isNotNull(), F.lit(False))
     name = field(info, "name")
-    return _did(hit, put(document, "model_info", put(info, "id", name)), F.array(_change("model id", "$.model_info.id", field(info, "id"), name)), document)
+    if name is ABSENT or field(info, "id") is not ABSENT:
+        return document, []
+    return put(document, "model_info", put(info, "id", name)), [_change("model id", "$.model_info.id", ABSENT, name)]
 
 
 #: All repairs, in order.
@@ -210,30 +204,44 @@ FIXES = _steps(SOURCE_TYPES, PARTIES)
 OLDER_FIXES = {k: v for k, v in _steps({"evaluation_platform": "evaluation_run"}, {"unknown": "other"}).items() if k in ("schema_version", "retrieved_timestamp", "source_type", "evaluator_relationship", "score", "eval_library", "model_id")}
 
 
-def folded(document: Column, steps: list[Step]) -> Column:
-    """The struct of all steps, one after the other: a fold over the numbers of the steps whose state is the document and the log so far."""
+def folded(document, steps: list[Step]) -> tuple[object, list[Change]]:
+    """A document after all steps, one after the other, and all changes; one that is no object stays as it is."""
+    log = []
+    if isinstance(document, dict):
+        for step in steps:
+            document, changes = step(document)
+            log += changes
+    return document, log
 
-    def one(state: Column, number: Column) -> Column:
-        def taken(step: Step) -> Column:
-            return let(step(state["new"]), lambda d: F.struct(d["new"].alias("new"), F.concat(state["log"], d["log"]).alias("log")))
 
-        cases = F.when(number == 0, taken(steps[0]))
-        for i, step in enumerate(steps[1:], 1):
-            cases = cases.when(number == i, taken(step))
-        return cases.otherwise(state)
+def _column(kind: str, of: Callable[[object], object], made: Callable[[list], pa.Array], document: Column) -> Column:
+    """A column that a Python function computes of each document (ABSENT for null)."""
+    reader = variants.Reader()
 
-    start = F.struct(document.alias("new"), _nothing().alias("log"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, one) if steps else start
+    def run(column: pa.Array) -> pa.Array:
+        return made([of(v) for v in variants.values_of(column, reader)])
+
+    return F.arrow_udf(run, kind)(document)
+
+
+_changes = partial(variants.lists_of, names=CHANGE)
+_errors = partial(variants.lists_of, names=FIELDS)
 
 
 def repair(rows: DataFrame, document: str = "document", fixes: dict[str, Step] | None = None, log: str = "fixes") -> DataFrame:
     """The documents after all steps, in order, and what each changed. A null document, or one that is no object, stays as it is.
 
-    The fold is one expression over the row: nothing is shuffled, and no row needs another.
+    The fold is a Python function of the row: nothing is shuffled, and no row needs another. Documents and changes are two
+    columns, each computed only if it is read.
     """
     steps = list((FIXES if fixes is None else fixes).values())
-    done = rows.withColumn("_done", F.when(is_object(F.col(document)), folded(F.col(document), steps)))
-    return done.withColumns({document: F.coalesce("_done.new", document), log: F.coalesce("_done.log", _nothing())}).drop("_done")
+
+    def renewed(value):
+        new, changes = folded(value, steps)
+        return variants.written(new) if changes else None
+
+    given = F.col(document)
+    return rows.withColumns({document: F.coalesce(_column("variant", renewed, variants.variants_of, given), given), log: _column(LOG, lambda v: folded(v, steps)[1], _changes, given)})
 
 
 def validated(rows: DataFrame, document: str = "document", schema: dict | None = None, fixes: dict[str, Step] | None = None, write: bool = True) -> DataFrame:
@@ -242,8 +250,29 @@ def validated(rows: DataFrame, document: str = "document", schema: dict | None =
     Documents that were valid are not repaired; a text that is no JSON object is invalid and has no repairs.
     """
     schema = RECORD_SCHEMA if schema is None else schema
+    if has_patterns(schema):
+        return _validated_in_columns(rows, document, schema, fixes, write)
+    steps, errors = list((FIXES if fixes is None else fixes).values()), checked(schema)
+
+    def status(value) -> str:
+        return "valid" if not errors(value) else "invalid" if errors(folded(value, steps)[0]) else "fixed" if write else "fixable"
+
+    def renewed(value):
+        new, changes = folded(value, steps) if errors(value) else (value, [])
+        return variants.written(new) if changes else None
+
+    given = F.col(document)
+    columns = {
+        "status": _column("string", status, partial(pa.array, type=pa.string()), given), "fixes": _column(LOG, lambda v: folded(v, steps)[1] if errors(v) else [], _changes, given),
+        "errors": _column(ERRORS, lambda v: errors(folded(v, steps)[0]) if errors(v) else [], _errors, given),
+    }
+    return rows.withColumns(columns | ({document: F.coalesce(_column("variant", renewed, variants.variants_of, given), given)} if write else {}))
+
+
+def _validated_in_columns(rows: DataFrame, document: str, schema: dict, fixes: dict[str, Step] | None, write: bool) -> DataFrame:
+    """validated() by a schema with patterns, whose errors are a column expression before and after the repairs."""
     before = rows.withColumn("_given", F.col(document)).withColumn("_valid", F.size(schema_errors(document, schema)) == 0)
     after = repair(before, document, fixes).withColumn("errors", schema_errors(document, schema))
     status = F.when(F.col("_valid"), "valid").when(F.size("errors") == 0, "fixed" if write else "fixable").otherwise("invalid")
     untouched = F.col("_valid") | F.lit(not write)
-    return after.withColumns({"status": status, "fixes": F.when(F.col("_valid"), _nothing()).otherwise(F.col("fixes")), "errors": F.when(F.col("_valid"), F.array().cast("array<struct<path:string,rule:string,detail:string>>")).otherwise(F.col("errors")), document: F.when(untouched, F.col("_given")).otherwise(F.col(document))}).drop("_given", "_valid")
+    return after.withColumns({"status": status, "fixes": F.when(F.col("_valid"), F.array().cast(LOG)).otherwise(F.col("fixes")), "errors": F.when(F.col("_valid"), F.array().cast(ERRORS)).otherwise(F.col("errors")), document: F.when(untouched, F.col("_given")).otherwise(F.col(document))}).drop("_given", "_valid")

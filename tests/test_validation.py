@@ -104,3 +104,50 @@ def test_records_are_dealt_to_all_tasks(spark):
 
     rows = validation.of_json(lambda name: table(spark, "/root/testdata/sf0.001", name)).select("o_orderkey", F.spark_partition_id().alias("p"))
     assert rows.select("p").distinct().count() == 2 * spark.sparkContext.defaultParallelism  # before: as many as the file has row groups
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statuses_are_not_an_expression_of_lambdas(spark):
+    """Before, every record went through lambdas within lambdas: 11 ms of CPU each."""
+    rows = frame(spark, [GOOD])
+    assert "lambda" not in plan(repair.validated(rows).groupBy("status").count()) and "lambda" not in plan(repair.repair(rows).select("fixes"))
+
+
+#: Values of every kind and width, with the text that Spark has for them.
+VALUES = [None, True, -1, 127, -32768, 2**31, -(2**63), 2**63, 10**38 - 1, "", "x" * 63, "é" * 40, 'q"\\\n\x01\x7f', {}, [], {"b": [1, {"a": None}], "a": {"é": "1", "😀": 2, "ｚ": 3}}, list(range(300)), {f"k{i}": "y" * i for i in range(300)}]
+RAW = ["1.50", "-0.25", "1.00", "1e2", "1.5e-7", "1E22", "123456.789e0", "1e400", "12345678901234567890123456789012345678901", "0.00000000000000000000000001"]
+
+
+def test_values_are_read_written_and_spelled_like_spark(spark):
+    from tallyloom.functions import variants
+
+    def texts(column):
+        import pyarrow as pa
+
+        return pa.array([variants.to_json(v) for v in variants.values_of(column, variants.Reader())])
+
+    def copies(column):
+        return variants.variants_of([None if v is variants.ABSENT else variants.written(v) for v in variants.values_of(column, variants.Reader())])
+
+    docs = [*(json.dumps({"v": v, "w": [v, v]}) for v in VALUES), *(f'{{"v": {r}, "w": [{r}]}}' for r in RAW), *RAW, *map(json.dumps, VALUES), "no json"]
+    kinds = lambda c: F.schema_of_variant(F.try_variant_get(c, "$.v", "variant"))
+    rows = frame(spark, docs).withColumn("copy", F.arrow_udf(copies, "variant")("document")).select("i", F.to_json("document"), F.to_json("copy"), F.arrow_udf(texts, "string")("document"), kinds("document"), kinds("copy"), F.schema_of_variant("document").alias("s"), F.schema_of_variant("copy").alias("t"))
+    for i, text, copy_text, spelled, kind, copy_kind, s, t in rows.collect():
+        assert text == copy_text == spelled and kind == copy_kind and s == t, docs[i][:100]
+
+
+def test_numbers_in_texts_are_those_of_sparks_cast(spark):
+    texts = ["1d", "1f", "1.5D", "0x1p3", "0x.8P-1f", "0x1p9999", "1_0", "١", "1e5", " 1\t", "\n1", ".5", "5.", "+1", "-2.50", "1e", "e1", "", "Infinity", "nan", "1e400", "\xa01", "1L", "- 1", "1\x00", "0x10"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.trim("t").try_cast("double").alias("n")).collect()
+    assert [repair._finite(r["t"]) for r in rows] == [r["n"] if r["n"] is not None and abs(r["n"]) < float("inf") else None for r in rows]
+
+
+def test_deep_documents(spark):
+    """Before, the kind of a document this deep was asked of its whole schema, which overflowed the JVM's stack."""
+    deep = '{"a":' * 900 + "[]" + "}" * 900
+    assert errors(spark, {"type": "object", "properties": {"a": {"minProperties": 1}}}, [deep]) == [[]]
+    row = repair.repair(frame(spark, [deep])).select("fixes", F.to_json("document").alias("d")).first()
+    assert [f["fix"] for f in row["fixes"]] == ["schema version", "library"] and row["d"].startswith(deep[:-1])

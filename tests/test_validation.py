@@ -151,3 +151,30 @@ def test_deep_documents(spark):
     assert errors(spark, {"type": "object", "properties": {"a": {"minProperties": 1}}}, [deep]) == [[]]
     row = repair.repair(frame(spark, [deep])).select("fixes", F.to_json("document").alias("d")).first()
     assert [f["fix"] for f in row["fixes"]] == ["schema version", "library"] and row["d"].startswith(deep[:-1])
+
+
+def test_checks_in_python_and_in_the_jvm_agree(spark):
+    """v01's schema was evaluated as one expression of nested lambdas; those that stay are the schemas with patterns."""
+    texts = [*(json.dumps(changed(c)) for _, c, _ in FAULTY), json.dumps(GOOD), "no json", "[]", *(json.dumps(changed(lambda d, v=v: RESULT(d).update(source_data=v, metric_config=v))) for v in (None, 1.5, {"source_type": "url", "url": []}, {"score_type": "levels"}))]
+    assert "lambda" not in plan(frame(spark, texts).select(schema.schema_errors("document", schema.RECORD_SCHEMA)))
+    for rules, docs in [(schema.RECORD_SCHEMA, texts), *((rules, [json.dumps(d) for d in good + bad]) for rules, good, bad, _ in KEYWORDS if not schema.has_patterns(rules))]:
+        rows = frame(spark, docs).select("i", schema.schema_errors("document", rules).alias("new"), schema.compiled_errors("document", rules).alias("old")).collect()
+        assert all(r["new"] == r["old"] for r in rows), rules
+
+
+def test_whole_numbers_beyond_64_bits_are_integers(spark):
+    for rules in ({"type": "integer"}, {"type": "integer", "patternProperties": {}}):
+        assert errors(spark, rules, ["12345678901234567890", "1e30", "1e400"]) == [[], [], [("$", "type", "double")]], rules
+
+
+def test_schemas_with_patterns_are_javas(spark):
+    rules = {"type": "object", "properties": {"a": {"pattern": "^[a-z&&[^b]]+$"}}}
+    rows = repair.validated(frame(spark, ['{"a": "xyz"}', '{"a": "abc"}']), schema=rules).select("i", "status", "errors").orderBy("i").collect()
+    assert [r["status"] for r in rows] == ["valid", "invalid"] and [e["rule"] for e in rows[1]["errors"]][0] == "pattern"
+
+
+def test_records_are_repaired_once(spark):
+    """Before, v10 and v11 repaired every record twice, once in as many tasks as the file has row groups."""
+    from tallyloom.plans import QUERIES
+
+    assert all(QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 for q in ("v10_fixes", "v11_older_fixes"))
